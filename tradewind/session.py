@@ -23,3 +23,12 @@ def get_spark(app: str = "tradewind", cpus: int | None = None, **conf: str) -> S
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if it isn't installed there."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
