@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewind.session import ship
+
 #: Characters that separate words in the contracts' word pattern.
 WORD = re.compile(r"[^ \t-\r]+")
 #: Unicode White_Space, fixed by the standard.
@@ -51,7 +53,8 @@ def quoted(name: str) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of texts holds."""
+    """Bound what one Arrow batch of texts holds; workers find this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
