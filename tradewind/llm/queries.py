@@ -11,6 +11,7 @@ from tradewind.llm.exact_dedup import exact_dedup
 from tradewind.llm.fertility import fertility
 from tradewind.llm.html_text import extract_text
 from tradewind.llm.packing import pack_documents
+from tradewind.llm.simhash import near_duplicates
 from tradewind.llm.warc import archive
 
 QUERIES: dict = {}
@@ -33,6 +34,11 @@ def op1_token_ids_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_spans(spark, path)
 
 
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
