@@ -10,6 +10,7 @@ from tradewind.llm.common import scratch
 from tradewind.llm.exact_dedup import exact_dedup
 from tradewind.llm.fertility import fertility
 from tradewind.llm.html_text import extract_text
+from tradewind.llm.line_dedup import repeats
 from tradewind.llm.packing import pack_documents
 from tradewind.llm.simhash import near_duplicates
 from tradewind.llm.warc import archive
@@ -34,6 +35,11 @@ def op1_token_ids_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_spans(spark, path)
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(_table(spark, sf_dir, "documents")).drop("text_key")
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
