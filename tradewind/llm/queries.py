@@ -11,6 +11,7 @@ from tradewind.llm.exact_dedup import exact_dedup
 from tradewind.llm.fertility import fertility
 from tradewind.llm.html_text import extract_text
 from tradewind.llm.line_dedup import repeats
+from tradewind.llm.lm import lm_scores
 from tradewind.llm.packing import pack_documents
 from tradewind.llm.simhash import near_duplicates
 from tradewind.llm.warc import archive
@@ -58,6 +59,11 @@ FROM d
 """
 
 
+@query
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
