@@ -1,6 +1,34 @@
-"""Queries and their SQL by name."""
+"""Queries and their SQL by name; importing the plan modules fills both."""
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) under its name, with the DuckDB SQL of the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+for _name in ("marketplace", "relational", "marketing", "operations", "economics", "ledger", "checks", "series", "monitoring", "diagnostics", "texts", "streams"):
+    try:
+        import_module(f"tradewind.plans.{_name}")
+    except ModuleNotFoundError as e:
+        if e.name != f"tradewind.plans.{_name}":
+            raise
