@@ -71,7 +71,7 @@ ADS = {
     "ad_id": "concat('ad_', l_suppkey, '_', l_partkey % 25)",
     "report_date": "cast(l_shipdate as date)",
     "currency": "case l_suppkey % 2 when 0 then 'USD' else 'EUR' end",
-    "spend": "cast(round(l_extendedprice * l_discount, 2) as double)",
+    "spend": "l_extendedprice * l_discount",
     "impressions": "cast(l_quantity * 100 as bigint)",
     "clicks": "cast(l_quantity as bigint)",
     "conversions": "cast(case when l_returnflag = 'R' then l_quantity else null end as double)",
