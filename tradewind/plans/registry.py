@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _name in ("marketplace", "relational", "marketing", "operations", "economics", "ledger", "checks", "series", "monitoring", "diagnostics", "texts", "streams"):
+for _name in ("marketplace", "relational", "marketing", "operations", "economics", "ledger", "checks", "series", "monitoring", "diagnostics", "texts", "streams", "reports", "decisions"):
     try:
         import_module(f"tradewind.plans.{_name}")
     except ModuleNotFoundError as e:
