@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
@@ -84,63 +85,102 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
 
 
-class Pool:
-    """Values of keys as runs of integers in one array; make(key) gives a new key's run."""
+class Slots(dict):
+    """Slots of keys; a missing key takes its run from the generation before or has it made."""
+
+    __slots__ = ("make", "ids", "ends", "old")
+
+    def __init__(self, make: Callable[[str], list[int]], old: Slots | None):
+        self.make, self.ids, self.ends, self.old = make, array("i"), array("q", [0]), old
+        if old is not None:
+            old.old = None  # only one generation is kept
+
+    def __missing__(self, key: str) -> int:
+        old = self.old
+        k = None if old is None else old.get(key)
+        self.ids.extend(self.make(key) if k is None else old.ids[old.ends[k] : old.ends[k + 1]])
+        self.ends.append(len(self.ids))
+        self[key] = n = len(self.ends) - 2
+        return n
 
-    def __init__(self, make: Callable[[str], list[int]], limit: int):
-        self.make, self.limit = make, limit
-        self.clear()
 
-    def clear(self) -> None:
-        ids, ends, make = array("i"), array("q", [0]), self.make
+class Pool:
+    """Values of keys as runs of integers in one array; make(key) gives a new key's run.
 
-        class Slots(dict):
-            def __missing__(self, key):
-                ids.extend(make(key))
-                ends.append(len(ids))
-                self[key] = n = len(ends) - 2
-                return n
+    Two generations bound it: when the young one is full it becomes the old one, and keys
+    still in use come back from there without being made again.
+    """
 
-        self.ids, self.ends, self.slots = ids, ends, Slots()
+    def __init__(self, make: Callable[[str], list[int]], limit: int):
+        self.make, self.limit, self.slots = make, limit, Slots(make, None)
+
+    def at(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slot of each key, ends of all runs, all runs)."""
+        if len(self.slots) > self.limit:
+            self.slots = Slots(self.make, self.slots)
+        slots = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
+        return slots, np.array(self.slots.ends, np.int64), np.array(self.slots.ids, np.int32)
 
     def take(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(length of each key's run, all runs one after the other)."""
-        if len(self.slots) > self.limit:
-            self.clear()
-        at = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
-        ends = np.array(self.ends, np.int64)
+        at, ends, ids = self.at(keys)
         starts = ends[at]
         lens = ends[at + 1] - starts
-        return lens, np.array(self.ids, np.int32)[ragged(starts, lens)]
+        return lens, ids[ragged(starts, lens)]
+
+
+def plain_pattern(pattern: str) -> str:
+    """A pattern of Unicode classes for the re module; the same where no number is other than a decimal digit."""
+    for a, b in (
+        ("[^\\s\\p{L}\\p{N}]", f"(?:[^\\w{SPACE}]|_)"), ("[\\p{L}]", "[^\\W\\d_]"), ("[\\p{N}]", "\\d"), ("\\p{L}", "[^\\W\\d_]"), ("\\p{N}", "\\d"),
+        ("(?!\\S)", f"(?![^{SPACE}])"), ("\\s", f"[{SPACE}]"),
+    ):
+        pattern = pattern.replace(a, b)
+    # runs of common letters first, as a run of letters is a piece wherever it begins
+    return f"{' ?' if ' ?[^' in pattern else ''}[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u02af]++(?![^\\W\\d_])|{pattern}"
+
+
+#: Numbers that aren't decimal digits.
+ODD_NUMBERS = frozenset(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("No", "Nl"))
+_ODD_LATIN = [c for c in ODD_NUMBERS if c < "\u0100"]
+
+
+def has_odd_numbers(text: str) -> bool:
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not ODD_NUMBERS.isdisjoint(text)
+    return any(c in text for c in _ODD_LATIN)
 
 
 class Encoder:
     """Whole-text encoding by a vocabulary of the tokenizers library, exact, with a bounded cache.
 
-    White space separates units that no merge crosses; a unit's ids don't depend on its
-    neighbours, so each process encodes a unit once while it stays in the cache.
+    The vocabulary's pattern cuts a text into pieces that no merge crosses, so a piece's ids
+    don't depend on its neighbours, and a process gives the library each piece once while it
+    stays in the cache. Cutting is done by the re module where it equals the pattern.
     """
 
-    def __init__(self, model, pattern: str, normalizer=None, drop_space: bool = False, limit: int = 300_000):
+    def __init__(self, model, pattern: str, normalizer=None, limit: int = 200_000):
         self.model, self.normalizer = model, normalizer
-        self.pieces = regex.compile(pattern).findall
-        self.units = re.compile(f"[^{SPACE}]+" if drop_space else f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
+        self.full, self.plain = regex.compile(pattern).findall, re.compile(plain_pattern(pattern)).findall
         self.chars = byte_chars()
-        self.pool, self.known, self.limit = Pool(self.unit, limit), {}, limit
+        self.pool = Pool(self.piece, limit)
+
+    def piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))]
+
+    def normal(self, text: str) -> str:
+        if "\u03a3" in text:  # the library lower-cases sigma alike everywhere in a word
+            return self.normalizer.normalize_str(text)
+        return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
 
-    def unit(self, text: str) -> list[int]:
+    def pieces(self, text: str) -> list[str]:
         if self.normalizer is not None:
-            text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
-        out: list[int] = []
-        known = self.known
-        for p in self.pieces(text):
-            ids = known.get(p)
-            if ids is None:
-                if len(known) > self.limit:
-                    known.clear()
-                known[p] = ids = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.chars))]
-            out += ids
-        return out
+            text = self.normal(text)
+        return self.full(text) if has_odd_numbers(text) else self.plain(text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids one after the other)."""
@@ -161,7 +201,7 @@ class Encoder:
         keys: list[str] = []
         ends = [0]
         for t in texts:
-            keys += self.units(t)
+            keys += self.pieces(t)
             ends.append(len(keys))
         lens, ids = self.pool.take(keys)
         total = np.concatenate([[0], np.cumsum(lens)])
@@ -184,7 +224,7 @@ def json_encoder(path: str) -> Encoder:
 
             e = Encoder(t.model, public_tokenizers.PATTERN)
         else:
-            e = Encoder(t.model, pre["pretokenizers"][0]["pattern"]["Regex"], t.normalizer, drop_space=True)
+            e = Encoder(t.model, pre["pretokenizers"][0]["pattern"]["Regex"], t.normalizer)
         _ENCODERS[path, "json"] = e
     return _ENCODERS[path, "json"]
 

@@ -46,7 +46,7 @@ def _pool(model: str) -> tuple[Pool, np.ndarray]:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        _POOLS[model] = Pool(sp.encode, 300_000), np.array([sp.is_byte(i) for i in range(sp.vocab_size())])
+        _POOLS[model] = Pool(sp.encode, 200_000), np.array([sp.is_byte(i) for i in range(sp.vocab_size())])
     return _POOLS[model]
 
 
@@ -103,15 +103,12 @@ def measure(texts: list[str], langs: list[str | None], model: str) -> dict:
     for t in texts:
         words += WORD.findall(t)
         ends.append(len(words))
-    if len(pool.slots) > pool.limit:
-        pool.clear()
-    slots = np.fromiter(map(pool.slots.__getitem__, words), np.int64, len(words))
-    runs, end = np.array(pool.ends, np.int64), np.array(ends)
+    slots, runs, ids = pool.at(words)
+    end = np.array(ends)
     lens = runs[slots + 1] - runs[slots]
     tokens = np.diff(np.concatenate([[0], np.cumsum(lens)])[end])
     chars = np.diff(np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])[end])
     flat_bytes, entropy = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-    ids = np.array(pool.ids, np.int32)
     step = max(1, len(texts) * 1_000_000 // max(1, int(tokens.sum())))
     for lo in range(0, len(texts), step):  # a million tokens at a time
         hi = min(lo + step, len(texts))
