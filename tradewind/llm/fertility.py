@@ -158,3 +158,22 @@ def fertility(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str
                     lo, size = i + 1, 0
 
     return rows.mapInArrow(run, SCHEMA)
+
+
+def keep_fertile(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, that fertility() keeps; no shuffle, as each row is judged alone."""
+    small_batches(docs.sparkSession)
+    has_lang = lang_col in docs.columns
+
+    def run(batches):
+        for b in batches:
+            texts = [t or "" for t in b.column(text_col).to_pylist()]
+            langs = b.column(lang_col).cast(pa.string()).to_pylist() if has_lang else [None] * len(texts)
+            lo = size = 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size >= 4_000_000 or i == len(texts) - 1:
+                    yield b.slice(lo, i + 1 - lo).filter(pa.array(measure(texts[lo : i + 1], langs[lo : i + 1], model)["kept"]))
+                    lo, size = i + 1, 0
+
+    return docs.mapInArrow(run, docs.schema)
