@@ -3,7 +3,7 @@
 import pytest
 
 from tests.oracle import connect, rows_of, rows_of_sql
-from tradewind.plans import registry
+from tradewind.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,12 +13,12 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, duck, name):
-    cols, rows = rows_of(registry.QUERIES[name](spark, SF))
+    cols, rows = rows_of(catalogue.QUERIES[name](spark, SF))
     assert len(cols) == len(set(cols))
-    if name in registry.ORACLE:
-        assert (cols, rows) == rows_of_sql(duck, registry.ORACLE[name])
+    if name in catalogue.ORACLE:
+        assert (cols, rows) == rows_of_sql(duck, catalogue.ORACLE[name])
 
 
 def test_entry(spark):

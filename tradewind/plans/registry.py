@@ -1,9 +1,7 @@
-"""Queries and their SQL by name; importing the plan modules fills both."""
+"""Queries and their SQL by name; the plan modules fill both, catalogue imports them all."""
 
 from __future__ import annotations
 
-from importlib import import_module
-
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict = {}
@@ -24,11 +22,3 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-for _name in ("marketplace", "relational", "marketing", "operations", "economics", "ledger", "checks", "series", "monitoring", "diagnostics", "texts", "streams", "reports", "decisions"):
-    try:
-        import_module(f"tradewind.plans.{_name}")
-    except ModuleNotFoundError as e:
-        if e.name != f"tradewind.plans.{_name}":
-            raise
