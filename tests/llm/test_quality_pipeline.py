@@ -34,7 +34,7 @@ def brute_quality(text, lang):
     entropy = -sum(v / n * math.log2(v / n) for v in Counter(ids).values())
     chars, share = sum(map(len, w)), sum(sp.is_byte(i) for i in ids) / n
     lo, most, least = fertility.BANDS[lang if lang in fertility.BANDS else fertility.script(t)]
-    kept = not failed and chars / n >= lo - fertility.SLACK / math.sqrt(n) and share <= most and (entropy >= least or len(ids) < fertility.ENTROPY_TOKENS)
+    kept = not failed and chars / n >= lo - fertility.SLACK / math.sqrt(n) - fertility.SHORT / n and share <= most and (entropy >= least or len(ids) < fertility.ENTROPY_TOKENS)
     return len(w), chars, sum(t.count(x) for x in "#*$%&|<>"), dup, len(marked), failed, kept, len(ids), round(entropy, 6)
 
 

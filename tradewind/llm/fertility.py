@@ -3,7 +3,8 @@
 A public vocabulary with byte fallback cuts each word into pieces. Characters per token, the
 share of tokens that are fallback bytes, and the entropy of a text's tokens are held against
 bands for its language, or for its script where the language is unknown. The lower bound on
-characters per token gives way by SLACK / sqrt(tokens), since short texts vary more.
+characters per token gives way by SLACK / sqrt(tokens) + SHORT / tokens, since short texts vary
+more and a number or an address weighs more in them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ BANDS = {
     "cyrillic": (1.20, 0.30, 2.5),
     "other": (0.25, 1.00, 2.0),
 }
-SLACK = 5.0
+SLACK, SHORT = 5.0, 30.0
 #: Token entropy says little below so many tokens.
 ENTROPY_TOKENS = 30
 #: First code points of scripts, for texts without a known language.
@@ -129,7 +130,7 @@ def measure(texts: list[str], langs: list[str | None], model: str) -> dict:
     full = np.maximum(tokens, 1)
     per_token, share = chars / full, flat_bytes / full
     band = np.array([BANDS[lang] if lang in BANDS else BANDS[script(t)] for t, lang in zip(texts, langs, strict=True)], float).reshape(-1, 3)
-    kept = ~failed & (per_token >= band[:, 0] - SLACK / np.sqrt(full)) & (share <= band[:, 1]) & ((entropy >= band[:, 2]) | (tokens < ENTROPY_TOKENS))
+    kept = ~failed & (per_token >= band[:, 0] - SLACK / np.sqrt(full) - SHORT / full) & (share <= band[:, 1]) & ((entropy >= band[:, 2]) | (tokens < ENTROPY_TOKENS))
     return {
         "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeats, "base_failed": failed, "kept": kept,
         "n_tokens": tokens, "chars_per_token": per_token, "byte_share": share, "token_entropy": entropy,
