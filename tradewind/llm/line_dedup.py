@@ -90,7 +90,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "sentence",
     """
     table = stash(unit_table(docs, min_words, unit, id_col, text_col), "units")
     rank = F.coalesce("doc_id", F.lit(_FAR))
-    groups = table.groupBy("d0", "d1").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # written, so that the join deals both sides anew and Spark can split a line that very many texts share
+    groups = stash(table.groupBy("d0", "d1").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated-units")
     gone = table.join(groups, ["d0", "d1"]).filter(F.col("again") | (rank > F.col("first")))
     return gone.select("doc_id", "start", "stop", "n_words", F.nullif("first", F.lit(_FAR)).alias("keep_id"), "text_key")
 
