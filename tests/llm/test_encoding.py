@@ -152,3 +152,32 @@ def test_plan_uses_whole_combinations():
         assert at == 64 or at & (at - 1) == 0
     assert plan.fitted.sum() > 0.6 * hist.sum()
     assert packing.solve([(1, 1, 2), (2, 2)], np.array([0, 4, 2])).round(3).tolist() == [2, 0]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_have_the_library_s_ids(name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    t = Tokenizer.from_file(path)
+    r = random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|endoftext|", "<|", " ", "  ", "\n", "é", "Σ", "the", "1", "end of part"]
+    texts = [x or "" for x in ODD] + fuzz() + ["end of part <|endoftext|> next part"] + ["".join(r.choice(parts) for _ in range(r.randrange(20))) for _ in range(300)]
+    counts, ids = json_encoder(path, added=True).encode(texts)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    for i, x in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+
+
+def test_queries_take_added_tokens(spark, monkeypatch):
+    from tradewind.llm import queries
+
+    text = "end of part <|endoftext|> next part"
+    docs = spark.createDataFrame([(1, text), (2, "next")], "doc_id long, text string")
+    monkeypatch.setattr(queries, "_table", lambda *a: docs)
+    e = json_encoder(public_tokenizers.path("byte_bpe_50k.json"), added=True)
+    ids = e.encode([text])[1].tolist()
+    rows = {r.doc_id: r for r in queries.op1_token_ids_orc(spark, "").collect()}
+    assert 50256 in ids and rows[1].n_tokens == len(ids) + 1 == rows[2].start
+    ids = json_encoder(public_tokenizers.path("word_bpe_49k.json"), added=True).encode([text])[1].tolist()
+    assert 49407 in ids and {r.doc_tokens for r in queries.op8_pack_nnls(spark, "").collect() if r.doc_id == 1} == {len(ids) + 1}

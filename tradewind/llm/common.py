@@ -160,16 +160,20 @@ class Encoder:
 
     The vocabulary's pattern cuts a text into pieces that no merge crosses, so a piece's ids
     don't depend on its neighbours, and a process gives the library each piece once while it
-    stays in the cache. Cutting is done by the re module where it equals the pattern.
+    stays in the cache. Cutting is done by the re module where it equals the pattern. Literals
+    in added (content: id) are cut out of the text before anything else, the longest first.
     """
 
-    def __init__(self, model, pattern: str, normalizer=None, limit: int = 200_000):
-        self.model, self.normalizer = model, normalizer
+    def __init__(self, model, pattern: str, normalizer=None, limit: int = 200_000, added: dict[str, int] | None = None):
+        self.model, self.normalizer, self.added = model, normalizer, added or {}
+        self.literals = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.full, self.plain = regex.compile(pattern).findall, re.compile(plain_pattern(pattern)).findall
         self.chars = byte_chars()
         self.pool = Pool(self.piece, limit)
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str | int) -> list[int]:
+        if isinstance(piece, int):  # an added token
+            return [piece]
         return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))]
 
     def normal(self, text: str) -> str:
@@ -177,7 +181,18 @@ class Encoder:
             return self.normalizer.normalize_str(text)
         return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> list[str | int]:
+        if self.literals is None or not (found := list(self.literals.finditer(text))):
+            return self.between(text)
+        out: list[str | int] = []
+        at = 0
+        for m in found:
+            out += self.between(text[at : m.start()])
+            out.append(self.added[m[0]])
+            at = m.end()
+        return out + self.between(text[at:])
+
+    def between(self, text: str) -> list[str]:
         if self.normalizer is not None:
             text = self.normal(text)
         return self.full(text) if has_odd_numbers(text) else self.plain(text)
@@ -198,7 +213,7 @@ class Encoder:
         return np.concatenate(counts), np.concatenate(parts)
 
     def _group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        keys: list[str] = []
+        keys: list[str | int] = []
         ends = [0]
         for t in texts:
             keys += self.pieces(t)
@@ -211,22 +226,30 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def json_encoder(path: str) -> Encoder:
-    """Encoder of a tokenizers JSON file; one per process and file."""
-    if (path, "json") not in _ENCODERS:
+def json_encoder(path: str, added: bool = False) -> Encoder:
+    """Encoder of a tokenizers JSON file; one per process and file.
+
+    added: the file's added tokens in a text have their own ids, as the library has it unless
+    encode_special_tokens is set; otherwise they are text like any other.
+    """
+    if (path, "json", added) not in _ENCODERS:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         spec = json.load(open(path))
         pre = spec["pre_tokenizer"]
+        tokens = spec["added_tokens"] if added else []
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in tokens):
+            raise ValueError(f"{path}: added tokens that aren't plain literals")
+        ids = {x["content"]: x["id"] for x in tokens}
         if pre["type"] == "ByteLevel":
             import public_tokenizers
 
-            e = Encoder(t.model, public_tokenizers.PATTERN)
+            e = Encoder(t.model, public_tokenizers.PATTERN, added=ids)
         else:
-            e = Encoder(t.model, pre["pretokenizers"][0]["pattern"]["Regex"], t.normalizer)
-        _ENCODERS[path, "json"] = e
-    return _ENCODERS[path, "json"]
+            e = Encoder(t.model, pre["pretokenizers"][0]["pattern"]["Regex"], t.normalizer, added=ids)
+        _ENCODERS[path, "json", added] = e
+    return _ENCODERS[path, "json", added]
 
 
 def id_lists(counts: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

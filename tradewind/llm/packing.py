@@ -140,14 +140,14 @@ def make_plan(hist: np.ndarray, first_sequence: int, window: int = WINDOW) -> Pl
     return Plan(window, begin, a[:, 0], a[:, 1], a[:, 2], used, stream, seq, np.array(cuts, np.int64))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Rows of TOKENS, written: ids with end_id after each text, and each tail's number among those of its length in its part."""
     small_batches(docs.sparkSession)
 
     def encode(batches):
         from pyspark import TaskContext
 
-        part, windows, encoder = TaskContext.get().partitionId(), 0, json_encoder(vocabulary)
+        part, windows, encoder = TaskContext.get().partitionId(), 0, json_encoder(vocabulary, added)
         seen = np.zeros(window, np.int64)
         for b in batches:
             if not b.num_rows:
@@ -210,11 +210,11 @@ def pack(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     return map_arrow(placed, place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Encode whole texts and pack them; a row a piece, as pack() gives them.
 
     A null or empty text is end_id alone; rows that repeat an id are packed like any others;
     null ids stay null; other columns are ignored; no rows in, no rows out. A sequence is full
     but for those of the last window, whose lengths are powers of two.
     """
-    return pack(encode_documents(docs, vocabulary, end_id, window, id_col, text_col), window)
+    return pack(encode_documents(docs, vocabulary, end_id, window, id_col, text_col, added), window)

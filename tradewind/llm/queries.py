@@ -33,7 +33,7 @@ def query(f):
 @query
 def op1_token_ids_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-ids")
-    token_orc.write_token_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    token_orc.write_token_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, added=True)
     return token_orc.token_spans(spark, path)
 
 
@@ -88,7 +88,7 @@ FROM f
 
 @query
 def op8_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2).drop("ids")
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, added=True).drop("ids")
 
 
 @query

@@ -22,12 +22,12 @@ SCHEMA = "doc_id long, shard int, ids_before long, n_tokens long, ids array<int>
 OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(64 << 20)}
 
 
-def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> None:
     """Encode whole texts (null: empty), append end_id to each, write ORC files in ascending order of id.
 
     Null ids come first; rows that repeat an id stay, ordered by text. Other columns of docs
     are ignored; an empty table gives a folder without rows. A file's rows carry its shard
-    number (files ascend with it) and the ids before them in the file.
+    number (files ascend with it) and the ids before them in the file. added: see json_encoder.
     """
     small_batches(docs.sparkSession)
     ordered = narrow(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -35,7 +35,7 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0
     def encode(batches):
         from pyspark import TaskContext
 
-        shard, before, encoder = TaskContext.get().partitionId(), 0, json_encoder(vocabulary)
+        shard, before, encoder = TaskContext.get().partitionId(), 0, json_encoder(vocabulary, added)
         for b in batches:
             if not b.num_rows:
                 continue
