@@ -194,10 +194,10 @@ def path_scores(rows: list[tuple[str, str, bool, bool, int]]) -> dict[str, float
 def main_text(page: str) -> str:
     rows = blocks(page)
     good = [r for r in rows if not r[2]]
-    if any(r[3] for r in rows) or re.search(r"<(?:article|main)[\s>]", page, re.I):
-        return " ".join(r[0] for r in good if r[3])
     if not good:
         return ""
+    if any(r[3] for r in good):
+        return " ".join(r[0] for r in good if r[3])
     score = path_scores(rows)
     size = {}
     for r in good:
