@@ -29,6 +29,11 @@ CASES = {
     "plain": ("just text &amp; more", "just text & more"),
     "nothing": ("", ""),
     "attributes": ("<article><p title=\"a > b\" data-x='<i>'>kept</p></article>", "kept"),
+    "stray quote in a value": ("<article><p title=don't>Kept text</p><p>More text</p></article>", "Kept text More text"),
+    "stray quote after a value": ('<article><p class="a"">Kept</p><p>More</p></article>', "Kept More"),
+    "stray quote as a name": ("<article><p ' \" class=a>Kept</p><p title = 'x>y' lang=x/>More</p></article>", "Kept More"),
+    "values without quotes": ("<article><a href=/a/b?c='d>One</a> <p class=>Two</p><p =x>Three</p></article>", "One Two Three"),
+    "marks inside other values": ("<article><p title='class=ad hidden' data-class=ad>Kept</p><!--> <p>More</p><!-- x --!><p>End</p></article>", "Kept More End"),
     "inline spaces": ("<article><p>a <i> b </i>\n\t c</p><div>d</div>e</article>", "a b c d e"),
 }
 

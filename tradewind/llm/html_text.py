@@ -40,8 +40,12 @@ HINTS = frozenset(
     "comment comments commentlist disqus respond replies reply discussion reactions "
     "share sharing social hidden skip complementary contentinfo dialog search form".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: An attribute as HTML reads it: a quote opens a value only right after the equals sign.
+_VALUE = r"(?:\s*+=\s*+(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*+)|(?=>|\Z)))?+"
+_ATTR = re.compile(rf"([^\s/>][^\s/>=]*+){_VALUE}")
+_ATTRS = rf"(?:[\s/]++|[^\s/>][^\s/>=]*+{re.sub(r'\((?!\?)', '(?:', _VALUE)})*+"
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS})(>|\Z)", re.S)
+_MARKS = frozenset("class id role hidden aria-hidden style".split())
 _NAME = re.compile(r"[A-Za-z]+")
 _PUNCT = re.compile(r"[.,;:!?…。，！？¿¡]")
 #: Share of the mean fused ratio that makes a path content.
@@ -60,6 +64,8 @@ def _hinted(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
     name, bad = tag, False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key not in _MARKS:
+            continue
         if key == "hidden":
             bad = bad or "=" not in m[0] or value.lower() not in ("", "false") or value == ""
         elif key == "aria-hidden":
