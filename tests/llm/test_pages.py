@@ -73,6 +73,12 @@ def test_an_article_without_main_text_is_no_container(extra):
     assert html_text.main_text(page(DIVS + extra)) == f"Head {LOREM} {LOREM}"
 
 
+def test_paths_are_scored_on_pages_with_an_article():
+    teaser = "<article><h3>Teaser</h3></article>"
+    assert html_text.main_text(page(f"{DIVS}<div class='x9'>{teaser * 3}</div>")) == f"Head {LOREM} {LOREM}"
+    assert html_text.main_text(page(f"<article><h1>Head</h1><p>{LOREM}</p></article><div><span>Imprint</span></div>")) == f"Head {LOREM}"
+
+
 def payloads():
     big = "<p>" + "x" * 200 + "</p>"
     return [(5, "http://a/?q=1 2", big), (3, None, big), (9, "http://b", big), (4, "http://c", "short"), (2, "http://d", "short"), (7, "http://e", None), (8, "http://f", ""), (1, "http://g", "é" * 50), (6, "http://h", "é" * 50), (10, "http://i\r\nX: y", "r\r\n\r\nWARC/1.1 \r\n\r\n" * 20), (11, "u", "L" * 900_000), (12, "u", "é" * 49), (13, "u", "é" * 49), (None, "n", big), (5, "http://a/?q=1 2", big)]

@@ -5,8 +5,9 @@ ratios: characters a node, and punctuation marks a node, both without the text o
 The ratios are smoothed over neighbouring paths in page order and fused by their product;
 paths over a threshold, a share of the page's weighted mean, are content. The content's
 container is the deepest element that holds most of the selected text; all blocks inside it
-that no menu, notice, form or comment section encloses make up the main text. An article or
-main element is taken as the container, as the page's author marks it so.
+that no menu, notice, form or comment section encloses make up the main text. Paths are
+scored on every page; article and main elements, which the page's author marks as content, are
+taken as the container if they hold MARKED of the selected text.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ _NAME = re.compile(r"[A-Za-z]+")
 _PUNCT = re.compile(r"[.,;:!?…。，！？¿¡]")
 #: Share of the mean fused ratio that makes a path content.
 THRESHOLD = 0.5
+#: Share of the selected text that article and main elements hold if they are the container.
+MARKED = 0.5
 
 
 class Node:
@@ -202,8 +205,6 @@ def main_text(page: str) -> str:
     good = [r for r in rows if not r[2]]
     if not good:
         return ""
-    if any(r[3] for r in good):
-        return " ".join(r[0] for r in good if r[3])
     score = path_scores(rows)
     size = {}
     for r in good:
@@ -211,13 +212,16 @@ def main_text(page: str) -> str:
     mean = sum(score[p] * n for p, n in size.items()) / sum(size.values())
     chosen = {p for p in size if score[p] >= THRESHOLD * mean and score[p] > 0}
     if not chosen:
-        return " ".join(r[0] for r in good)
+        return " ".join(r[0] for r in [r for r in good if r[3]] or good)
     held: dict[str, int] = {}
     for p in chosen:
         parts = p.split("/")
         for k in range(2, len(parts) + 1):
             held["/".join(parts[:k])] = held.get("/".join(parts[:k]), 0) + size[p]
     total = sum(size[p] for p in chosen)
+    marked = [r for r in good if r[3]]
+    if sum(len(r[0]) for r in marked if r[1] in chosen) >= MARKED * total:
+        return " ".join(r[0] for r in marked)
     box = max((p for p in held if held[p] >= 0.8 * total), key=lambda p: (p.count("/"), held[p]), default="")
     if box in size:  # a leaf: its parent holds its headings and lists
         box = box.rpartition("/")[0]
