@@ -79,6 +79,16 @@ def test_paths_are_scored_on_pages_with_an_article():
     assert html_text.main_text(page(f"<article><h1>Head</h1><p>{LOREM}</p></article><div><span>Imprint</span></div>")) == f"Head {LOREM}"
 
 
+@pytest.mark.parametrize("part", [
+    f'<section id="discussion"><h2>Talk</h2><p>{LOREM}</p><p>{LOREM}</p></section>', f'<div class="related-work"><h2 id="search-form">Talk</h2><p>{LOREM}</p><p>{LOREM}</p></div>',
+    f'<div class="alert notice"><h2 class="social">Talk</h2><p>{LOREM}</p><p>{LOREM}</p></div>', f'<h2 id="search-form">Talk</h2><div id="cookie-law"><p>{LOREM}</p><p>{LOREM}</p></div>',
+])
+def test_hint_words_inside_an_article_keep_long_text(part):
+    menu = '<div class="related"><a href="/x">More of this</a></div><div class="social-bar">Share</div>'
+    rest = f'<div class="ad"><p>{LOREM}</p></div><div class="nav"><p>{LOREM}</p></div><div role="complementary"><p>{LOREM}</p></div>'
+    assert html_text.main_text(page(f"{NAV}<article><h1>Head</h1><p>{LOREM}</p>{part}{menu}{rest}</article>")) == f"Head {LOREM} Talk {LOREM} {LOREM}"
+
+
 def payloads():
     big = "<p>" + "x" * 200 + "</p>"
     return [(5, "http://a/?q=1 2", big), (3, None, big), (9, "http://b", big), (4, "http://c", "short"), (2, "http://d", "short"), (7, "http://e", None), (8, "http://f", ""), (1, "http://g", "é" * 50), (6, "http://h", "é" * 50), (10, "http://i\r\nX: y", "r\r\n\r\nWARC/1.1 \r\n\r\n" * 20), (11, "u", "L" * 900_000), (12, "u", "é" * 49), (13, "u", "é" * 49), (None, "n", big), (5, "http://a/?q=1 2", big)]

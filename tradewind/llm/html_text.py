@@ -29,6 +29,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 #: What such lists end at.
 SCOPE = frozenset("ul ol dl table menu html body article section div main td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that never hold main text.
 BOILERPLATE = frozenset("nav footer aside form script style noscript template button select option textarea input iframe object svg canvas audio video menu dialog head title datalist search noembed noframes".split())
@@ -41,6 +42,12 @@ HINTS = frozenset(
     "comment comments commentlist disqus respond replies reply discussion reactions "
     "share sharing social hidden skip complementary contentinfo dialog search form".split()
 )
+#: Hint words that also name subjects or parts of an article; inside one they count as hints only.
+SUBJECTS = frozenset(
+    "header banner sponsor sponsors sponsored promotion promoted related recommended recommendations popular trending toc "
+    "consent notice notices alert overlay subscription signup login respond replies reply discussion reactions "
+    "social search form skip dialog widget widgets aside complementary".split()
+)
 #: An attribute as HTML reads it: a quote opens a value only right after the equals sign.
 _VALUE = r"(?:\s*+=\s*+(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*+)|(?=>|\Z)))?+"
 _ATTR = re.compile(rf"([^\s/>][^\s/>=]*+){_VALUE}")
@@ -51,20 +58,26 @@ _NAME = re.compile(r"[A-Za-z]+")
 _PUNCT = re.compile(r"[.,;:!?…。，！？¿¡]")
 #: Share of the mean fused ratio that makes a path content.
 THRESHOLD = 0.5
+#: What a hint word inside an article leaves of a score.
+LOWERED = 0.75
 #: Share of the selected text that article and main elements hold if they are the container.
 MARKED = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "path", "bad", "inside")
+    __slots__ = ("tag", "path", "bad", "inside", "hint")
+
+    def __init__(self, tag: str, path: str, bad: bool, inside: bool, hint: str = ""):
+        self.tag, self.path, self.bad, self.inside, self.hint = tag, path, bad, inside, hint
 
-    def __init__(self, tag: str, path: str, bad: bool, inside: bool):
-        self.tag, self.path, self.bad, self.inside = tag, path, bad, inside
 
+def _hinted(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
+    """(name in paths, whether its attributes mark boilerplate, whether they hint at it).
 
-def _hinted(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
-    """(name in paths, whether its attributes mark boilerplate)."""
-    name, bad = tag, False
+    Inside an article a class, id or role marks boilerplate only if it is a hint word as it
+    stands; parts of longer names and SUBJECTS are hints, and a heading's id is a link's target.
+    """
+    name, bad, hint = tag, False, False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key not in _MARKS:
@@ -78,14 +91,21 @@ def _hinted(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
         else:
             name += "." + value
             parts = {x.lower() for x in _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))}
-            if tag not in ("html", "body", "article", "main") and parts & HINTS and not (inside and parts & {"header"}):
+            if tag in ("html", "body", "article", "main") or not parts & HINTS:
+                continue
+            if not inside:
                 bad = True
-    return name, bad
+            elif key == "role":
+                bad = bad or bool(set(value.lower().split()) & HINTS)
+            elif not (key == "id" and tag in HEADINGS) and not parts & {"header"}:
+                bad = bad or bool(set(value.lower().split()) & (HINTS - SUBJECTS))
+                hint = True
+    return name, bad, hint
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool, int]]:
-    """(text, path, boilerplate, inside article or main, characters in links) of a page's blocks in order."""
-    out: list[tuple[str, str, bool, bool, int]] = []
+def blocks(page: str) -> list[tuple[str, str, bool, bool, int, str]]:
+    """(text, path, boilerplate, inside article or main, characters in links, path of the hinted element around it) of a page's blocks in order."""
+    out: list[tuple[str, str, bool, bool, int, str]] = []
     stack = [Node("#root", "", False, False)]
     text: list[str] = []
     links = 0
@@ -96,7 +116,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, int]]:
         if text:
             s = " ".join(html.unescape("".join(text)).split())
             if s:
-                out.append((s, broke.path, broke.bad, broke.inside, links))
+                out.append((s, broke.path, broke.bad, broke.inside, links, broke.hint))
             text, links = [], 0
 
     def block() -> Node:
@@ -108,11 +128,11 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, int]]:
         if s.strip() or text:
             if not text:
                 broke = block()
-                broke = Node(broke.tag, broke.path, bad, broke.inside)
+                broke = Node(broke.tag, broke.path, bad, broke.inside, broke.hint)
             elif bad != broke.bad and s.strip():
                 flush()
                 b = block()
-                broke = Node(b.tag, b.path, bad, b.inside)
+                broke = Node(b.tag, b.path, bad, b.inside, b.hint)
             text.append(s)
             if any(n.tag == "a" for n in stack):
                 links += len(s)
@@ -168,25 +188,26 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, int]]:
             continue
         up = stack[-1]
         if tag in ("article", "main") or m[3]:
-            name, bad = _hinted(tag, m[3], up.inside) if m[3] else (tag, False)
+            name, bad, hint = _hinted(tag, m[3], up.inside) if m[3] else (tag, False, False)
         else:
-            name, bad = tag, False
+            name, bad, hint = tag, False, False
         inside = up.inside or tag in ("article", "main")
         bad = bad or up.bad or tag in BOILERPLATE or tag == "header" and not up.inside
         if tag in INLINE and not bad:
-            stack.append(Node(tag, up.path, bad, inside))
+            stack.append(Node(tag, up.path, bad, inside, up.hint))
         else:
-            stack.append(Node(tag, f"{up.path}/{name}", bad, inside))
+            path = f"{up.path}/{name}"
+            stack.append(Node(tag, path, bad, inside, up.hint or (path if hint else "")))
         if tag in RAW and not m[3].endswith("/"):
             raw = tag
     flush()
     return out
 
 
-def path_scores(rows: list[tuple[str, str, bool, bool, int]]) -> dict[str, float]:
+def path_scores(rows: list[tuple[str, str, bool, bool, int, str]]) -> dict[str, float]:
     """Fused, smoothed ratios of the paths; boilerplate paths have none."""
     paths: dict[str, list[float]] = {}
-    for s, path, bad, _, links in rows:
+    for s, path, bad, _, links, _ in rows:
         p = paths.setdefault(path, [0, 0, 0])
         if not bad:
             p[0] += 1
@@ -200,6 +221,17 @@ def path_scores(rows: list[tuple[str, str, bool, bool, int]]) -> dict[str, float
     return dict(zip(paths, (smooth[:, 0] * (1 + smooth[:, 1])) * (a[:, 0] > 0), strict=True))
 
 
+def hinted_away(good: list[tuple[str, str, bool, bool, int, str]], score: dict[str, float], mean: float) -> set[str]:
+    """Hinted elements inside an article whose lowered score, the mean over their text, is under the threshold."""
+    sums: dict[str, list[float]] = {}
+    for r in good:
+        if r[5]:
+            p = sums.setdefault(r[5], [0, 0])
+            p[0] += score[r[1]] * len(r[0])
+            p[1] += len(r[0])
+    return {p for p, (total, n) in sums.items() if LOWERED * total / n < THRESHOLD * mean}
+
+
 def main_text(page: str) -> str:
     rows = blocks(page)
     good = [r for r in rows if not r[2]]
@@ -210,6 +242,11 @@ def main_text(page: str) -> str:
     for r in good:
         size[r[1]] = size.get(r[1], 0) + len(r[0])
     mean = sum(score[p] * n for p, n in size.items()) / sum(size.values())
+    weak = hinted_away(good, score, mean)
+    if weak:
+        good = [r for r in good if r[5] not in weak]
+        kept = {r[1] for r in good}
+        size = {p: n for p, n in size.items() if p in kept}
     chosen = {p for p in size if score[p] >= THRESHOLD * mean and score[p] > 0}
     if not chosen:
         return " ".join(r[0] for r in [r for r in good if r[3]] or good)
