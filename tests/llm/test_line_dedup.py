@@ -75,3 +75,53 @@ def test_ids_that_repeat(spark):
     line = "one two three four five six seven eight nine"
     docs = spark.createDataFrame([(1, line), (1, line), (1, "other\n" + line), (2, line + "\n" + line)], "doc_id long, text string")
     assert sorted((r.doc_id, r.start) for r in x.repeats(docs).collect()) == [(2, 0), (2, len(line) + 1)]
+
+
+def test_any_fifty_words_that_come_back_are_found(spark):
+    """Brute force over windows of 50 words (characters without spaces), that doesn't use units()."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    short = lambda n: " ".join(" ".join(word() for _ in range(r.randrange(2, 7))).capitalize() + "." for _ in range(n))
+    run = lambda n: " ".join(word() for _ in range(n))
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    thai = "".join(chr(r.randrange(0xE01, 0xE2F)) for _ in range(60))
+    dozen = " ".join(" ".join(word() for _ in range(5)) + "." for _ in range(12))
+    shared = [dozen, short(20), run(60), run(50), han(60), thai, "。".join(han(5) for _ in range(12)), "go on. " * 40]
+    dense = [False] * 4 + [True] * 3 + [False]
+    rows = []
+    for s, d in zip(shared, dense, strict=True):
+        around = (lambda: han(r.randrange(1, 30))) if d else (lambda: r.choice([run(3) + ".", run(5) + ".", run(9), short(3)]))
+        gap = "" if d else " "
+        rows += [(10 * len(rows) + k, gap.join([around(), s, around()])) for k in range(4)]
+    rows.append((5000, run(300) + " " + short(30)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = {}
+    for g in x.repeats(docs).collect():
+        gone.setdefault(g.doc_id, []).append((g.start, g.stop))
+        assert g.keep_id <= g.doc_id
+    seen, missed, found = set(), 0, 0
+    for d, t in rows:
+        if any("\u0e00" <= c for c in t):
+            spans = [(i, i + 1) for i, c in enumerate(t) if c != "。"]
+        else:
+            at, spans = 0, []
+            for w in t.split():
+                at = t.index(w, at)
+                spans.append((at, at + len(w)))
+                at += len(w)
+        mine = set()
+        for k in range(len(spans) - 49):
+            a, b = spans[k][0], spans[k + 49][1]
+            key = " ".join(t[a:b].lower().split())
+            if key in seen:
+                found += 1
+                missed += not any(p < b and q > a for p, q in gone.get(d, []))
+            mine.add(key)
+        seen |= mine
+    assert found > 100 and missed == 0
+    assert 5000 not in gone and all(rows[k][0] not in gone for k in range(0, 28, 4))
+
+
+def test_equal_windows_do_not_overlap():
+    spans = [u[:2] for u in x.units("x " * 500) if u[2] == x.WINDOW]
+    assert spans == [(50 * i, 50 * i + 49) for i in range(len(spans))] and len(spans) >= 18

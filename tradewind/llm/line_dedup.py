@@ -8,6 +8,12 @@ digests, which are grouped globally: the count and the least document are sums a
 made before the shuffle, so a line that a third of all documents share is no large group.
 The occurrence in the smallest document, first in it, stays; all others go, and the spans
 that went are told in characters of the original text.
+
+Boundaries of short sentences depend on what stands before them, and a passage in a longer line
+may hold no whole unit. So a text also has windows of WINDOW words as units, chosen by their
+hashes alone (winnowing): of each FOUND words in a row, wherever they stand, the window with the
+least hash is one. Any FOUND words that come back therefore share a unit. Where a script has no
+spaces, each character counts as a word.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,28 +31,76 @@ from tradewind.llm.common import map_arrow, narrow, quoted, small_batches, stash
 
 MIN_WORDS = 8
 #: Sentence ends before white space, and line ends.
-_END = re.compile(r"[.!?…。！？][\"'”’)\]»]*(?=\s)|\n")
+_END = re.compile(r"[.!?…][\"'”’)\]»]*(?=\s)|[。！？][\"'”’)\]»」』]*|\n")
+#: Letters of scripts without spaces: Thai to Tibetan, Myanmar, Khmer, kana, Han.
+_DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_DENSE, _WORD, _DENSE_WORD = re.compile(f"[{_DENSE}]"), re.compile(r"\S+"), re.compile(f"[{_DENSE}]|[^\\s{_DENSE}]+")
+WINDOW, FOUND = 25, 50
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _LINE, _PARAGRAPH = re.compile(r"\n"), re.compile(r"\n[^\S\n]*\n\s*")
 _FAR = (1 << 63) - 1
 UNITS = "doc_id long, text_key long, start int, stop int, n_words int, again boolean, d0 long, d1 long"
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    known = {w: xxhash.xxh3_64_intdigest(w.lower().encode()) for w in set(words)}
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def windows(text: str, dense: bool) -> list[tuple[int, int, int, str]]:
+    """(start, stop, words, normalised unit) of a text's windows; equal ones don't overlap."""
+    if len(text) < FOUND:
+        return []
+    spans = [m.span() for m in (_DENSE_WORD if dense else _WORD).finditer(text)]
+    n = len(spans)
+    if n < FOUND:
+        return []
+    words = [text[a:b] for a, b in spans]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(word_hashes(words) * powers(_BASE, n), out=sums[1:])
+    h = (sums[WINDOW:] - sums[:-WINDOW]) * powers(_INVERSE, n - WINDOW + 1)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(_BASE)
+    h ^= h >> np.uint64(29)
+    wide = FOUND - WINDOW + 1
+    picked: set[int] = set()
+    for at in range(0, len(h) - wide + 1, 1 << 14):  # bounds memory
+        part = np.lib.stride_tricks.sliding_window_view(h[at : at + (1 << 14) + wide - 1], wide)
+        picked.update((part.argmin(axis=1) + np.arange(at, at + len(part))).tolist())
+    out: list[tuple[int, int, int, str]] = []
+    ends: dict[int, int] = {}
+    for i in sorted(picked):
+        key = int(h[i])
+        if ends.get(key, 0) <= i:
+            ends[key] = i + WINDOW
+            out.append((spans[i][0], spans[i + WINDOW - 1][1], WINDOW, "\0" + " ".join(words[i : i + WINDOW]).lower()))
+    return out
+
+
 def units(text: str, min_words: int = MIN_WORDS, unit: str = "sentence") -> list[tuple[int, int, int, str]]:
     """(start, stop, words, normalised unit) of a text's units; unit: sentence, line or paragraph."""
     out: list[tuple[int, int, int, str]] = []
     ends = {"sentence": _END, "line": _LINE, "paragraph": _PARAGRAPH}[unit]
+    dense = not text.isascii() and _HAS_DENSE.search(text) is not None
     at = 0
     for m in [*ends.finditer(text), None]:
         stop = m.end() if m else len(text)
         piece = text[at:stop]
         words = piece.split()
-        if len(words) >= min_words:
+        n = len(_DENSE_WORD.findall(piece)) if dense else len(words)
+        if n >= min_words:
             start = at + len(piece) - len(piece.lstrip())
-            out.append((start, at + len(piece.rstrip()), len(words), " ".join(words).lower()))
+            out.append((start, at + len(piece.rstrip()), n, " ".join(words).lower()))
         elif m and m[0] != "\n" and unit == "sentence":
             continue  # too short: part of the next
         at = stop
-    return out
+    return out + windows(text, dense) if unit == "sentence" else out
 
 
 def key_of(text: Column) -> Column:
