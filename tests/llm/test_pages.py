@@ -2,6 +2,9 @@
 
 import hashlib
 import random
+import re
+import time
+from html.parser import HTMLParser
 
 import pytest
 import zstandard
@@ -89,6 +92,79 @@ def test_hint_words_inside_an_article_keep_long_text(part):
     assert html_text.main_text(page(f"{NAV}<article><h1>Head</h1><p>{LOREM}</p>{part}{menu}{rest}</article>")) == f"Head {LOREM} Talk {LOREM} {LOREM}"
 
 
+@pytest.mark.parametrize("body, want", [
+    (f"<div class=post><h1>Head</h1><p>{LOREM}</p><p>{LOREM}</p></div><aside><article><p>Other story.</p></article></aside>", f"Head {LOREM} {LOREM}"),
+    (f"<div class=post><h1>Head</h1><p>{LOREM}</p><p>{LOREM}</p></div><article><h3>Other story</h3></article>", f"Head {LOREM} {LOREM}"),
+    (f'<div class="content search-page"><h1>Head</h1><p>{LOREM}</p></div><footer>f</footer>', f"Head {LOREM}"),
+    (f'<article><div class="product-notice"><p>{LOREM}</p></div></article>', LOREM),
+    (f"<form action=/><div class=x><h1>Head</h1><p>{LOREM}</p></div><input name=a></form>", f"Head {LOREM}"),
+    (f"<div class=x><h1>Head</h1><p>{LOREM}</p></div><div class='comments-area'><p>{LOREM} {LOREM} {LOREM}</p></div>", f"Head {LOREM}"),
+    (f"<div class=x><h1>Head</h1><p>{LOREM}</p><form><p>Mail us. Or not, as you like.</p></form></div>", f"Head {LOREM}"),
+])
+def test_pages_without_a_plain_article(body, want):
+    assert html_text.main_text(page(body)) == want
+
+
+def test_paths_give_the_same_without_articles():
+    for html, want in CASES.values():
+        if want and "</article>" in html and want.count(".") > 5:
+            assert html_text.main_text(re.sub("(</?)(article|main)", r"\1div", html)) == want
+
+
+class Plain(HTMLParser):
+    """(path, text) of the text nodes of a well-formed page."""
+
+    def __init__(self):
+        super().__init__()
+        self.path, self.nodes = [], []
+
+    def handle_starttag(self, tag, attrs):
+        self.path.append(tag + "".join(f".{v}" for _, v in attrs))
+
+    def handle_endtag(self, tag):
+        self.path.pop()
+
+    def handle_data(self, data):
+        self.nodes.append(("/".join(self.path), " ".join(data.split())))
+
+
+def test_path_scores_by_brute_force():
+    r = random.Random(8)
+    for _ in range(40):
+        text = lambda: " ".join(r.choice(LOREM.split()) for _ in range(r.randrange(1, 40)))
+
+        def tree(depth):
+            tag = r.choice(["div", "section", "ul", "blockquote"])
+            return f"<{tag} class=c{r.randrange(3)}>" + "".join(tree(depth - 1) if depth and r.random() < 0.5 else f"<p>{text()}</p>" for _ in range(r.randrange(1, 5))) + f"</{tag}>"
+
+        html = f"<body>{tree(4)}</body>"
+        plain = Plain()
+        plain.feed(html)
+        sums = {}
+        for path, s in plain.nodes:
+            n, length, marks = sums.get(path, (0, 0, 0))
+            sums[path] = (n + 1, length + len(s), marks + sum(s.count(c) for c in ".,;:!?"))
+        paths = [*sums]
+        at = lambda k, of: sums[paths[min(max(k, 0), len(paths) - 1)]][of] / sums[paths[min(max(k, 0), len(paths) - 1)]][0]  # noqa: B023, E731
+        smooth = lambda k, of: 0.1 * at(k - 1, of) + 0.8 * at(k, of) + 0.1 * at(k + 1, of)  # noqa: B023, E731
+        want = [smooth(k, 1) * (1 + smooth(k, 2)) for k in range(len(paths))]
+        parsed = html_text.parse(html)
+        got = html_text.path_scores(parsed.blocks, [False] * len(parsed.blocks))
+        assert [b.text for b in parsed.blocks] == [s for _, s in plain.nodes]
+        assert list(got.values()) == pytest.approx(want)
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    makers = [lambda n: "<div>" * n + "x", lambda n: "<div><p>w</p>" * n, lambda n: "<div>" * n + "x" + "</span></b></p>" * n, lambda n: "<ul><li>" * n + "t", lambda n: "<article>" * n + "</b>t" * n, lambda n: "<p class=ad>x" * n]
+    for make in makers:
+        took = []
+        for n in (2_000, 20_000):
+            began = time.process_time()
+            html_text.main_text(make(n))
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * max(took[0], 0.01)  # ten times as long, not a hundred times
+
+
 def payloads():
     big = "<p>" + "x" * 200 + "</p>"
     return [(5, "http://a/?q=1 2", big), (3, None, big), (9, "http://b", big), (4, "http://c", "short"), (2, "http://d", "short"), (7, "http://e", None), (8, "http://f", ""), (1, "http://g", "é" * 50), (6, "http://h", "é" * 50), (10, "http://i\r\nX: y", "r\r\n\r\nWARC/1.1 \r\n\r\n" * 20), (11, "u", "L" * 900_000), (12, "u", "é" * 49), (13, "u", "é" * 49), (None, "n", big), (5, "http://a/?q=1 2", big)]
