@@ -6,8 +6,8 @@ import json
 import re
 import unicodedata
 import uuid
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.session import ship
+from tradewind.session import shared_folder, ship
 
 #: Characters that separate words in the contracts' word pattern.
 WORD = re.compile(r"[^ \t-\r]+")
@@ -28,12 +28,8 @@ BATCH_CHARS = 2_000_000
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder name in the folder the cluster shares (spark.checkpoint.dir).
-
-    Only where that setting is absent, as in local tests, a folder of this machine is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tradewind-shared"
-    return f"{base.rstrip('/')}/tradewind/{label}-{uuid.uuid4().hex}"
+    """A new folder name in the application's shared folder, which goes when the application ends."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
@@ -53,6 +49,14 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh_name(names: list[str], name: str) -> str:
+    """A column name like name that isn't among names, whatever their case."""
+    taken = {n.lower() for n in names}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of texts holds; workers find this package."""
     ship(spark)
@@ -61,6 +65,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema) -> DataFrame:
     """mapInArrow of a function from a batch to columns by name."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,48 +90,71 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
 
 
-class Slots(dict):
-    """Slots of keys; a missing key takes its run from the generation before or has it made."""
+class Runs:
+    """Keys with their runs of integers in one array: key k has ids[ends[slots[k]] : ends[slots[k] + 1]]."""
+
+    __slots__ = ("slots", "ends", "ids", "chars")
 
-    __slots__ = ("make", "ids", "ends", "old")
+    def __init__(self):
+        self.slots: dict[str | int, int] = {}
+        self.ends, self.ids, self.chars = np.zeros(1, np.int64), np.zeros(0, np.int32), 0
 
-    def __init__(self, make: Callable[[str], list[int]], old: Slots | None):
-        self.make, self.ids, self.ends, self.old = make, array("i"), array("q", [0]), old
-        if old is not None:
-            old.old = None  # only one generation is kept
+    def add(self, keys: list, lens: np.ndarray, ids: np.ndarray) -> None:
+        self.slots.update(zip(keys, range(len(self.ends) - 1, len(self.ends) - 1 + len(keys)), strict=True))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.chars += sum(len(k) for k in keys if isinstance(k, str))
 
-    def __missing__(self, key: str) -> int:
-        old = self.old
-        k = None if old is None else old.get(key)
-        self.ids.extend(self.make(key) if k is None else old.ids[old.ends[k] : old.ends[k + 1]])
-        self.ends.append(len(self.ids))
-        self[key] = n = len(self.ends) - 2
-        return n
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length of each run, all runs one after the other) of slots."""
+        starts = self.ends[at]
+        lens = self.ends[at + 1] - starts
+        return lens, self.ids[ragged(starts, lens)]
 
 
 class Pool:
-    """Values of keys as runs of integers in one array; make(key) gives a new key's run.
+    """Values of keys as runs of integers; make(keys) gives new keys' (lengths, runs), all those of a batch at once.
 
-    Two generations bound it: when the young one is full it becomes the old one, and keys
-    still in use come back from there without being made again.
+    Two generations bound it: when the young one is full (limit keys, or KEY_CHARS characters a
+    key of it) it becomes the old one, and keys still in use come back from there without
+    being made again.
     """
 
-    def __init__(self, make: Callable[[str], list[int]], limit: int):
-        self.make, self.limit, self.slots = make, limit, Slots(make, None)
+    KEY_CHARS = 24
 
-    def at(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(slot of each key, ends of all runs, all runs)."""
-        if len(self.slots) > self.limit:
-            self.slots = Slots(self.make, self.slots)
-        slots = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
-        return slots, np.array(self.slots.ends, np.int64), np.array(self.slots.ids, np.int32)
+    def __init__(self, make: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int):
+        self.make, self.limit, self.young, self.old = make, limit, Runs(), Runs()
 
-    def take(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def at(self, keys: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slot of each key, ends of all runs, all runs)."""
+        if len(self.young.slots) > self.limit or self.young.chars > self.limit * self.KEY_CHARS:
+            self.young, self.old = Runs(), self.young
+        young = self.young
+        slots = np.fromiter(map(young.slots.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            lost = [keys[i] for i in missing.tolist()]
+            self._fetch(list(dict.fromkeys(lost)))
+            slots[missing] = np.fromiter(map(young.slots.__getitem__, lost), np.int64, len(lost))
+        return slots, young.ends, young.ids
+
+    def _fetch(self, keys: list) -> None:
+        found = np.fromiter(map(self.old.slots.get, keys, repeat(-1)), np.int64, len(keys))
+        if (found >= 0).any():
+            self.young.add([k for k, f in zip(keys, found.tolist(), strict=True) if f >= 0], *self.old.take(found[found >= 0]))
+            keys = [k for k, f in zip(keys, found.tolist(), strict=True) if f < 0]
+        if keys:
+            self.young.add(keys, *self.make(keys))
+
+    def take(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
         """(length of each key's run, all runs one after the other)."""
-        at, ends, ids = self.at(keys)
-        starts = ends[at]
-        lens = ends[at + 1] - starts
-        return lens, ids[ragged(starts, lens)]
+        at, _, _ = self.at(keys)
+        return self.young.take(at)
+
+
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(length of each list, all of them one after the other)."""
+    return np.fromiter(map(len, lists), np.int64, len(lists)), np.fromiter(chain.from_iterable(lists), np.int32)
 
 
 def plain_pattern(pattern: str) -> str:
@@ -140,19 +168,26 @@ def plain_pattern(pattern: str) -> str:
     return f"{' ?' if ' ?[^' in pattern else ''}[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u02af]++(?![^\\W\\d_])|{pattern}"
 
 
-#: Numbers that aren't decimal digits.
-ODD_NUMBERS = frozenset(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("No", "Nl"))
-_ODD_LATIN = [c for c in ODD_NUMBERS if c < "\u0100"]
+def char_class(chars: Iterable[str]) -> str:
+    """A pattern of one of the characters."""
+    at = np.array(sorted(map(ord, chars)))
+    runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+    return "[" + "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in runs) + "]"
 
 
-def has_odd_numbers(text: str) -> bool:
-    if text.isascii():
-        return False
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return not ODD_NUMBERS.isdisjoint(text)
-    return any(c in text for c in _ODD_LATIN)
+#: Characters on which the re module and a pattern of Unicode classes can part: numbers that aren't decimal digits, and those Python's tables don't know.
+ODD = frozenset(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) in ("No", "Nl", "Cn"))
+_ODD_LATIN = re.compile(char_class(c for c in ODD if c < "\u0100"))
+
+
+def strange_marks(normalizer) -> set[str]:
+    """Marks that a library's normaliser, whose tables aren't Python's, orders or composes in another way."""
+    out = set()
+    for c in map(chr, range(0x300, 0x110000)):
+        apart = f"a\u0345{c}" if 0 < unicodedata.combining(c) < 240 else unicodedata.normalize("NFD", c) if unicodedata.decomposition(c)[:1] not in ("", "<") else ""
+        if apart and normalizer.normalize_str(apart) != unicodedata.normalize("NFC", apart).lower():
+            out.add(apart[-1])
+    return out
 
 
 class Encoder:
@@ -161,20 +196,32 @@ class Encoder:
     The vocabulary's pattern cuts a text into pieces that no merge crosses, so a piece's ids
     don't depend on its neighbours, and a process gives the library each piece once while it
     stays in the cache. Cutting is done by the re module where it equals the pattern. Literals
-    in added (content: id) are cut out of the text before anything else, the longest first.
+    in added (content: id) are cut out of the text before anything else, the longest first. A
+    text with a character on which Python and the library can part goes whole to library, if
+    that is given, else it is cut by the pattern itself.
     """
 
-    def __init__(self, model, pattern: str, normalizer=None, limit: int = 200_000, added: dict[str, int] | None = None):
-        self.model, self.normalizer, self.added = model, normalizer, added or {}
+    def __init__(self, model, pattern: str, normalizer=None, limit: int = 400_000, added: dict[str, int] | None = None, library: Callable[[str], list[int]] | None = None):
+        self.model, self.normalizer, self.added, self.library = model, normalizer, added or {}, library
         self.literals = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.odd = re.compile(char_class(ODD if normalizer is None else ODD | strange_marks(normalizer))).search
         self.full, self.plain = regex.compile(pattern).findall, re.compile(plain_pattern(pattern)).findall
         self.chars = byte_chars()
-        self.pool = Pool(self.piece, limit)
-
-    def piece(self, piece: str | int) -> list[int]:
-        if isinstance(piece, int):  # an added token
-            return [piece]
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))]
+        self.pool = Pool(self.make, limit)
+
+    def is_odd(self, text: str) -> bool:
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.odd(text) is not None
+        return _ODD_LATIN.search(text) is not None
+
+    def make(self, pieces: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces; an integer is an added token's id."""
+        tokenize, chars = self.model.tokenize, self.chars
+        return flat([[p] if isinstance(p, int) else [t.id for t in tokenize(p.encode().decode("latin-1").translate(chars))] for p in pieces])
 
     def normal(self, text: str) -> str:
         if "\u03a3" in text:  # the library lower-cases sigma alike everywhere in a word
@@ -182,20 +229,23 @@ class Encoder:
         return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
 
     def pieces(self, text: str) -> list[str | int]:
+        odd = self.is_odd(text)
+        if odd and self.library is not None:
+            return self.library(text)
         if self.literals is None or not (found := list(self.literals.finditer(text))):
-            return self.between(text)
+            return self.between(text, odd)
         out: list[str | int] = []
         at = 0
         for m in found:
-            out += self.between(text[at : m.start()])
+            out += self.between(text[at : m.start()], odd)
             out.append(self.added[m[0]])
             at = m.end()
-        return out + self.between(text[at:])
+        return out + self.between(text[at:], odd)
 
-    def between(self, text: str) -> list[str]:
+    def between(self, text: str, odd: bool) -> list[str]:
         if self.normalizer is not None:
             text = self.normal(text)
-        return self.full(text) if has_odd_numbers(text) else self.plain(text)
+        return self.full(text) if odd else self.plain(text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids one after the other)."""
@@ -242,12 +292,14 @@ def json_encoder(path: str, added: bool = False) -> Encoder:
         if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in tokens):
             raise ValueError(f"{path}: added tokens that aren't plain literals")
         ids = {x["content"]: x["id"] for x in tokens}
+        t.encode_special_tokens = not added
+        library = lambda text: t.encode(text, add_special_tokens=False).ids
         if pre["type"] == "ByteLevel":
             import public_tokenizers
 
-            e = Encoder(t.model, public_tokenizers.PATTERN, added=ids)
+            e = Encoder(t.model, public_tokenizers.PATTERN, added=ids, library=library)
         else:
-            e = Encoder(t.model, pre["pretokenizers"][0]["pattern"]["Regex"], t.normalizer, added=ids)
+            e = Encoder(t.model, pre["pretokenizers"][0]["pattern"]["Regex"], t.normalizer, added=ids, library=library)
         _ENCODERS[path, "json", added] = e
     return _ENCODERS[path, "json", added]
 

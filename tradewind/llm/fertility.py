@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import WORD, Pool, quoted, ragged, small_batches
+from tradewind.llm.common import WORD, Pool, flat, quoted, ragged, small_batches
 
 #: Language or script: least characters per token, largest share of fallback bytes, least token entropy in bits.
 BANDS = {
@@ -47,7 +47,7 @@ def _pool(model: str) -> tuple[Pool, np.ndarray]:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        _POOLS[model] = Pool(sp.encode, 200_000), np.array([sp.is_byte(i) for i in range(sp.vocab_size())])
+        _POOLS[model] = Pool(lambda words: flat(sp.encode(words, num_threads=1)), 400_000), np.array([sp.is_byte(i) for i in range(sp.vocab_size())])
     return _POOLS[model]
 
 
@@ -114,10 +114,10 @@ def measure(texts: list[str], langs: list[str | None], model: str) -> dict:
     for lo in range(0, len(texts), step):  # a million tokens at a time
         hi = min(lo + step, len(texts))
         a, b = end[lo], end[hi]
-        flat = ids[ragged(runs[slots[a:b]], lens[a:b])].astype(np.int64)
+        pieces = ids[ragged(runs[slots[a:b]], lens[a:b])].astype(np.int64)
         doc = np.repeat(np.arange(lo, hi), tokens[lo:hi])
-        flat_bytes[lo:hi] = np.bincount(doc - lo, is_byte[flat], hi - lo).astype(np.int64)
-        key = np.sort((doc - lo) * len(is_byte) + flat)
+        flat_bytes[lo:hi] = np.bincount(doc - lo, is_byte[pieces], hi - lo).astype(np.int64)
+        key = np.sort((doc - lo) * len(is_byte) + pieces)
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         count, of = np.diff(np.append(cut, len(key))), key[cut] // len(is_byte)
         n = np.maximum(tokens[lo:hi], 1)
