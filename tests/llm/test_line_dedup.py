@@ -1,19 +1,42 @@
 """Repeated lines against brute force."""
 
 import random
+import re
 
 from tradewind.llm import line_dedup as x
 
 
-def brute(rows, **kw):
-    """Every occurrence in order of id and place but the first of its unit."""
+def plain_units(text, unit="line"):
+    """(first word, end, normalised words) of a text's lines and sentences; for texts too short for windows."""
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    words = [text[i:j].lower() for i, j in spans]
+    out = set()
+    for parts in (re.finditer(r"[^\n]+" if unit == "line" else r"(?:[^\n]|\n(?!\s*\n))+", text), re.finditer(r"(?:[^\n.!?]|[.!?](?![\"]?(?:\s|\Z)))*(?:[.!?][\"]?(?=\s|\Z)|\n|\Z)", text)):
+        for m in parts:
+            at = [k for k, (i, j) in enumerate(spans) if m.start() <= i and j <= m.end()]
+            if at:
+                out.add((at[0], at[-1] + 1))
+    return [(i, j, " ".join(words[i:j])) for i, j in sorted(out)], spans
+
+
+def brute(rows, least, unit="line"):
+    """Runs of units that stood before in order of id and place, as passages."""
     seen, gone = {}, []
     for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        for start, stop, n, norm in x.units(t or "", **kw):
-            if norm in seen:
-                gone.append((d, start, stop, n, seen[norm]))
+        found, spans = plain_units(t or "", unit)
+        runs, own = [], {}
+        for i, j, norm in found:
+            keep = seen.get(norm, d if norm in own else "new")
+            own.setdefault(norm, d)
+            if keep == "new":
+                continue
+            if runs and i <= runs[-1][1]:
+                runs[-1] = [runs[-1][0], max(j, runs[-1][1]), max(j - i, runs[-1][2]), min(keep, runs[-1][3])]
             else:
-                seen[norm] = d
+                runs.append([i, j, j - i, keep])
+        gone += [(d, spans[i][0], spans[j - 1][1], j - i, keep) for i, j, n, keep in runs if n >= least]
+        for norm in own:
+            seen.setdefault(norm, d)
     return sorted(gone, key=repr)
 
 
@@ -21,45 +44,43 @@ def corpus():
     r = random.Random(2)
     word = lambda: r.choice("Alpha beta Gamma delta eps Zeta".split()) + str(r.randrange(60))
     sentence = lambda n: " ".join(word() for _ in range(n)) + r.choice([".", "!", "?", '."'])
-    shared = [sentence(r.randrange(8, 70)) for _ in range(12)]
+    shared = [sentence(r.randrange(1, 9)) for _ in range(12)]
     out = []
-    for i in range(120):
-        lines = [" ".join(r.choice([sentence(r.randrange(1, 20)), r.choice(shared), r.choice(shared).upper().replace(" ", "  ")]) for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(1, 6))]
-        out.append((1000 - i, "\n".join(lines)))
-    return [*out, (None, out[0][1]), (3, None), (4, ""), (5, "\n\n  \n"), (6, "x " * 30_000), (7, "x " * 30_000)]
-
-
-def test_units_are_found_again_inside_longer_lines():
-    passage = "No. The quick brown fox jumps over the lazy dog again today. And then it rests for quite a long while in the sun."
-    inside = {u[3] for u in x.units("Some other start that is long enough to be a unit. " + passage + " More text follows here.")}
-    assert {u[3] for u in x.units(passage)} <= inside
-    assert x.units("Too short. Also short.") == []
-    text = "A line.  With one two three four five six seven.\nNext."
-    (start, stop, n, norm), = x.units(text)
-    assert (text[start:stop], n) == ("A line.  With one two three four five six seven.", 10) and norm == "a line. with one two three four five six seven."
+    for i in range(300):
+        lines = [" ".join(r.choice([sentence(r.randrange(1, 8)), r.choice(shared), r.choice(shared).upper().replace(" ", "  ")]) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(1, 6))]
+        text = "\n\n".join(lines) if i % 3 else "\n".join(lines)
+        out.append((1000 - i, " ".join(text.split(" ")[:45])))
+    return [*out, (3, None), (4, ""), (5, "\n\n  \n")]
 
 
 def test_repeats(spark):
     rows = corpus()
+    assert all(len((t or "").split()) < x.FOUND for _, t in rows)
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, start int, d0 int").repartition(6)
-    for unit in ("sentence", "line", "paragraph"):
-        got = sorted(((r.doc_id, r.start, r.stop, r.n_words, r.keep_id) for r in x.repeats(docs, unit=unit).collect()), key=repr)
-        assert got == brute(rows, unit=unit)
+    for unit, least in (("line", 1), ("line", 7), ("paragraph", 3)):
+        got = sorted(((r.doc_id, r.start, r.stop, r.n_words, r.keep_id) for r in x.repeats(docs, least, unit).collect()), key=repr)
+        assert len(got) > 10 and got == brute(rows, least, unit)
     assert x.repeats(docs.limit(0)).count() == 0
 
 
+def test_short_lines_stay_by_default_and_go_by_parameter(spark):
+    docs = spark.createDataFrame([(i, f"Unlike the others {i}.\nOne two three four five") for i in range(5)], "doc_id long, text string")
+    assert x.repeats(docs).count() == 0
+    assert sorted((r.doc_id, r.n_words, r.keep_id) for r in x.repeats(docs, least=1).collect()) == [(i, 5, 0) for i in range(1, 5)]
+
+
 def test_remove(spark):
     rows = corpus()
-    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, start int, d0 int").repartition(6)
+    names = "doc_id long, text string, start int, __spans int, __id int, __key int, id int, key int, spans int, n_words int, first int, run int"
+    docs = spark.createDataFrame([(*r, *range(10)) for r in rows], names).repartition(6)
     spans = {}
-    for d, a, b, *_ in brute(rows):
+    for d, a, b, *_ in brute(rows, 1):
         spans.setdefault(d, []).append((a, b))
-    got = {r.doc_id: r.text for r in x.remove_repeats(docs).collect()}
+    out = x.remove_repeats(docs, least=1)
+    got = {r.doc_id: r.text for r in out.collect()}
     assert got == {d: t if t is None else x.cut(t, spans.get(d, [])) for d, t in rows}
     assert all(got[d] == t for d, t in rows if d not in spans)
-    assert x.remove_repeats(docs).columns == docs.columns
-    left = [(d, t) for d, t in got.items()]
-    assert [g for g in brute(left) if g[3] > 50] == []
+    assert out.schema == docs.schema and out.first()["__spans"] == 1
 
 
 def test_cut():
@@ -73,8 +94,15 @@ def test_cut():
 
 def test_ids_that_repeat(spark):
     line = "one two three four five six seven eight nine"
-    docs = spark.createDataFrame([(1, line), (1, line), (1, "other\n" + line), (2, line + "\n" + line)], "doc_id long, text string")
-    assert sorted((r.doc_id, r.start) for r in x.repeats(docs).collect()) == [(2, 0), (2, len(line) + 1)]
+    docs = spark.createDataFrame([(1, line), (1, line), (1, "other\n" + line), (2, line + "\n" + line), (None, line)], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.start, r.stop) for r in x.repeats(docs, least=9).collect()), key=repr) == [(2, 0, 2 * len(line) + 1), (None, 0, len(line))]
+
+
+def test_long_and_empty_texts(spark):
+    docs = spark.createDataFrame([(1, "x " * 400_000), (2, "x " * 400_000), (3, ""), (4, None), (5, "y" * 3_000_000), (6, "y" * 3_000_000 + " z")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.n_words) for r in x.repeats(docs).collect())
+    assert got == [(2, 0, 400_000)]
+    assert {r.doc_id: r.text for r in x.remove_repeats(docs).collect()}[2] == ""
 
 
 def test_any_fifty_words_that_come_back_are_found(spark):
@@ -123,5 +151,6 @@ def test_any_fifty_words_that_come_back_are_found(spark):
 
 
 def test_equal_windows_do_not_overlap():
-    spans = [u[:2] for u in x.units("x " * 500) if u[2] == x.WINDOW]
-    assert spans == [(50 * i, 50 * i + 49) for i in range(len(spans))] and len(spans) >= 18
+    u = x.units(["x " * 500, "y z " * 500])
+    at = {t: [w for w, n, k in zip(u["word"].tolist(), u["n_words"].tolist(), u["text"].tolist(), strict=True) if k == t and n == x.WINDOW] for t in (0, 1)}
+    assert at[0] == [0] and len(at[1]) == 1

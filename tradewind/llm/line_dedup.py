@@ -1,106 +1,169 @@
 """Substring dedup by hashing lines.
 
-Units are lines; a line of several sentences is cut at sentence ends too, so that a passage
-set into the middle of a longer line is still found. A unit has MIN_WORDS words at least: a
-shorter sentence joins the one after it, so that common short phrases stay and boundaries
-follow from the text alone. Normalised units (lower case, single spaces) become 128-bit
-digests, which are grouped globally: the count and the least document are sums and minima
-made before the shuffle, so a line that a third of all documents share is no large group.
-The occurrence in the smallest document, first in it, stays; all others go, and the spans
-that went are told in characters of the original text.
-
-Boundaries of short sentences depend on what stands before them, and a passage in a longer line
-may hold no whole unit. So a text also has windows of WINDOW words as units, chosen by their
-hashes alone (winnowing): of each FOUND words in a row, wherever they stand, the window with the
-least hash is one. Any FOUND words that come back therefore share a unit. Where a script has no
-spaces, each character counts as a word.
+Units are lines (or paragraphs), the sentences in them, and windows of WINDOW words chosen by
+their hashes alone (winnowing): of each FOUND words in a row, wherever they stand, the window
+with the least hash is a unit, so any FOUND words that come back share one, also in the middle
+of a longer line. Where a script has no spaces, each character counts as a word. Normalised
+units (words in lower case, white space left out) become 128-bit digests, which are grouped
+globally: the least document is a minimum made before the shuffle, so a line that a third of
+all documents share is no large group. The occurrence in the smallest document, first in it,
+stays.
+
+What goes are passages: units that stood before and touch or overlap are one run of words, and
+a run goes if one of its units has `least` words or more. So short lines that many texts share
+in passing stay, unless they lengthen such a run; least=1 cuts every line that stood before.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import map_arrow, narrow, quoted, small_batches, stash
-
-MIN_WORDS = 8
-#: Sentence ends before white space, and line ends.
-_END = re.compile(r"[.!?…][\"'”’)\]»]*(?=\s)|[。！？][\"'”’)\]»」』]*|\n")
-#: Letters of scripts without spaces: Thai to Tibetan, Myanmar, Khmer, kana, Han.
-_DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\U00020000-\U0003ffff"
-_HAS_DENSE, _WORD, _DENSE_WORD = re.compile(f"[{_DENSE}]"), re.compile(r"\S+"), re.compile(f"[{_DENSE}]|[^\\s{_DENSE}]+")
-WINDOW, FOUND = 25, 50
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_LINE, _PARAGRAPH = re.compile(r"\n"), re.compile(r"\n[^\S\n]*\n\s*")
+from tradewind.llm.common import fresh_name, map_arrow, narrow, quoted, small_batches, stash
+
+#: Words in a window, in a row of words that surely has one, and in the shortest unit that makes a run go.
+WINDOW, FOUND, LEAST = 25, 50, 25
+#: Characters hashed at a time, about.
+GROUP_CHARS = 1_000_000
+#: Kinds of characters: in words, sentence ends, closing quotes; white space, line ends; those that are words by themselves, and end sentences.
+PLAIN, END, CLOSER, SPACE, LINE, DENSE, DENSE_END = range(7)
+#: Letters of scripts without spaces: Thai to Tibetan, Myanmar, Khmer, Tai, kana, Han.
+DENSE_RANGES = [
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3400, 0x4DBF),
+    (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF),
+]
+_CHAR_BASE, _BASE0, _BASE1 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 _FAR = (1 << 63) - 1
-UNITS = "doc_id long, text_key long, start int, stop int, n_words int, again boolean, d0 long, d1 long"
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    known = {w: xxhash.xxh3_64_intdigest(w.lower().encode()) for w in set(words)}
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def windows(text: str, dense: bool) -> list[tuple[int, int, int, str]]:
-    """(start, stop, words, normalised unit) of a text's windows; equal ones don't overlap."""
+UNITS = "doc_id long, text_key long, word int, n_words int, start int, stop int, again boolean, d0 long, d1 long"
+U = np.uint64
+
+
+@cache
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """(kind, simple lower case) of each code point."""
+    kinds, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for a, b in DENSE_RANGES:
+        kinds[a : b + 1] = DENSE
+    for chars, kind in ((".!?…", END), ("\"'”’)]»", CLOSER), ("。！？", DENSE_END), ("\n", LINE)):
+        kinds[[ord(c) for c in chars]] = kind
+    for c in range(0x1F000):
+        x = chr(c)
+        if c < 0x3001 and x.isspace() and x != "\n":
+            kinds[c] = SPACE
+        if len(x.lower()) == 1:
+            lower[c] = ord(x.lower())
+    return kinds, lower
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of base and of its inverse, modulo 2**64."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        both = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            p = np.full(max(n, GROUP_CHARS + 1), x, U)
+            p[0] = 1
+            both.append(np.multiply.accumulate(p))
+        _POWERS[base] = both[0], both[1]
+    a, b = _POWERS[base]
+    return a[:n], b[:n]
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> U(32))) * U(0xBF58476D1CE4E5B9)  # a splitmix64 multiplier
+    return h ^ (h >> U(29))
+
+
+def spans_of(values: np.ndarray, base: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of values[start:stop] for each span, the same wherever it stands."""
+    up, down = powers(base, len(values) + 1)
+    sums = np.zeros(len(values) + 1, U)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return (sums[stop] - sums[start]) * down[start]
+
+
+def sliding(f, x: np.ndarray, width: int) -> np.ndarray:
+    """f (minimum or maximum) over each width values in a row."""
+    have = 1
+    while have * 2 <= width:
+        x, have = f(x[:-have], x[have:]), have * 2
+    return x if have == width else f(x[: len(x) - (width - have)], x[width - have :])
+
+
+def picked(h: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """First words of the windows chosen: the least of each FOUND words of a text. h: hash of the window at each word; equal ones that overlap are one."""
     if len(text) < FOUND:
-        return []
-    spans = [m.span() for m in (_DENSE_WORD if dense else _WORD).finditer(text)]
-    n = len(spans)
-    if n < FOUND:
-        return []
-    words = [text[a:b] for a, b in spans]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(word_hashes(words) * powers(_BASE, n), out=sums[1:])
-    h = (sums[WINDOW:] - sums[:-WINDOW]) * powers(_INVERSE, n - WINDOW + 1)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(_BASE)
-    h ^= h >> np.uint64(29)
-    wide = FOUND - WINDOW + 1
-    picked: set[int] = set()
-    for at in range(0, len(h) - wide + 1, 1 << 14):  # bounds memory
-        part = np.lib.stride_tricks.sliding_window_view(h[at : at + (1 << 14) + wide - 1], wide)
-        picked.update((part.argmin(axis=1) + np.arange(at, at + len(part))).tolist())
-    out: list[tuple[int, int, int, str]] = []
-    ends: dict[int, int] = {}
-    for i in sorted(picked):
-        key = int(h[i])
-        if ends.get(key, 0) <= i:
-            ends[key] = i + WINDOW
-            out.append((spans[i][0], spans[i + WINDOW - 1][1], WINDOW, "\0" + " ".join(words[i : i + WINDOW]).lower()))
-    return out
-
-
-def units(text: str, min_words: int = MIN_WORDS, unit: str = "sentence") -> list[tuple[int, int, int, str]]:
-    """(start, stop, words, normalised unit) of a text's units; unit: sentence, line or paragraph."""
-    out: list[tuple[int, int, int, str]] = []
-    ends = {"sentence": _END, "line": _LINE, "paragraph": _PARAGRAPH}[unit]
-    dense = not text.isascii() and _HAS_DENSE.search(text) is not None
-    at = 0
-    for m in [*ends.finditer(text), None]:
-        stop = m.end() if m else len(text)
-        piece = text[at:stop]
-        words = piece.split()
-        n = len(_DENSE_WORD.findall(piece)) if dense else len(words)
-        if n >= min_words:
-            start = at + len(piece) - len(piece.lstrip())
-            out.append((start, at + len(piece.rstrip()), n, " ".join(words).lower()))
-        elif m and m[0] != "\n" and unit == "sentence":
-            continue  # too short: part of the next
-        at = stop
-    return out + windows(text, dense) if unit == "sentence" else out
+        return np.zeros(0, np.int64)
+    width = FOUND - WINDOW + 1
+    least = np.where(text[: len(text) - FOUND + 1] == text[FOUND - 1 :], sliding(np.minimum, h, width), U(0))
+    pad = np.zeros(width - 1, U)
+    at = np.flatnonzero(h == sliding(np.maximum, np.concatenate([pad, least, pad]), width))
+    at = at[h[at] > 0]
+    order = np.lexsort((at, h[at]))
+    x, same = at[order], np.zeros(len(at), bool)
+    same[1:] = (h[x[1:]] == h[x[:-1]]) & (x[1:] - x[:-1] < WINDOW)
+    return np.sort(x[~same])
+
+
+def words_of(text: str) -> tuple[np.ndarray, ...]:
+    """(first character, end, hash, sentence, line) of each word; texts are parted by line ends."""
+    kinds, lower = tables()
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    k = kinds[chars]
+    inside = k <= CLOSER
+    edge = np.zeros(1, bool)
+    start = np.flatnonzero((inside & ~np.concatenate([edge, inside[:-1]])) | (k >= DENSE))
+    stop = np.flatnonzero((inside & ~np.concatenate([inside[1:], edge])) | (k >= DENSE)) + 1
+    h = mix(spans_of(lower[chars].astype(U) + U(1), _CHAR_BASE, start, stop))
+    space_next = np.concatenate([(k[1:] == SPACE) | (k[1:] == LINE), ~edge])
+    after_end = np.concatenate([edge, k[:-1] == END])
+    ends = (k == LINE) | (k == DENSE_END) | (((k == END) | (k == CLOSER) & after_end) & space_next)
+    return start, stop, h, (np.cumsum(ends) - ends)[start], np.cumsum(k == LINE)[start]
+
+
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of each run of equal keys."""
+    cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+    return np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
+
+
+def units(texts: list[str], unit: str = "line") -> dict[str, np.ndarray]:
+    """Units of texts: number of the text, first word, words, first character, end, digest (d0, d1), whether it stood before in the text.
+
+    unit: what lines are: line, or paragraph (parted by empty lines).
+    """
+    first_char = np.cumsum([0] + [len(t) + 1 for t in texts])
+    start, stop, h, sentence, line = words_of("\n".join(texts))
+    if not len(start):
+        empty = np.zeros(0, np.int64)
+        return {c: empty for c in ("text", "word", "n_words", "start", "stop", "d0", "d1")} | {"again": np.zeros(0, bool)}
+    text = np.searchsorted(first_char, start, "right") - 1
+    if unit == "paragraph":
+        line = np.cumsum(np.concatenate([[False], (np.diff(line) > 1) | (np.diff(text) > 0)]))
+    n = len(start)
+    i = np.arange(max(0, n - WINDOW + 1))
+    at = picked(mix(spans_of(h, _BASE0, i, i + WINDOW)), text)
+    parts = [runs(sentence), runs(line), (at, at + WINDOW)]
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    once = np.unique(a * (n + 1) + b)  # a line of one sentence is one unit
+    a, b = once // (n + 1), once % (n + 1)
+    length = (b - a).astype(U)
+    d0, d1 = mix(spans_of(h, _BASE0, a, b) + length), mix(spans_of(mix(h ^ U(_BASE1)), _BASE1, a, b) + length)
+    order = np.lexsort((a, d1, d0, text[a]))
+    again = np.zeros(len(a), bool)
+    x, y = order[1:], order[:-1]
+    again[x] = (text[a[x]] == text[a[y]]) & (d0[x] == d0[y]) & (d1[x] == d1[y])
+    first_word = np.searchsorted(start, first_char)
+    return {
+        "text": text[a], "word": a - first_word[text[a]], "n_words": b - a, "start": start[a] - first_char[text[a]], "stop": stop[b - 1] - first_char[text[a]],
+        "d0": d0.view(np.int64), "d1": d1.view(np.int64), "again": again,
+    }
 
 
 def key_of(text: Column) -> Column:
@@ -108,47 +171,47 @@ def key_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def unit_table(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def unit_table(docs: DataFrame, unit: str = "line", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of UNITS; again: the unit has stood before in the same text."""
     small_batches(docs.sparkSession)
 
-    def f(b: pa.RecordBatch) -> dict:
-        at: list[int] = []
-        spans: list[tuple[int, int, int]] = []
-        again: list[bool] = []
-        digests: list[bytes] = []
-        for i, t in enumerate(b.column("text").to_pylist()):
-            seen: set[bytes] = set()
-            for start, stop, n, norm in units(t, min_words, unit):
-                d = hashlib.blake2b(norm.encode(), digest_size=16).digest()
-                at.append(i)
-                spans.append((start, stop, n))
-                again.append(d in seen)
-                seen.add(d)
-                digests.append(d)
-        rows, cols, d = pa.array(at, pa.int64()), np.array(spans, np.int32).reshape(-1, 3), np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        return {
-            "doc_id": b.column("doc_id").take(rows), "text_key": b.column("text_key").take(rows), "start": cols[:, 0], "stop": cols[:, 1], "n_words": cols[:, 2],
-            "again": pa.array(again, pa.bool_()), "d0": np.ascontiguousarray(d[:, 0]), "d1": np.ascontiguousarray(d[:, 1]),
-        }
-
-    rows = narrow(docs, id_col, text_col)
-    return map_arrow(rows.withColumn("text_key", key_of(F.col("text"))), f, UNITS)
-
-
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, stop, n_words, keep_id, text_key): a row for each occurrence that goes.
-
-    start and stop count characters of the text; keep_id has the occurrence that stays. Null
-    and empty texts have no units. A null id ranks last; rows that repeat an id rank alike, so
-    each keeps its first occurrence. Other columns are ignored; no rows in, no rows out.
+    def run(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            lo = size = 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size >= GROUP_CHARS or i == len(texts) - 1:
+                    x = units(texts[lo : i + 1], unit)
+                    rows = pa.array(x["text"] + lo)
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": b.column("doc_id").take(rows), "text_key": b.column("text_key").take(rows), **{c: x[c].astype(np.int32) for c in ("word", "n_words", "start", "stop")},
+                        "again": x["again"], "d0": x["d0"], "d1": x["d1"],
+                    })
+                    lo, size = i + 1, 0
+
+    return narrow(docs, id_col, text_col).withColumn("text_key", key_of(F.col("text"))).mapInArrow(run, UNITS)
+
+
+def repeats(docs: DataFrame, least: int = LEAST, unit: str = "line", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, stop, n_words, keep_id, text_key): a row for each passage that goes.
+
+    start and stop count characters of the text; keep_id is the smallest document in which one
+    of its units stays. Null and empty texts have no units. A null id ranks last; rows that
+    repeat an id rank alike, so each keeps its first occurrence. Other columns are ignored; no
+    rows in, no rows out.
     """
-    table = stash(unit_table(docs, min_words, unit, id_col, text_col), "units")
+    table = stash(unit_table(docs, unit, id_col, text_col), "units")
     rank = F.coalesce("doc_id", F.lit(_FAR))
     # written, so that the join deals both sides anew and Spark can split a line that very many texts share
     groups = stash(table.groupBy("d0", "d1").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated-units")
-    gone = table.join(groups, ["d0", "d1"]).filter(F.col("again") | (rank > F.col("first")))
-    return gone.select("doc_id", "start", "stop", "n_words", F.nullif("first", F.lit(_FAR)).alias("keep_id"), "text_key")
+    gone = table.join(groups, ["d0", "d1"]).filter(F.col("again") | (rank > F.col("first"))).select("doc_id", "text_key", "word", (F.col("word") + F.col("n_words")).alias("end"), "start", "stop", "first", "n_words")
+    # a text's units are as many as its words at most, so a window over one text is bounded by it
+    before = Window.partitionBy("doc_id", "text_key").orderBy("word", "end")
+    marked = gone.withColumn("reach", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = marked.withColumn("run", F.count_if(F.col("word") > F.col("reach")).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = marked.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("end") - F.min("word")).alias("n_words"), F.min("first").alias("first"), F.max("n_words").alias("longest"))
+    return whole.filter(F.col("longest") >= least).select("doc_id", "start", "stop", "n_words", F.nullif("first", F.lit(_FAR)).alias("keep_id"), "text_key")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -169,21 +232,20 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST, unit: str = "line", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with all columns, in text_col what stays; a text that loses everything is empty, a null text stays null.
 
     Texts without repeats come back as they were. The spans of one text meet in one row.
     """
     small_batches(docs.sparkSession)
-    gone = repeats(docs, min_words, unit, id_col, text_col)
-    spans = gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
-    spans = stash(spans, "spans")
-    met = docs.join(spans, quoted(id_col).cast("long").eqNullSafe(F.col("__id")) & (key_of(quoted(text_col)) == F.col("__key")), "left")
-
     names = docs.columns
+    id_, key, spans = (fresh_name(names, c) for c in ("id", "key", "spans"))
+    gone = repeats(docs, least, unit, id_col, text_col)
+    found = stash(gone.groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.collect_list(F.struct("start", "stop")).alias(spans)), "spans")
+    met = docs.join(found, quoted(id_col).cast("long").eqNullSafe(F.col(id_)) & (key_of(quoted(text_col)) == F.col(key)), "left")
 
     def f(b: pa.RecordBatch) -> dict:
-        texts = [t if s is None else cut(t, [(x["start"], x["stop"]) for x in s]) for t, s in zip(b.column(text_col).to_pylist(), b.column("__spans").to_pylist(), strict=True)]
+        texts = [t if s is None else cut(t, [(x["start"], x["stop"]) for x in s]) for t, s in zip(b.column(text_col).to_pylist(), b.column(spans).to_pylist(), strict=True)]
         return {c: pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names}
 
-    return map_arrow(met.select(*[quoted(c) for c in names], "__spans"), f, docs.schema)
+    return map_arrow(met.select(*[quoted(c) for c in names], spans), f, docs.schema)
