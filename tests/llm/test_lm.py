@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 
 from tradewind.llm import lm
 
@@ -43,16 +44,21 @@ def test_scores(spark):
     assert lm.lm_scores(docs.limit(0)).count() == 0
 
 
-def test_it_is_a_distribution(spark):
-    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+def model_of(docs, rounds=3):
     table = lm.blocks(docs)
     counted = lm.count_words(table)
-    m = lm.fit(table, counted, rounds=3)
-    p = np.exp(lm.log_classes(m.weights, np.arange(0, lm.HISTORIES, 997)).astype(float))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+    return table, counted, lm.fit(table, counted, rounds)
+
+
+def test_it_is_a_distribution(spark):
+    table, _, m = model_of(spark.createDataFrame(corpus(), "doc_id long, text string").repartition(4))
+    at = np.arange(0, lm.HISTORIES, 997)
+    r = np.random.default_rng(1)
+    p = np.exp(lm.token_logits(lm.logits(m.weights, np.arange(lm.HISTORIES)), m.word_weights, at, r.integers(0, len(m.word_weights), (len(at), lm.WORD_FEATURES))))
+    assert np.abs(p.sum(axis=1) - 1).max() < 1e-9 and np.abs(m.word_weights).max() > 0.01
     seen = {}
-    for r in table.collect():
-        h, s, c = np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.signatures, np.uint16), np.frombuffer(r.counts, np.int64)
+    for row in table.collect():
+        h, s, c = np.frombuffer(row.hashes, np.uint64), np.frombuffer(row.signatures, np.uint16), np.frombuffer(row.counts, np.int64)
         for a, k, x in zip(h.tolist(), m.classes.of(h, s).tolist(), c.tolist(), strict=True):
             seen[a] = (k, seen.get(a, (k, 0))[1] + x)
     inner = np.zeros(lm.CLASSES)
@@ -60,8 +66,55 @@ def test_it_is_a_distribution(spark):
         if x:
             inner[k] += (x + 1) / (m.class_tokens[k] + m.class_types[k] + 1)
     inner += 1 / (m.class_tokens + m.class_types + 1)  # the unknown word of each class
-    assert np.allclose(inner[m.class_types > 0], 1, atol=1e-2) and (inner <= 1 + 1e-2).all()
-    assert m.types == sum(x > 0 for _, x in seen.values())
+    assert np.abs(inner - 1)[m.class_types > 0].max() < 1e-9
+    assert m.types == sum(x > 0 for _, x in seen.values()) and m.class_tokens.sum() == m.tokens
+
+
+def test_score_by_brute_force(spark):
+    """Each text's score word by word, from the weights, with features and counts told anew."""
+    rows = [(i, t) for i, t in corpus() if i is not None and (t is None or len(t) < 2000)][:80]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table, counted, m = model_of(docs)
+    hashed = lambda w: lm._END if w is None else xxhash.xxh64_intdigest(w.encode(), 0)
+    kind = lambda w: 0 if w is None else int(m.classes.of(np.array([hashed(w)], np.uint64), np.array([lm.signature(w.encode())]))[0])
+    count = Counter(w for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2 for w in words(t))
+    size, types = Counter(), Counter()
+    for w, c in count.items():
+        size[kind(w)] += c
+        types[kind(w)] += 1
+
+    def log_p(w, before):
+        a, b, c = map(kind, before)
+        logit = np.zeros(lm.CLASSES)
+        for f in lm.features(np.array([a + b * lm.CLASSES + c * lm.CLASSES**2]))[0]:
+            logit += m.weights[f]
+        ends = [None] * 3 if before[0] is None else [*reversed([x for x in before if x is not None])]
+        text = [x for x in ends if x is not None] + [w]
+        for f in lm.word_rows(np.array([hashed(x) for x in text], np.uint64), np.zeros(len(text), int), len(m.word_weights))[-1]:
+            logit += m.word_weights[f]
+        k = kind(w)
+        return logit[k] - math.log(sum(math.exp(x) for x in logit)) + math.log((count[w] + 1) / (size[k] + types[k] + 1))
+
+    want = {}
+    for d, t in rows:
+        text = [None, None, None, *words(t)]
+        want[d] = sum(log_p(text[i], (text[i - 1], text[i - 2], text[i - 3])) for i in range(3, len(text))) / math.log(10)
+    got = {r.doc_id: r.score for r in lm.score(table, counted, m).collect()}
+    assert set(got) == set(want) and all(abs(got[d] - want[d]) < 1e-4 * max(1, -want[d]) for d in want)
+
+
+def test_word_features_grow_and_learn(spark):
+    """The word before the last decides; its class doesn't tell."""
+    r = random.Random(6)
+    pairs = {f"q{i}ab": f"z{i}{r.choice(['ing', 'ung'])}" for i in range(40)}
+    texts = [" ".join(x for _ in range(60) for x in (lambda w: (w, pairs[w]))(r.choice([*pairs]))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    _, _, m = model_of(rows)
+    assert len(m.word_weights) >= 2 * m.tokens**0.5
+    table, counted, m = model_of(rows)
+    flat = lm.Model(**{**m.__dict__, "word_weights": np.zeros_like(m.word_weights), "name": "flat"})
+    score = lambda model: sum(x.score for x in lm.score(table, counted, model).collect() if x.held_out)
+    assert score(m) > score(flat)
 
 
 def test_histories_stop_at_texts():

@@ -2,21 +2,25 @@
 
     P(word | history) = P(class | history) * P(word | class)
 
-The class factor is a softmax over CLASSES classes. Its features are n-grams of the classes
-of the three words before (one, two and three of them) and skips (the second, the third, and
-pairs with a gap), hashed into FEATURES rows of weights. The word factor is the
-maximum-entropy model with the class as its only feature, whose solution is the smoothed
-share of the word in its class; one unknown word a class makes it a distribution.
+The class factor is a softmax over CLASSES classes with two groups of features. One sees the
+classes of the three words before: n-grams (one, two and three of them) and skips (the second,
+the third, and pairs with a gap), hashed into FEATURES rows of weights. The other sees the words
+themselves: the word before, the one before that (a skip), and both as an n-gram, hashed into
+rows of weights whose number grows with the square root of the training tokens, as vocabularies
+do. The word factor is the maximum-entropy model with the class as its only feature, whose
+solution is the smoothed share of the word in its class; one unknown word a class makes it a
+distribution.
 
 The most frequent words are classes of their own, the end of a text is one, and the other
 words are classed by the way they end: endings are hashed into SIGNATURES, and signatures that
 stand after the same frequent words are clustered.
 
 The corpus is read once and kept as blocks of integers with a list of distinct words each;
-only hashed words and their counts are shuffled against each other. Training works on counts
-of (history, class), a table whose size is bounded by the number of histories and not by the
-corpus: each round, tasks compute gradients on their share of histories and the driver gets
-their sum, one array of FEATURES x CLASSES.
+only hashed words and their counts are shuffled against each other. Class features train on
+counts of (history, class), a table bounded by the number of histories: each round, tasks compute
+gradients on their share of histories. Word features train on the tokens: each round goes over
+its own share of the blocks, all blocks have their turn. Sums of gradients are cut into slices
+that are added up in a tree of tasks; the driver gets one array of weights' size.
 """
 
 from __future__ import annotations
@@ -41,6 +45,10 @@ CLUSTERS = CLASSES - TOP - 1
 #: Histories are three classes; the table of counts is cut into so many parts.
 HISTORIES, PARTS = CLASSES**3, 64
 ROUNDS = 6
+#: Rounds of the word features, each over as large a part of the blocks; how many words' features are hashed; rows of weights by the root of the tokens.
+WORD_ROUNDS, WORD_FEATURES, ROWS_BY_ROOT = 3, 3, 2.0
+#: Tokens or histories at a time.
+CHUNK = 16_384
 #: Share of a full step, for features that are active together; strength of the Gaussian prior.
 STEP, PRIOR = 0.2, 30.0
 BLOCK_CHARS = 4_000_000
@@ -48,6 +56,7 @@ BLOCK_CHARS = 4_000_000
 RANGE_WORDS = 1_000_000
 #: Of seven shares of documents by crc32 of the id, this one is held out.
 SHARES, HELD = 7, 2
+_MIX = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio
 _END = xxhash.xxh64_intdigest(b"\n", 0)  # no word has a line end in it
 
 BLOCK = "block long, doc_ids array<long>, held binary, ends binary, tokens binary, hashes binary, signatures binary, counts binary, n_words long"
@@ -219,13 +228,13 @@ class Classes:
         return np.where(hashes == _END, 0, out).astype(np.uint8)
 
 
-def _each(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(class, signature, document, held) of each token of each block."""
+def _each(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(class, signature, document, held, hashed word) of each token of each block; held is by document."""
     for b in batches:
         for i in range(b.num_rows):
             h, s, t, ends, held = (np.frombuffer(b.column(k)[i].as_py(), kind) for k, kind in (("hashes", np.uint64), ("signatures", np.uint16), ("tokens", np.uint32), ("ends", np.uint32), ("held", bool)))
             doc = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
-            yield classes.of(h, s)[t], s[t], doc, held
+            yield classes.of(h, s)[t], s[t], doc, held, h[t]
 
 
 def histories(cls: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -244,7 +253,7 @@ def cluster_signatures(table: DataFrame, classes: Classes) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = np.zeros((SIGNATURES, width), np.int64)
-        for cls, sig, doc, held in _each(batches, classes):
+        for cls, sig, doc, held, _ in _each(batches, classes):
             for k in (1, 2, 3):
                 use = (doc[k:] == doc[:-k]) & ~held[doc[k:]] & (cls[k:] > TOP) & (cls[:-k] <= TOP)
                 m += np.bincount(sig[k:][use].astype(np.int64) * width + cls[:-k][use], minlength=SIGNATURES * width).reshape(m.shape)
@@ -275,29 +284,73 @@ def cluster_signatures(table: DataFrame, classes: Classes) -> np.ndarray:
 
 
 def features(history: np.ndarray) -> np.ndarray:
-    """Rows of weights of each history: a bias, n-grams and skips of the classes before, hashed."""
+    """Rows of weights of each history: a bias (row 0, its own), n-grams and skips of the classes before, hashed."""
     a, b, c = history % CLASSES, history // CLASSES % CLASSES, history // CLASSES**2
-    keys = (np.zeros_like(a), a, b, c, a * CLASSES + b, a * CLASSES + c, b * CLASSES + c, history)
-    out = np.empty((len(history), len(keys)), np.int64)
+    keys = (a, b, c, a * CLASSES + b, a * CLASSES + c, b * CLASSES + c, history)
+    out = np.zeros((len(history), len(keys) + 1), np.int64)
     for k, x in enumerate(keys):
-        h = (x.astype(np.uint64) * np.uint64(len(keys)) + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio
-        out[:, k] = (h >> np.uint64(40)) % np.uint64(FEATURES)
+        h = (x.astype(np.uint64) * np.uint64(len(keys)) + np.uint64(k + 1)) * _MIX
+        out[:, k + 1] = (h >> np.uint64(40)) % np.uint64(FEATURES - 1) + np.uint64(1)
     return out
 
 
-def log_classes(weights: np.ndarray, history: np.ndarray) -> np.ndarray:
-    """log P(class | history), a row for each history."""
+def word_rows(word: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of word weights of each token: the word before, the second before, both; before a text stands its end. rows: a power of two."""
+    before = []
+    for k in (1, 2):
+        x = np.full(len(word), _END, np.uint64)
+        if len(word) > k:
+            x[k:] = np.where(doc[k:] == doc[:-k], word[:-k], np.uint64(_END))
+        before.append(x * _MIX)
+    one, two = before
+    out = np.empty((len(word), WORD_FEATURES), np.int64)
+    for k, x in enumerate((one, two ^ np.uint64(0x5851F42D4C957F2D), one + (two >> np.uint64(21)) + two)):  # a linear generator's multiplier tells the skip apart
+        x = (x ^ (x >> np.uint64(32))) * _MIX
+        out[:, k] = x >> np.uint64(65 - rows.bit_length())
+    return out
+
+
+def logits(weights: np.ndarray, history: np.ndarray) -> np.ndarray:
+    """A row of class logits for each history."""
     out = np.empty((len(history), CLASSES), np.float32)
-    for lo in range(0, len(history), 16_384):
-        at = features(history[lo : lo + 16_384])
+    for lo in range(0, len(history), CHUNK):
+        at = features(history[lo : lo + CHUNK])
         x = weights[at[:, 0]].copy()
         for k in range(1, at.shape[1]):
             x += weights[at[:, k]]
-        x -= x.max(axis=1, keepdims=True)
-        out[lo : lo + 16_384] = x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+        out[lo : lo + CHUNK] = x
     return out
 
 
+def normal(x: np.ndarray) -> np.ndarray:
+    """Log-softmax of rows, in double precision."""
+    x = x.astype(np.float64)
+    x -= x.max(axis=1, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x
+
+
+def log_classes(weights: np.ndarray, history: np.ndarray) -> np.ndarray:
+    """log P(class | history) by the class features alone, a row for each history."""
+    return normal(logits(weights, history))
+
+
+def token_logits(table: np.ndarray, word_weights: np.ndarray, history: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """log P(class | history) by all features, a row for each token; table: logits of all histories."""
+    x = table[history]
+    for k in range(WORD_FEATURES):
+        x += word_weights[rows[:, k]]
+    return normal(x)
+
+
+def add_rows(to: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
+    """to[rows[i]] += x[i], also where rows repeat."""
+    order = np.argsort(rows, kind="stable")
+    at = rows[order]
+    cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    to[at[cut]] += np.add.reduceat(x[order], cut)
+
+
 def history_counts(table: DataFrame, classes: Classes) -> DataFrame:
     """(part, data), written: counts of each history and class in training texts, a share of the histories a row."""
     step, fan = HISTORIES // PARTS * CLASSES, fan_out(table)
@@ -314,7 +367,7 @@ def history_counts(table: DataFrame, classes: Classes) -> DataFrame:
             keys[:], sums[:] = [k], [np.bincount(inverse, np.concatenate(sums)).astype(np.int64)]
             size = len(k)
 
-        for cls, _, doc, held in _each(batches, classes):
+        for cls, _, doc, held, _ in _each(batches, classes):
             k, n = np.unique((histories(cls, doc) * CLASSES + cls)[~held[doc]], return_counts=True)
             keys.append(k)
             sums.append(n)
@@ -347,8 +400,22 @@ def history_counts(table: DataFrame, classes: Classes) -> DataFrame:
     return stash(some.repartition(PARTS, "part").mapInArrow(add, sparse).drop("share"), "lm-histories")
 
 
+def slices(x: np.ndarray) -> pa.RecordBatch:
+    """A sum's rows for sum_arrays: the array, in 1024ths, cut into PARTS."""
+    flat = np.rint(x * 1024).astype(np.int64).reshape(PARTS, -1)
+    return pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "data": pa.array([r.tobytes() for r in flat], pa.binary())})
+
+
+def gathered(df: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of what slices() gave in df's rows; the driver gets PARTS rows, one array of the shape."""
+    out = np.zeros((PARTS, int(np.prod(shape)) // PARTS))
+    for r in sum_arrays(df, PARTS, fan_out(df)).collect():
+        out[r["part"]] = np.frombuffer(r["data"], np.int64) / 1024
+    return out.reshape(shape)
+
+
 def train(counts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, training tokens of each class) by rounds of gradients summed over tasks.
+    """(weights of the class features, training tokens of each class) by rounds of gradients summed over tasks.
 
     A weight moves by its gradient (observed less expected count, and a Gaussian prior's pull)
     over its expected count, damped since features are active together.
@@ -357,52 +424,81 @@ def train(counts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarr
 
     def gradient(weights: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen, expected, any_rows = np.zeros((FEATURES, CLASSES)), np.zeros((FEATURES, CLASSES)), False
+            total, any_rows = np.zeros((FEATURES, CLASSES)), False
             for b in batches:
                 for i in range(b.num_rows):
                     any_rows = True
                     at = np.frombuffer(b.column("at")[i].as_py(), np.uint32).astype(np.int64) + b.column("part")[i].as_py() * step
                     n = np.frombuffer(b.column("n")[i].as_py(), np.int64)
                     own, inverse = np.unique(at // CLASSES, return_inverse=True)
-                    for lo in range(0, len(own), 16_384):
-                        h = own[lo : lo + 16_384]
+                    for lo in range(0, len(own), CHUNK):
+                        h = own[lo : lo + CHUNK]
                         use = (inverse >= lo) & (inverse < lo + len(h))
                         y = np.bincount((inverse[use] - lo) * CLASSES + at[use] % CLASSES, n[use], len(h) * CLASSES).reshape(len(h), CLASSES)
-                        p = y.sum(axis=1, keepdims=True) * np.exp(log_classes(weights, h)) if weights is not None else y
+                        p = y if weights is None else y.sum(axis=1, keepdims=True) * np.exp(log_classes(weights, h))
                         f = features(h)
                         for k in range(f.shape[1]):
-                            order = np.argsort(f[:, k], kind="stable")
-                            rows = f[order, k]
-                            cut = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-                            if weights is None:
-                                seen[rows[cut]] += np.add.reduceat(y[order], cut)
-                            else:
-                                expected[rows[cut]] += np.add.reduceat(p[order], cut)
+                            add_rows(total, f[:, k], p)
             if any_rows:
-                x = seen if weights is None else expected
-                yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "data": [np.rint(x * 1024).astype(np.int64).tobytes()]})
+                yield slices(total)
 
-        rows = sum_arrays(counts.mapInArrow(run, "part int, data binary"), 1).collect()  # one array of FEATURES x CLASSES
-        return np.frombuffer(rows[0]["data"], np.int64).reshape(FEATURES, CLASSES) / 1024 if rows else np.zeros((FEATURES, CLASSES))
+        return gathered(counts.mapInArrow(run, "part int, data binary"), (FEATURES, CLASSES))
 
     seen = gradient(None)
-    bias = features(np.zeros(1, np.int64))[0, 0]
-    tokens = seen[bias].copy()
+    tokens = seen[0].copy()  # the bias has a row of its own
     weights = np.zeros((FEATURES, CLASSES), np.float32)
-    share = (tokens + 1) / (tokens + 1).sum()
-    weights[bias] = np.log(share)
+    weights[0] = np.log((tokens + 1) / (tokens + 1).sum())
     for _ in range(rounds):
         expected = gradient(weights)
         pull = PRIOR * weights
-        pull[bias] = 0
+        pull[0] = 0
         weights += np.clip(STEP * (seen - expected - pull) / (expected + PRIOR), -1, 1).astype(np.float32)
     return weights, tokens
 
 
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def history_table(name: str, weights: np.ndarray) -> np.ndarray:
+    """Logits of all histories, made once a process and model."""
+    if name not in _TABLES:
+        _TABLES.clear()
+        _TABLES[name] = logits(weights, np.arange(HISTORIES))
+    return _TABLES[name]
+
+
+def train_words(table: DataFrame, classes: Classes, weights: np.ndarray, name: str, tokens: int, rounds: int = WORD_ROUNDS) -> np.ndarray:
+    """Weights of the word features. Round r goes over the blocks whose number in their task is r modulo rounds."""
+    rows = max(PARTS, 1 << int(np.ceil(np.log2(ROWS_BY_ROOT * max(1, tokens) ** 0.5))))
+    words = np.zeros((rows, CLASSES), np.float32)
+    for turn in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], words=words.copy()) -> Iterator[pa.RecordBatch]:
+            observed, expected = np.zeros((rows, CLASSES)), np.zeros((rows, CLASSES))
+            of_class = history_table(name, weights)
+            for cls, _, doc, held, word in _each(batches, classes):
+                use = np.flatnonzero(~held[doc])
+                history, at, cls = histories(cls, doc)[use], word_rows(word, doc, rows)[use], cls[use]
+                for lo in range(0, len(use), CHUNK):
+                    some = slice(lo, lo + CHUNK)
+                    p = np.exp(token_logits(of_class, words, history[some], at[some]))
+                    for k in range(WORD_FEATURES):
+                        add_rows(expected, at[some, k], p)
+                for k in range(WORD_FEATURES):
+                    observed += np.bincount(at[:, k] * CLASSES + cls, minlength=rows * CLASSES).reshape(rows, CLASSES)
+            yield slices(np.stack([observed, expected]))
+
+        share = table.filter(F.pmod(F.col("block"), F.lit(rounds)) == turn).select("hashes", "signatures", "tokens", "ends", "held")
+        seen, expected = gathered(share.mapInArrow(run, "part int, data binary"), (2, rows, CLASSES))
+        words = words + np.clip(STEP * (seen - expected - PRIOR * words) / (expected + PRIOR), -1, 1).astype(np.float32)
+    return words
+
+
 @dataclass
 class Model:
     classes: Classes
     weights: np.ndarray
+    word_weights: np.ndarray
     class_tokens: np.ndarray
     class_types: np.ndarray
     tokens: int  # N
@@ -410,9 +506,6 @@ class Model:
     name: str
 
 
-_TABLES: dict[str, np.ndarray] = {}
-
-
 def fit(table: DataFrame, counted: DataFrame, rounds: int = ROUNDS) -> Model:
     """Train on all texts of the blocks that aren't held out. No training texts: a model of unknown words only."""
     summary = counted.filter("block is null")
@@ -431,7 +524,8 @@ def fit(table: DataFrame, counted: DataFrame, rounds: int = ROUNDS) -> Model:
     np.add.at(class_types, classes.cluster, types)
     class_types[: len(best) + 1] = 1
     weights, class_tokens = train(history_counts(table, classes), rounds)
-    return Model(classes, weights, class_tokens, class_types, int(n), int(v), uuid.uuid4().hex)
+    name = uuid.uuid4().hex
+    return Model(classes, weights, train_words(table, classes, weights, name, int(n)), class_tokens, class_types, int(n), int(v), name)
 
 
 def score(table: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
@@ -441,10 +535,7 @@ def score(table: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.name not in _TABLES:
-            _TABLES.clear()
-            _TABLES[model.name] = log_classes(model.weights, np.arange(HISTORIES))
-        of_class, held_counts, now = _TABLES[model.name], [], None
+        of_class, held_counts, now = history_table(model.name, model.weights), [], None
         for b in batches:
             for i in range(b.num_rows):
                 block = b.column("block")[i].as_py()
@@ -463,7 +554,11 @@ def score(table: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
                 n = np.diff(np.concatenate([[0], ends]))
                 doc = np.repeat(np.arange(len(ends)), n)
                 cls = word_class[t]
-                outer = of_class[histories(cls, doc), cls] / np.log(10)
+                history, rows, outer = histories(cls, doc), word_rows(h[t], doc, len(model.word_weights)), np.empty(len(t))
+                for lo in range(0, len(t), CHUNK):
+                    some = slice(lo, lo + CHUNK)
+                    p = token_logits(of_class, model.word_weights, history[some], rows[some])
+                    outer[some] = p[np.arange(len(p)), cls[some]] / np.log(10)
                 add = lambda x, doc=doc, m=len(ends): np.bincount(doc, x, m)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(b.column("doc_ids")[i].as_py(), pa.int64()), "held_out": held, "n_tokens": n.astype(np.int64), "n_known": add(count[t] > 0).astype(np.int64),
