@@ -3,7 +3,8 @@
 Each round sends every node's larger neighbours, then its smaller ones, to the least node
 nearby; the number of links never grows and after a few rounds each component is a star
 around its least node. Minima are pre-aggregated before the shuffle, so a node with a very
-great number of links is no single task; adaptive execution splits its join.
+great number of links is no single task. They are written before they are joined, so that both
+sides of the join are dealt anew and adaptive execution can split such a node's rows.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ def stars(links: DataFrame) -> DataFrame:
     before = _checksum(cur)
     while before[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = cur.select(F.col("v").alias("n"), F.col("u").alias("w")).join(least.withColumnRenamed("u", "n"), "n").select(F.col("w").alias("u"), F.col("m").alias("v"))
         large = stash(large.filter("u <> v").distinct(), "large-star")
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        lower = stash(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
         cur = stash(small.filter("u <> v").distinct(), "small-star")
         after = _checksum(cur)

@@ -26,6 +26,8 @@ RADIUS = 3
 SEED = 42
 #: Fingerprints in a tile: the corpus is cut into TILES tiles, as long as they hold this many.
 TILE_LEAST, TILE_MOST, TILES = 1024, 131_072, 32
+#: Tiles are dealt in blocks, BLOCKS or more of them, of BLOCK_MOST tiles at most.
+BLOCKS, BLOCK_MOST = 64, 16
 #: Fingerprints in a piece of a tile.
 PIECE = 512
 _LANES = np.uint64(0x0101010101010101)
@@ -183,21 +185,30 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     b = bounds.select(F.col("tile").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.explode(F.sequence(F.col("lo")[0], F.col("hi")[0])).alias("q"))
     gap = sum((F.greatest(F.lit(0), F.col("blo")[k] - F.col("ahi")[k], F.col("alo")[k] - F.col("bhi")[k]) for k in range(4)), F.lit(0))
     pairs = a.join(b, "q").filter((F.col("a") <= F.col("b")) & (F.col("q") == F.greatest(F.col("alo")[0] - radius, F.col("blo")[0])) & (gap <= radius)).select("a", "b")
-    work = pairs.join(cut.select(F.col("tile").alias("a"), F.col("fps").alias("afps")), "a").join(cut.select(F.col("tile").alias("b"), F.col("fps").alias("bfps")), "b")
+    # a block of tiles meets another once, whatever number of its pairs are left: a tile is sent once a block
+    side = min(BLOCK_MOST, max(1, n_tiles // BLOCKS))
+    block = lambda c: F.floor(F.shiftright(c, 32) / side)
+    pairs = stash(pairs.select("a", "b", block("a").alias("g"), block("b").alias("h")), "tile-pairs")
+    sent = pairs.select("g", "h", F.explode(F.array("a", "b")).alias("tile")).distinct().join(cut.select("tile", "fps"), "tile")
+    null = lambda kind: F.lit(None).cast(kind)
+    work = sent.select("g", "h", "tile", "fps", null("long").alias("b")).unionByName(pairs.select("g", "h", F.col("a").alias("tile"), null("binary").alias("fps"), "b"))
     shuffles = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = work.repartition(max(shuffles, 2 * n_tiles), "a", "b")
+    work = work.repartition(max(shuffles, 2 * n_tiles), "g", "h").sortWithinPartitions("g", "h", F.col("b").isNotNull(), "tile")
 
-    def f(batch: pa.RecordBatch) -> dict:
-        us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for i in range(batch.num_rows):
-            x, y = (np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in ("afps", "bfps"))
-            same = batch.column("a")[i].as_py() == batch.column("b")[i].as_py()
-            u, v = compare(x, x if same else y, same, radius)
-            us.append(u)
-            vs.append(v)
-        return {"u": np.concatenate(us).view(np.int64), "v": np.concatenate(vs).view(np.int64)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                g, h, tile, fps, b = (batch.column(c)[i].as_py() for c in ("g", "h", "tile", "fps", "b"))
+                if (g, h) != now:
+                    now, held = (g, h), {}
+                if fps is not None:
+                    held[tile] = np.frombuffer(fps, "<u8")
+                else:
+                    u, v = compare(held[tile], held[b], tile == b, radius)
+                    yield pa.RecordBatch.from_pydict({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return map_arrow(work, f, "u long, v long")
+    return work.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +224,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     star = stars(links(nodes, radius))
     root = star.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(star.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
     members = stash(root.join(nodes, "fp").select("fp", "root", "first"), "members")
-    linked = members.join(members.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    least = stash(members.groupBy("root").agg(F.min("first").alias("component_id")), "least-members")  # written: Spark can split a giant component's join
+    linked = members.join(least, "root").select("fp", "component_id")
     shared = nodes.filter("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
     found = rows.join(linked.unionByName(shared).withColumn("found", F.lit(True)), "fp", "left")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
