@@ -157,7 +157,8 @@ def write_warc(pages: DataFrame, base: str, id_col: str = "page_id", url_col: st
     rows = pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).cast("string").alias("url"), F.coalesce(quoted(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)).withColumn("size", F.octet_length("html").cast("long"))
     light = stash(rows.select("page_id", "digest", "size").distinct(), "payloads")
-    groups = light.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, so that the join deals both sides anew and Spark can split a payload that very many pages share
+    groups = stash(light.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-payloads")
     revisits = light.join(groups, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "first")
     dealt = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").select("page_id", "url", "html", "digest", F.col("r_digest").isNotNull().alias("revisit"), "first")
 
@@ -184,17 +185,18 @@ def _make_folder(base: str) -> None:
 
 
 #: Frames that a reading task takes at a time.
-READ_FRAMES = 64
+READ_FRAMES = 32
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, bundle, frame, frame_offset, record_bytes) of all records.
 
     A task seeks to its own run of frames, unpacks them one after the other and checks each
-    response's payload against its digest.
+    response's payload against its digest. There are as many tasks as runs of READ_FRAMES.
     """
+    tasks = manifest.agg(F.sum(F.ceil(F.col("n_frames") / READ_FRAMES))).first()[0]
     runs = manifest.select("bundle", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_frames") - 1, F.lit(0)), F.lit(READ_FRAMES))).alias("first"))
-    runs = runs.repartition("bundle", "first")
+    runs = runs.repartition(max(1, tasks or 0), "bundle", "first")
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         out: dict[str, list] = {k: [] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "frame_offset", "record_bytes")}
