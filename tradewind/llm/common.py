@@ -6,7 +6,7 @@ import json
 import re
 import unicodedata
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -168,16 +168,19 @@ def plain_pattern(pattern: str) -> str:
     return f"{' ?' if ' ?[^' in pattern else ''}[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u02af]++(?![^\\W\\d_])|{pattern}"
 
 
-def char_class(chars: Iterable[str]) -> str:
-    """A pattern of one of the characters."""
-    at = np.array(sorted(map(ord, chars)))
+def char_class(codes) -> str:
+    """A pattern of one of the characters of some code points."""
+    at = np.unique(np.fromiter(codes, np.int64))
     runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
     return "[" + "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in runs) + "]"
 
 
-#: Characters on which the re module and a pattern of Unicode classes can part: numbers that aren't decimal digits, and those Python's tables don't know.
-ODD = frozenset(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) in ("No", "Nl", "Cn"))
-_ODD_LATIN = re.compile(char_class(c for c in ODD if c < "\u0100"))
+def odd_codes() -> Iterator[int]:
+    """Code points on which the re module and a pattern of Unicode classes can part: numbers that aren't decimal digits, and those Python's tables don't know."""
+    return (c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) in ("No", "Nl", "Cn"))
+
+
+_ODD_LATIN = re.compile(char_class(c for c in range(0x80, 0x100) if unicodedata.category(chr(c)) in ("No", "Nl", "Cn")))
 
 
 def strange_marks(normalizer) -> set[str]:
@@ -204,7 +207,7 @@ class Encoder:
     def __init__(self, model, pattern: str, normalizer=None, limit: int = 400_000, added: dict[str, int] | None = None, library: Callable[[str], list[int]] | None = None):
         self.model, self.normalizer, self.added, self.library = model, normalizer, added or {}, library
         self.literals = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.odd = re.compile(char_class(ODD if normalizer is None else ODD | strange_marks(normalizer))).search
+        self.odd = re.compile(char_class(chain(odd_codes(), map(ord, () if normalizer is None else strange_marks(normalizer))))).search
         self.full, self.plain = regex.compile(pattern).findall, re.compile(plain_pattern(pattern)).findall
         self.chars = byte_chars()
         self.pool = Pool(self.make, limit)
