@@ -54,8 +54,8 @@ def test_it_is_a_distribution(spark):
     table, _, m = model_of(spark.createDataFrame(corpus(), "doc_id long, text string").repartition(4))
     at = np.arange(0, lm.HISTORIES, 997)
     r = np.random.default_rng(1)
-    p = np.exp(lm.token_logits(lm.logits(m.weights, np.arange(lm.HISTORIES)), m.word_weights, at, r.integers(0, len(m.word_weights), (len(at), lm.WORD_FEATURES))))
-    assert np.abs(p.sum(axis=1) - 1).max() < 1e-9 and np.abs(m.word_weights).max() > 0.01
+    share, total = lm.shares(lm.history_table(m.name, m.weights), m.ratios, at, r.integers(0, len(m.ratios), (len(at), lm.WORD_FEATURES)))
+    assert np.abs((share.astype(float) / total[:, None]).sum(axis=1) - 1).max() < 1e-9 and np.abs(np.log(m.ratios)).max() > 0.01
     seen = {}
     for row in table.collect():
         h, s, c = np.frombuffer(row.hashes, np.uint64), np.frombuffer(row.signatures, np.uint16), np.frombuffer(row.counts, np.int64)
@@ -90,8 +90,8 @@ def test_score_by_brute_force(spark):
             logit += m.weights[f]
         ends = [None] * 3 if before[0] is None else [*reversed([x for x in before if x is not None])]
         text = [x for x in ends if x is not None] + [w]
-        for f in lm.word_rows(np.array([hashed(x) for x in text], np.uint64), np.zeros(len(text), int), len(m.word_weights))[-1]:
-            logit += m.word_weights[f]
+        for f in lm.word_rows(np.array([hashed(x) for x in text], np.uint64), np.zeros(len(text), int), len(m.ratios) // lm.WORD_FEATURES)[-1]:
+            logit += np.log(m.ratios[f])
         k = kind(w)
         return logit[k] - math.log(sum(math.exp(x) for x in logit)) + math.log((count[w] + 1) / (size[k] + types[k] + 1))
 
@@ -103,6 +103,28 @@ def test_score_by_brute_force(spark):
     assert set(got) == set(want) and all(abs(got[d] - want[d]) < 1e-4 * max(1, -want[d]) for d in want)
 
 
+def test_word_weights_by_brute_force(spark):
+    """One row's weights from the texts: what was seen after its words, less what is expected after their classes."""
+    docs = [(i, t) for i, t in corpus() if i is not None and (t is None or len(t) < 2000)]
+    _, _, m = model_of(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    rows = len(m.ratios) // lm.WORD_FEATURES
+    hashed = lambda w: np.uint64(lm._END if w is None else xxhash.xxh64_intdigest(w.encode(), 0))
+    kind = lambda w: 0 if w is None else int(m.classes.of(np.array([hashed(w)]), np.array([lm.signature(w.encode())]))[0])
+    row = lambda w: int(lm.word_rows(np.array([hashed(w), 0], np.uint64), np.zeros(2, int), rows)[1, 0])
+    seen, before, pairs = np.zeros((rows, lm.CLASSES)), np.zeros((rows, lm.CLASSES)), np.ones((lm.CLASSES, lm.CLASSES))
+    for d, t in docs:
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            text = [None, *words(t)]
+            for a, b in zip(text, text[1:]):
+                seen[row(a), kind(b)] += 1
+                before[row(a), kind(a)] += 1
+                pairs[kind(a), kind(b)] += 1
+    n = seen.sum(axis=1, keepdims=True)
+    share = np.where(n > 0, before @ (pairs / pairs.sum(axis=1, keepdims=True)) / np.maximum(n, 1), 1 / lm.CLASSES)
+    want = ((seen + lm.PRIOR * share) / ((n + lm.PRIOR) * share)) ** lm.WORD_STEP
+    assert np.allclose(m.ratios[:rows], want, rtol=1e-5)
+
+
 def test_word_features_grow_and_learn(spark):
     """The word before the last decides; its class doesn't tell."""
     r = random.Random(6)
@@ -110,9 +132,9 @@ def test_word_features_grow_and_learn(spark):
     texts = [" ".join(x for _ in range(60) for x in (lambda w: (w, pairs[w]))(r.choice([*pairs]))) for _ in range(300)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
     _, _, m = model_of(rows)
-    assert len(m.word_weights) >= 2 * m.tokens**0.5
+    assert len(m.ratios) >= lm.WORD_FEATURES * m.tokens**0.5
     table, counted, m = model_of(rows)
-    flat = lm.Model(**{**m.__dict__, "word_weights": np.zeros_like(m.word_weights), "name": "flat"})
+    flat = lm.Model(**{**m.__dict__, "ratios": np.ones_like(m.ratios), "name": "flat"})
     score = lambda model: sum(x.score for x in lm.score(table, counted, model).collect() if x.held_out)
     assert score(m) > score(flat)
 

@@ -18,9 +18,11 @@ stand after the same frequent words are clustered.
 The corpus is read once and kept as blocks of integers with a list of distinct words each;
 only hashed words and their counts are shuffled against each other. Class features train on
 counts of (history, class), a table bounded by the number of histories: each round, tasks compute
-gradients on their share of histories. Word features train on the tokens: each round goes over
-its own share of the blocks, all blocks have their turn. Sums of gradients are cut into slices
-that are added up in a tree of tasks; the driver gets one array of weights' size.
+gradients on their share of histories; sums of gradients are cut into slices that are added up in
+a tree of tasks, and the driver gets one array of weights' size. Word features take one step of
+iterative scaling: the class features already make the expected counts of each class before
+equal to those seen, so a word's rows are the log ratio of what was seen after it to what the
+class features expect after its class.
 """
 
 from __future__ import annotations
@@ -45,13 +47,13 @@ CLUSTERS = CLASSES - TOP - 1
 #: Histories are three classes; the table of counts is cut into so many parts.
 HISTORIES, PARTS = CLASSES**3, 64
 ROUNDS = 6
-#: Rounds of the word features, each over as large a part of the blocks; how many words' features are hashed; rows of weights by the root of the tokens.
-WORD_ROUNDS, WORD_FEATURES, ROWS_BY_ROOT = 3, 3, 2.0
+#: Words before that are features, rows of weights for each by the root of the tokens, and the share of a full step.
+WORD_FEATURES, ROWS_BY_ROOT, WORD_STEP = 2, 1.0, 0.5
 #: Tokens or histories at a time.
-CHUNK = 16_384
+CHUNK = 4096
 #: Share of a full step, for features that are active together; strength of the Gaussian prior.
 STEP, PRIOR = 0.2, 30.0
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 #: Hashes that one task of the word count holds, about.
 RANGE_WORDS = 1_000_000
 #: Of seven shares of documents by crc32 of the id, this one is held out.
@@ -294,19 +296,24 @@ def features(history: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_rows(word: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
-    """Rows of word weights of each token: the word before, the second before, both; before a text stands its end. rows: a power of two."""
-    before = []
-    for k in (1, 2):
-        x = np.full(len(word), _END, np.uint64)
+def words_before(word: np.ndarray, doc: np.ndarray, fill: int) -> list[np.ndarray]:
+    """word moved on by one, two, ...: what stands before each token in its text; before a text stands fill."""
+    out = []
+    for k in range(1, WORD_FEATURES + 1):
+        x = np.full(len(word), fill, word.dtype)
         if len(word) > k:
-            x[k:] = np.where(doc[k:] == doc[:-k], word[:-k], np.uint64(_END))
-        before.append(x * _MIX)
-    one, two = before
+            x[k:] = np.where(doc[k:] == doc[:-k], word[:-k], word.dtype.type(fill))
+        out.append(x)
+    return out
+
+
+def word_rows(word: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of word weights of each token, a column for each feature; rows: of each feature, a power of two."""
     out = np.empty((len(word), WORD_FEATURES), np.int64)
-    for k, x in enumerate((one, two ^ np.uint64(0x5851F42D4C957F2D), one + (two >> np.uint64(21)) + two)):  # a linear generator's multiplier tells the skip apart
+    for k, x in enumerate(words_before(word, doc, _END)):
+        x = x * _MIX
         x = (x ^ (x >> np.uint64(32))) * _MIX
-        out[:, k] = x >> np.uint64(65 - rows.bit_length())
+        out[:, k] = (x >> np.uint64(65 - rows.bit_length())).astype(np.int64) + k * rows
     return out
 
 
@@ -335,12 +342,15 @@ def log_classes(weights: np.ndarray, history: np.ndarray) -> np.ndarray:
     return normal(logits(weights, history))
 
 
-def token_logits(table: np.ndarray, word_weights: np.ndarray, history: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """log P(class | history) by all features, a row for each token; table: logits of all histories."""
+def shares(table: np.ndarray, ratios: np.ndarray, history: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a share for each class, their sum) for each token by all features; P(class | history) is their quotient.
+
+    table: P(class | class history) of all histories; ratios: exponentials of the word weights.
+    """
     x = table[history]
     for k in range(WORD_FEATURES):
-        x += word_weights[rows[:, k]]
-    return normal(x)
+        x *= ratios[rows[:, k]]
+    return x, x.sum(axis=1, dtype=np.float64)
 
 
 def add_rows(to: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
@@ -351,28 +361,38 @@ def add_rows(to: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
     to[at[cut]] += np.add.reduceat(x[order], cut)
 
 
-def history_counts(table: DataFrame, classes: Classes) -> DataFrame:
-    """(part, data), written: counts of each history and class in training texts, a share of the histories a row."""
-    step, fan = HISTORIES // PARTS * CLASSES, fan_out(table)
+def sparse_counts(table: DataFrame, classes: Classes, keys_of, size: int, finish=None, schema: str = "part int, at binary, n binary") -> DataFrame:
+    """Counts of keys 0 .. size-1 in training texts, cut into PARTS runs of keys; a task sends no key it hasn't seen.
+
+    keys_of(class, document, hashed word, trained) gives a block's keys; finish(part, counts) a
+    part's row, by default the keys seen and their counts.
+    """
+    step, fan = size // PARTS, fan_out(table)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         share = TaskContext.get().partitionId() % fan
-        keys, sums, size = [], [], 0
+        keys, sums, held_size = [], [], 0
 
         def merge() -> None:
-            nonlocal size
+            nonlocal held_size
             k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             keys[:], sums[:] = [k], [np.bincount(inverse, np.concatenate(sums)).astype(np.int64)]
-            size = len(k)
-
-        for cls, _, doc, held, _ in _each(batches, classes):
-            k, n = np.unique((histories(cls, doc) * CLASSES + cls)[~held[doc]], return_counts=True)
+            held_size = len(k)
+
+        for cls, _, doc, held, word in _each(batches, classes):
+            own = keys_of(cls, doc, word, ~held[doc])
+            if size <= 4 * len(own):  # few keys: counting in place is cheaper than sorting
+                n = np.bincount(own, minlength=size)
+                k = np.flatnonzero(n)
+                n = n[k]
+            else:
+                k, n = np.unique(own, return_counts=True)
             keys.append(k)
             sums.append(n)
-            size += len(k)
-            if size > 1_000_000:
+            held_size += len(k)
+            if held_size > 1_000_000:
                 merge()
         if keys:
             merge()
@@ -382,7 +402,7 @@ def history_counts(table: DataFrame, classes: Classes) -> DataFrame:
                 if a < b:
                     yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "at": [(keys[0][a:b] - p * step).astype(np.uint32).tobytes()], "n": [sums[0][a:b].tobytes()], "share": pa.array([share], pa.int32())})
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for i in range(b.num_rows):
@@ -390,14 +410,29 @@ def history_counts(table: DataFrame, classes: Classes) -> DataFrame:
                 if p not in held:
                     held[p] = np.zeros(step, np.int64)
                 held[p][np.frombuffer(b.column("at")[i].as_py(), np.uint32)] += np.frombuffer(b.column("n")[i].as_py(), np.int64)
-        for p, x in held.items():
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "at": [at.astype(np.uint32).tobytes()], "n": [x[at].tobytes()], "share": pa.array([0], pa.int32())})
+        return held
+
+    def seen(p: int, x: np.ndarray) -> dict:
+        at = np.flatnonzero(x)
+        return {"part": pa.array([p], pa.int32()), "at": [at.astype(np.uint32).tobytes()], "n": [x[at].tobytes()]}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, x in added(batches).items():
+            yield pa.RecordBatch.from_pydict(seen(p, x) | {"share": pa.array([0], pa.int32())})
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, x in added(batches).items():
+            yield pa.RecordBatch.from_pydict((finish or seen)(p, x))
 
     sparse = "part int, at binary, n binary, share int"
     counted = table.select("hashes", "signatures", "tokens", "ends", "held").mapInArrow(count, sparse)
     some = counted.repartition(PARTS * fan, "part", "share").mapInArrow(add, sparse)  # so many tasks add up shares of a part first
-    return stash(some.repartition(PARTS, "part").mapInArrow(add, sparse).drop("share"), "lm-histories")
+    return stash(some.repartition(PARTS, "part").mapInArrow(last, schema), "lm-counts-by-key")
+
+
+def history_counts(table: DataFrame, classes: Classes) -> DataFrame:
+    """(part, at, n), written: counts of each history and class in training texts, a share of the histories a row."""
+    return sparse_counts(table, classes, lambda cls, doc, word, trained: (histories(cls, doc) * CLASSES + cls)[trained], HISTORIES * CLASSES)
 
 
 def slices(x: np.ndarray) -> pa.RecordBatch:
@@ -460,45 +495,78 @@ _TABLES: dict[str, np.ndarray] = {}
 
 
 def history_table(name: str, weights: np.ndarray) -> np.ndarray:
-    """Logits of all histories, made once a process and model."""
+    """P(class | class history) of all histories, made once a process and model."""
     if name not in _TABLES:
         _TABLES.clear()
-        _TABLES[name] = logits(weights, np.arange(HISTORIES))
+        out = np.empty((HISTORIES, CLASSES), np.float32)
+        for lo in range(0, HISTORIES, CHUNK):
+            out[lo : lo + CHUNK] = np.exp(log_classes(weights, np.arange(lo, min(lo + CHUNK, HISTORIES))))
+        _TABLES[name] = out
     return _TABLES[name]
 
 
-def train_words(table: DataFrame, classes: Classes, weights: np.ndarray, name: str, tokens: int, rounds: int = WORD_ROUNDS) -> np.ndarray:
-    """Weights of the word features. Round r goes over the blocks whose number in their task is r modulo rounds."""
-    rows = max(PARTS, 1 << int(np.ceil(np.log2(ROWS_BY_ROOT * max(1, tokens) ** 0.5))))
-    words = np.zeros((rows, CLASSES), np.float32)
-    for turn in range(rounds):
-
-        def run(batches: Iterator[pa.RecordBatch], words=words.copy()) -> Iterator[pa.RecordBatch]:
-            observed, expected = np.zeros((rows, CLASSES)), np.zeros((rows, CLASSES))
-            of_class = history_table(name, weights)
-            for cls, _, doc, held, word in _each(batches, classes):
-                use = np.flatnonzero(~held[doc])
-                history, at, cls = histories(cls, doc)[use], word_rows(word, doc, rows)[use], cls[use]
-                for lo in range(0, len(use), CHUNK):
-                    some = slice(lo, lo + CHUNK)
-                    p = np.exp(token_logits(of_class, words, history[some], at[some]))
-                    for k in range(WORD_FEATURES):
-                        add_rows(expected, at[some, k], p)
+def after_class(counts: DataFrame) -> list[np.ndarray]:
+    """For each word feature, the smoothed share of each class after each class that far before."""
+    step = HISTORIES // PARTS * CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((WORD_FEATURES, CLASSES, CLASSES))
+        for b in batches:
+            for i in range(b.num_rows):
+                at = np.frombuffer(b.column("at")[i].as_py(), np.uint32).astype(np.int64) + b.column("part")[i].as_py() * step
+                n = np.frombuffer(b.column("n")[i].as_py(), np.int64)
                 for k in range(WORD_FEATURES):
-                    observed += np.bincount(at[:, k] * CLASSES + cls, minlength=rows * CLASSES).reshape(rows, CLASSES)
-            yield slices(np.stack([observed, expected]))
+                    before = at // CLASSES ** (k + 1) % CLASSES
+                    total[k] += np.bincount(before * CLASSES + at % CLASSES, n, CLASSES**2).reshape(CLASSES, CLASSES)
+        yield slices(total)
+
+    n = gathered(counts.mapInArrow(run, "part int, data binary"), (WORD_FEATURES, CLASSES, CLASSES)) + 1
+    return [x / x.sum(axis=1, keepdims=True) for x in n]
+
 
-        share = table.filter(F.pmod(F.col("block"), F.lit(rounds)) == turn).select("hashes", "signatures", "tokens", "ends", "held")
-        seen, expected = gathered(share.mapInArrow(run, "part int, data binary"), (2, rows, CLASSES))
-        words = words + np.clip(STEP * (seen - expected - PRIOR * words) / (expected + PRIOR), -1, 1).astype(np.float32)
-    return words
+def train_words(table: DataFrame, classes: Classes, counts: DataFrame, tokens: int) -> np.ndarray:
+    """Exponentials of the word weights, WORD_FEATURES times a power of two of rows.
+
+    For each row: what was seen after its words by class, and the classes of those words. Its
+    weights are a part of the log ratio of the counts seen to those expected, both smoothed by
+    PRIOR times what is expected.
+    """
+    rows = max(PARTS, 1 << int(np.ceil(np.log2(ROWS_BY_ROOT * max(1, tokens) ** 0.5))))
+    expected = after_class(counts)
+
+    def keys_of(cls, doc, word, trained):
+        at, before = word_rows(word, doc, rows)[trained], words_before(cls, doc, 0)
+        own = cls[trained].astype(np.int64)
+        out = []
+        for k in range(WORD_FEATURES):
+            out += [at[:, k] * (2 * CLASSES) + own, at[:, k] * (2 * CLASSES) + CLASSES + before[k][trained]]
+        return np.concatenate(out)
+
+    step = WORD_FEATURES * rows // PARTS
+
+    def finish(p: int, x: np.ndarray) -> dict:
+        x = x.reshape(step, 2, CLASSES)
+        feature = (p * step + np.arange(step)) // rows
+        share = np.empty((step, CLASSES))
+        for k in range(WORD_FEATURES):
+            here = feature == k
+            share[here] = x[here, 1] @ expected[k]
+        n = x[:, 0].sum(axis=1, keepdims=True)
+        share = np.where(n > 0, share / np.maximum(n, 1), 1 / CLASSES)
+        ratio = (x[:, 0] + PRIOR * share) / ((n + PRIOR) * share)
+        return {"part": pa.array([p], pa.int32()), "data": [(ratio**WORD_STEP).astype(np.float32).tobytes()]}
+
+    out = np.ones((PARTS, step * CLASSES), np.float32)
+    for r in sparse_counts(table, classes, keys_of, WORD_FEATURES * rows * 2 * CLASSES, finish, "part int, data binary").collect():  # PARTS rows, one array of weights
+        out[r["part"]] = np.frombuffer(r["data"], np.float32)
+    return out.reshape(WORD_FEATURES * rows, CLASSES)
 
 
 @dataclass
 class Model:
     classes: Classes
     weights: np.ndarray
-    word_weights: np.ndarray
+    ratios: np.ndarray  # of the word features
     class_tokens: np.ndarray
     class_types: np.ndarray
     tokens: int  # N
@@ -523,9 +591,9 @@ def fit(table: DataFrame, counted: DataFrame, rounds: int = ROUNDS) -> Model:
         types[r["top_signature"]] -= 1
     np.add.at(class_types, classes.cluster, types)
     class_types[: len(best) + 1] = 1
-    weights, class_tokens = train(history_counts(table, classes), rounds)
-    name = uuid.uuid4().hex
-    return Model(classes, weights, train_words(table, classes, weights, name, int(n)), class_tokens, class_types, int(n), int(v), name)
+    counts = history_counts(table, classes)
+    weights, class_tokens = train(counts, rounds)
+    return Model(classes, weights, train_words(table, classes, counts, int(n)), class_tokens, class_types, int(n), int(v), uuid.uuid4().hex)
 
 
 def score(table: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
@@ -554,11 +622,11 @@ def score(table: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
                 n = np.diff(np.concatenate([[0], ends]))
                 doc = np.repeat(np.arange(len(ends)), n)
                 cls = word_class[t]
-                history, rows, outer = histories(cls, doc), word_rows(h[t], doc, len(model.word_weights)), np.empty(len(t))
+                history, at, outer = histories(cls, doc), word_rows(h[t], doc, len(model.ratios) // WORD_FEATURES), np.empty(len(t))
                 for lo in range(0, len(t), CHUNK):
                     some = slice(lo, lo + CHUNK)
-                    p = token_logits(of_class, model.word_weights, history[some], rows[some])
-                    outer[some] = p[np.arange(len(p)), cls[some]] / np.log(10)
+                    share, total = shares(of_class, model.ratios, history[some], at[some])
+                    outer[some] = np.log10(share[np.arange(len(share)), cls[some]] / total)
                 add = lambda x, doc=doc, m=len(ends): np.bincount(doc, x, m)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(b.column("doc_ids")[i].as_py(), pa.int64()), "held_out": held, "n_tokens": n.astype(np.int64), "n_known": add(count[t] > 0).astype(np.int64),
