@@ -54,7 +54,8 @@ def test_it_is_a_distribution(spark):
     table, _, m = model_of(spark.createDataFrame(corpus(), "doc_id long, text string").repartition(4))
     at = np.arange(0, lm.HISTORIES, 997)
     r = np.random.default_rng(1)
-    share, total = lm.shares(lm.history_table(m.name, m.weights), m.ratios, at, r.integers(0, len(m.ratios), (len(at), lm.WORD_FEATURES)))
+    table_, history = lm.class_shares(m.weights, at)
+    share, total = lm.shares(table_, m.ratios, history, r.integers(0, len(m.ratios), (len(at), lm.WORD_FEATURES)))
     assert np.abs((share.astype(float) / total[:, None]).sum(axis=1) - 1).max() < 1e-9 and np.abs(np.log(m.ratios)).max() > 0.01
     seen = {}
     for row in table.collect():
@@ -134,7 +135,7 @@ def test_word_features_grow_and_learn(spark):
     _, _, m = model_of(rows)
     assert len(m.ratios) >= lm.WORD_FEATURES * m.tokens**0.5
     table, counted, m = model_of(rows)
-    flat = lm.Model(**{**m.__dict__, "ratios": np.ones_like(m.ratios), "name": "flat"})
+    flat = lm.Model(**{**m.__dict__, "ratios": np.ones_like(m.ratios)})
     score = lambda model: sum(x.score for x in lm.score(table, counted, model).collect() if x.held_out)
     assert score(m) > score(flat)
 

@@ -27,7 +27,6 @@ class features expect after its class.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from array import array
 from collections import defaultdict
@@ -55,7 +54,7 @@ CHUNK = 4096
 STEP, PRIOR = 0.2, 30.0
 BLOCK_CHARS = 2_000_000
 #: Hashes that one task of the word count holds, about.
-RANGE_WORDS = 1_000_000
+RANGE_WORDS = 400_000
 #: Of seven shares of documents by crc32 of the id, this one is held out.
 SHARES, HELD = 7, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio
@@ -345,7 +344,7 @@ def log_classes(weights: np.ndarray, history: np.ndarray) -> np.ndarray:
 def shares(table: np.ndarray, ratios: np.ndarray, history: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a share for each class, their sum) for each token by all features; P(class | history) is their quotient.
 
-    table: P(class | class history) of all histories; ratios: exponentials of the word weights.
+    table, history: see class_shares(); ratios: exponentials of the word weights.
     """
     x = table[history]
     for k in range(WORD_FEATURES):
@@ -392,7 +391,7 @@ def sparse_counts(table: DataFrame, classes: Classes, keys_of, size: int, finish
             keys.append(k)
             sums.append(n)
             held_size += len(k)
-            if held_size > 1_000_000:
+            if held_size > 500_000:
                 merge()
         if keys:
             merge()
@@ -491,18 +490,13 @@ def train(counts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarr
     return weights, tokens
 
 
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def history_table(name: str, weights: np.ndarray) -> np.ndarray:
-    """P(class | class history) of all histories, made once a process and model."""
-    if name not in _TABLES:
-        _TABLES.clear()
-        out = np.empty((HISTORIES, CLASSES), np.float32)
-        for lo in range(0, HISTORIES, CHUNK):
-            out[lo : lo + CHUNK] = np.exp(log_classes(weights, np.arange(lo, min(lo + CHUNK, HISTORIES))))
-        _TABLES[name] = out
-    return _TABLES[name]
+def class_shares(weights: np.ndarray, history: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(P(class | class history) of the distinct histories, which of them each token has): no table of all histories is held."""
+    own, inverse = np.unique(history, return_inverse=True)
+    out = np.empty((len(own), CLASSES), np.float32)
+    for lo in range(0, len(own), CHUNK):
+        out[lo : lo + CHUNK] = np.exp(log_classes(weights, own[lo : lo + CHUNK]))
+    return out, inverse
 
 
 def after_class(counts: DataFrame) -> list[np.ndarray]:
@@ -571,7 +565,6 @@ class Model:
     class_types: np.ndarray
     tokens: int  # N
     types: int  # V
-    name: str
 
 
 def fit(table: DataFrame, counted: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -593,7 +586,7 @@ def fit(table: DataFrame, counted: DataFrame, rounds: int = ROUNDS) -> Model:
     class_types[: len(best) + 1] = 1
     counts = history_counts(table, classes)
     weights, class_tokens = train(counts, rounds)
-    return Model(classes, weights, train_words(table, classes, counts, int(n)), class_tokens, class_types, int(n), int(v), uuid.uuid4().hex)
+    return Model(classes, weights, train_words(table, classes, counts, int(n)), class_tokens, class_types, int(n), int(v))
 
 
 def score(table: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
@@ -603,7 +596,7 @@ def score(table: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_class, held_counts, now = history_table(model.name, model.weights), [], None
+        held_counts, now = [], None
         for b in batches:
             for i in range(b.num_rows):
                 block = b.column("block")[i].as_py()
@@ -622,7 +615,8 @@ def score(table: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
                 n = np.diff(np.concatenate([[0], ends]))
                 doc = np.repeat(np.arange(len(ends)), n)
                 cls = word_class[t]
-                history, at, outer = histories(cls, doc), word_rows(h[t], doc, len(model.ratios) // WORD_FEATURES), np.empty(len(t))
+                of_class, history = class_shares(model.weights, histories(cls, doc))
+                at, outer = word_rows(h[t], doc, len(model.ratios) // WORD_FEATURES), np.empty(len(t))
                 for lo in range(0, len(t), CHUNK):
                     some = slice(lo, lo + CHUNK)
                     share, total = shares(of_class, model.ratios, history[some], at[some])
