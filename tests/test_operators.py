@@ -38,7 +38,7 @@ def test_effective_dated_cost(spark):
 
 def test_allocation_is_whole(spark):
     df = spark.createDataFrame([("a", 10.0, 1.0), ("a", 10.0, 3.0), ("b", 9.0, 0.0), ("b", 9.0, 0.0), ("c", None, 2.0)], "k string, amount double, w double")
-    assert rows(relational.allocate(df, "amount", "w", ["k"], "share"), "k", "share") == [("a", 2.5), ("a", 7.5), ("b", 4.5), ("b", 4.5), ("c", None)]
+    assert rows(relational.allocate(df, {"share": "amount"}, "w", ["k"]), "k", "share") == [("a", 2.5), ("a", 7.5), ("b", 4.5), ("b", 4.5), ("c", None)]
 
 
 def test_quality_rules(spark):

@@ -31,10 +31,6 @@ def errors(*checks: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for cond, code in checks]))
 
 
-def count_where(cond: Column) -> Column:
-    return F.count_if(cond)
-
-
 def distinct_where(cond: Column, c: str) -> Column:
     return F.count_distinct(F.when(cond, F.col(c)))
 
@@ -68,6 +64,6 @@ def phone(c: str, country: str = "212") -> Column:
 
 
 def utm(url: str, key: str) -> Column:
-    """A query parameter of a URL, decoded and cut at 255 characters, null if blank."""
-    raw = F.regexp_extract(F.col(url), rf"[?&]{key}=([^&#]*)", 1)
-    return F.nullif(F.left(F.regexp_replace(raw, r"\+", " "), F.lit(255)), F.lit(""))
+    """A query parameter of a URL, decoded (what isn't a valid escape stays as it is) and cut at 255 characters, null if blank."""
+    raw = F.regexp_replace(F.regexp_extract(F.col(url), rf"[?&]{key}=([^&#]*)", 1), r"\+", " ")
+    return F.nullif(F.left(F.coalesce(F.try_url_decode(raw), raw), F.lit(255)), F.lit(""))

@@ -58,3 +58,61 @@ def trend(points: DataFrame, key: str = "series", time: str = "day", value: str
     level = middle(F.transform("h", lambda p: p["y"] - F.col("slope") * p["x"]))
     now = F.datediff(F.col(time), F.lit("1970-01-01").cast("date")).cast("double")
     return last.select(key, time, value, "slope", (level + F.col("slope") * now).alias("prediction"))
+
+#: Points that a chain of baselines looks back on, and how many each needs; a chain's order.
+LONGEST, LEAST_TREND, LEAST_SEASONAL = 56, 14, 28
+CHAIN = ("seasonal_trend", "trend", "day_of_week", "robust_history")
+#: Inclusive bounds of the modified z score, the ratio to the baseline, and the plain deviation.
+WARNING, CRITICAL = (3.5, 0.5, 1.0), (6.0, 1.0, 5.0)
+
+
+def chain(points: DataFrame, order: tuple[str, ...] = CHAIN, key: str = "series", time: str = "day", value: str = "value", sample: str | None = None, least_sample: int = 0) -> DataFrame:
+    """Each series' last point against the first baseline of order that has enough points before it.
+
+    (key, time, value, strategy, fallback_used, expected, slope, references, mad, lower, upper,
+    status, severity, explanation). Trends are medians of pairwise slopes over LONGEST points, in
+    days; a seasonal one takes its level from the points of the same weekday. Points whose sample is
+    smaller than least_sample are left out, and a last point with one has INSUFFICIENT_HISTORY,
+    as has one without a baseline. Points without a value are left out; of equal times any is last.
+    """
+    stamp = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double")
+    w = Window.partitionBy(key)
+    x = points.filter(F.col(value).isNotNull()).withColumn("__n", F.row_number().over(w.orderBy(F.desc(time))))
+    enough = F.lit(True) if sample is None else F.coalesce(F.col(sample) >= least_sample, F.lit(False))
+    back = F.when((F.col("__n") > 1) & enough, F.struct(F.col(time).alias("day"), stamp(F.col(time)).alias("x"), F.weekday(time).alias("w"), F.col(value).alias("y")))
+    # max_by over a handful of rows a series: the last LONGEST points before the last one
+    g = x.filter((F.col("__n") == 1) | enough).groupBy(key).agg(
+        F.max(F.when(F.col("__n") == 1, F.struct(F.col(time).alias("day"), F.col(value).alias("value"), enough.alias("enough")))).alias("now"),
+        F.slice(F.reverse(F.array_sort(F.collect_list(back))), 1, LONGEST).alias("h"),
+    )
+    g = g.select(key, F.col("now.day").alias(time), F.col("now.value").alias(value), F.col("now.enough").alias("enough"), F.reverse("h").alias("h"))
+    slopes = F.expr("filter(flatten(transform(h, (a, i) -> transform(slice(h, i + 2, size(h)), b -> (b.y - a.y) / nullif(b.x - a.x, 0)))), s -> s is not null)")
+    g = g.withColumn("slope", middle(slopes)).withColumn("same", F.filter("h", lambda p: p["w"] == F.weekday(time)))
+    now, n = stamp(F.col(time)), F.size("h")
+    level = lambda of: middle(F.transform(of, lambda p: p["y"] - F.coalesce("slope", F.lit(0.0)) * p["x"]))
+    plain = lambda of: middle(F.transform(of, lambda p: p["y"]))
+    g = g.withColumns({"tail": F.slice("h", F.greatest(n - WINDOW + 1, F.lit(1)), WINDOW), "seasonal": level("same"), "straight": level("h")})
+    flat = lambda of, base: F.transform(of, lambda p: p["y"] - base)
+    line = lambda of, base: F.transform(of, lambda p: p["y"] - base - F.col("slope") * p["x"])
+    known = F.col("slope").isNotNull()
+    each = {
+        "seasonal_trend": (known & (n >= LEAST_SEASONAL) & (F.size("same") >= LEAST_WEEKDAY), F.col("seasonal") + F.col("slope") * now, line("same", F.col("seasonal")), F.size("same")),
+        "trend": (known & (n >= LEAST_TREND), F.col("straight") + F.col("slope") * now, line("h", F.col("straight")), F.lit(0)),
+        "day_of_week": (F.size("same") >= LEAST_WEEKDAY, plain("same"), flat("same", plain("same")), F.size("same")),
+        "robust_history": (F.size("tail") >= LEAST, plain("tail"), flat("tail", plain("tail")), F.lit(0)),
+    }
+    first = F.coalesce(*[F.when(each[s][0], F.struct(F.lit(s).alias("strategy"), F.lit(i > 0).alias("fallback_used"), each[s][1].alias("expected"), each[s][2].alias("rest"), each[s][3].alias("references"))) for i, s in enumerate(order)])
+    g = g.withColumn("b", F.when(F.col("enough"), first))
+    trended = F.col("b.strategy").isin("seasonal_trend", "trend")
+    g = g.select(key, time, value, "b.strategy", "b.fallback_used", "b.expected", F.when(trended, F.col("slope")).alias("slope"), F.coalesce("b.references", F.lit(0)).alias("references"), F.col("b.rest").alias("rest"))
+    g = g.withColumn("center", middle(F.col("rest")))
+    g = g.withColumn("mad", middle(F.transform("rest", lambda v: F.abs(v - F.col("center")))))
+    bound = lambda z: F.when(F.col("mad") > 1e-12, z[0] * F.col("mad") / Z).when(F.col("expected") != 0, F.abs("expected") * z[1]).when(F.col("expected").isNotNull(), z[2])
+    gap = F.col(value) - F.col("expected")
+    bad, worst = F.abs(gap) >= bound(WARNING), F.abs(gap) >= bound(CRITICAL)
+    status = F.when(F.col("expected").isNull(), "INSUFFICIENT_HISTORY").when(bad, "ANOMALY").otherwise("NORMAL")
+    severity = F.when(F.col("expected").isNull(), "INFO").when(worst, "CRITICAL").when(bad, "WARNING").otherwise("INFO")
+    place = F.when(bad, F.format_string("%.2f%% %s the expected range", F.abs(gap / F.nullif("expected", F.lit(0.0))) * 100, F.when(gap < 0, "below").otherwise("above"))).otherwise("within the expected range")
+    label = F.regexp_replace(F.regexp_replace("strategy", "seasonal_trend", "seasonal + trend"), "_", " ")
+    said = F.when(F.col("expected").isNull(), "No baseline has enough points before this one.").otherwise(F.concat(F.lit("Current value is "), place, F.format_string(". Expected: %.2f. Observed: %.2f. Baseline: ", "expected", F.col(value)), label, F.lit(".")))
+    return g.withColumns({"lower": F.col("expected") - bound(WARNING), "upper": F.col("expected") + bound(WARNING), "status": status, "severity": severity, "explanation": said}).drop("rest", "center")

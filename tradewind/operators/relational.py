@@ -22,9 +22,26 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
 
 
-def others(c: str, keys: Sequence[str]) -> Column:
-    """What the other rows of the same key add up to: total less own, no self join."""
-    return F.sum(c).over(Window.partitionBy(*keys)) - F.col(c)
+def _same(left: str, right: str, keys: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return cond
+
+
+def with_totals(df: DataFrame, keys: Sequence[str], totals: dict[str, Column]) -> DataFrame:
+    """df with aggregates of its key beside each row: summed up before the shuffle and joined, so no key is one task. Null keys are a key."""
+    made = df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
+    return df.alias("l").join(made.alias("t"), _same("l", "t", keys)).select("l.*", *[F.col(f"t.{n}") for n in totals])
+
+
+def others(df: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """df with {new: column} of what the other rows of the same key add up to: total less own, no self join.
+
+    A null counts as nought in the total and makes the row's own result null.
+    """
+    totals = with_totals(df, keys, {f"__{n}": F.sum(c) for n, c in columns.items()})
+    return totals.select(*df.columns, *[(F.col(f"__{n}") - F.col(c)).alias(n) for n, c in columns.items()])
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], rows: Sequence[Sequence], names: Sequence[str]) -> DataFrame:
@@ -50,11 +67,15 @@ def effective(facts: DataFrame, dated: DataFrame, on: Sequence[str], day: str, s
     return met.withColumn("__n", F.row_number().over(best)).filter("__n = 1").select("f.*", *[F.when(F.col("__fit") > 0, F.col(f"d.{c}")).alias(c) for c in own], F.col("__fit").alias("specificity"))
 
 
-def allocate(links: DataFrame, amount: str, weight: str, over: Sequence[str], out: str) -> DataFrame:
-    """amount shared out over the links of a key by weight; all weights nought: in equal parts."""
-    w = Window.partitionBy(*over)
-    total, n = F.sum(weight).over(w), F.count(F.lit(1)).over(w)
-    return links.withColumn(out, F.when(total != 0, F.col(amount) * F.col(weight) / F.nullif(total, F.lit(0.0))).otherwise(F.col(amount) / n))
+def allocate(links: DataFrame, amounts: dict[str, str], weight: str, over: Sequence[str]) -> DataFrame:
+    """links with {new: amount} shared out over the links of a key by weight; all weights nought or null: in equal parts.
+
+    Weights are added up as decimals, so shares don't depend on the order of rows; a null amount
+    or weight has a null share.
+    """
+    met = with_totals(links, over, {"__total": F.sum(F.col(weight).cast("decimal(28,8)")).cast("double"), "__n": F.count(F.lit(1))})
+    share = lambda c: F.when(F.col("__total") != 0, F.col(c) * F.col(weight) / F.nullif("__total", F.lit(0.0))).otherwise(F.col(c) / F.col("__n"))
+    return met.select(*links.columns, *[share(c).alias(n) for n, c in amounts.items()])
 
 
 def overlapping(df: DataFrame, on: Sequence[str], key: str, start: str = "valid_from", stop: str = "valid_to") -> DataFrame:

@@ -22,7 +22,7 @@ def _row(rule: str, severity: str, bad: str, t: str, most: float = 0.0) -> str:
 _LI = "(SELECT count(*) FROM lineitem WHERE {})"
 _DQ = " UNION ALL ".join(
     [
-        "SELECT 'row_count' AS rule, 'CRITICAL' AS severity, (SELECT count(*) FROM lineitem)::DOUBLE AS observed, 1::DOUBLE AS threshold, 'PASS' AS status",
+        "SELECT 'row_count' AS rule, 'CRITICAL' AS severity, (SELECT count(*) FROM lineitem)::DOUBLE AS observed, 1::DOUBLE AS threshold, CASE WHEN (SELECT count(*) FROM lineitem) >= 1 THEN 'PASS' ELSE 'FAIL' END AS status",
         _row("not_null:l_orderkey", "CRITICAL", _LI.format("l_orderkey IS NULL"), "lineitem"),
         _row("allowed:l_returnflag", "CRITICAL", _LI.format("l_returnflag NOT IN ('A', 'N')"), "lineitem"),
         _row("bounds:l_discount", "CRITICAL", _LI.format("l_discount < 0 OR l_discount > 0.05"), "lineitem"),
@@ -46,7 +46,7 @@ def dq_rules(spark, sf_dir):
     return Q.run(table(spark, sf_dir, "lineitem"), _rules())
 
 
-@query("SELECT 'FAIL' AS status, true AS blocking, 8::BIGINT AS rules")
+@query(f"""SELECT CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'WARN') THEN 'WARN' ELSE 'PASS' END AS status, bool_or(status = 'FAIL' AND severity = 'CRITICAL') AS blocking, count(*) AS rules FROM ({_DQ})""")
 def dq_summary(spark, sf_dir):
     return Q.summary(Q.run(table(spark, sf_dir, "lineitem"), _rules()))
 

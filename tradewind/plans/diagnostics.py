@@ -15,7 +15,7 @@ _SHOP = {"shop_id": "o_orderkey", "phone_text": "concat('+212 6', lpad(cast(o_cu
 _LEAD = {"lead_id": "o_orderkey + 7000000", "phone_text": "concat('06', lpad(cast(o_custkey as string), 8, '0'))", "at": "o_orderdate + make_dt_interval(0, cast(o_orderkey % 60 as int), 0, 0)", "qty": "1 + o_orderkey % 4", "total": "case when o_orderkey % 6 = 0 then o_totalprice + 1 else o_totalprice end", "country": "o_custkey % 4"}
 _SIDES = """shop AS (SELECT o_orderkey AS shop_id, concat('2126', lpad(CAST(o_custkey AS VARCHAR), 8, '0')) AS p, o_orderdate AS at, 1 + o_orderkey % 3 AS qty, o_totalprice AS total, o_custkey % 5 AS country FROM orders),
 lead_rows AS (SELECT o_orderkey + 7000000 AS lead_id, concat('2126', lpad(CAST(o_custkey AS VARCHAR), 8, '0')) AS p, o_orderdate + to_hours(CAST(o_orderkey % 60 AS INTEGER)) AS at, 1 + o_orderkey % 4 AS qty, CASE WHEN o_orderkey % 6 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS total, o_custkey % 4 AS country FROM orders WHERE o_orderkey % 9 <> 4),
-met AS (SELECT s.shop_id, l.lead_id, abs(epoch(l.at) - epoch(s.at)) / 3600 AS hours, round(0.55 + CASE WHEN s.qty = l.qty THEN 0.15 ELSE 0 END + CASE WHEN abs(s.total - l.total) <= 0.01 THEN 0.15 ELSE 0 END + CASE WHEN abs(epoch(l.at) - epoch(s.at)) <= 43200 THEN 0.10 ELSE 0.05 END + CASE WHEN s.country = l.country THEN 0.05 ELSE 0 END, 4) AS score
+met AS (SELECT s.shop_id, l.lead_id, abs(epoch(l.at) - epoch(s.at)) / 3600 AS hours, CAST(round(0.55 + CASE WHEN s.qty = l.qty THEN 0.15 ELSE 0 END + CASE WHEN abs(s.total - l.total) <= 0.01 THEN 0.15 ELSE 0 END + CASE WHEN abs(epoch(l.at) - epoch(s.at)) <= 43200 THEN 0.10 ELSE 0.05 END + CASE WHEN s.country = l.country THEN 0.05 ELSE 0 END, 4) AS DOUBLE) AS score
  FROM shop s JOIN lead_rows l ON s.p = l.p AND abs(epoch(l.at) - epoch(s.at)) <= 172800),
 ranked AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM met WINDOW w AS (PARTITION BY shop_id ORDER BY score DESC, hours, lead_id)),
 best AS (SELECT *, count(*) FILTER (WHERE score >= 0.8 AND NOT coalesce(score - second < 0.05, false)) OVER (PARTITION BY lead_id) AS taken FROM ranked WHERE n = 1)"""
@@ -25,11 +25,15 @@ def resolve(shop: DataFrame, leads: DataFrame, hours: float = 48) -> DataFrame:
     """(shop_id, lead_id, score, outcome): equality on the keyed phone digest, then a time band and an additive score.
 
     Accepted from 0.80 on; ambiguous if the second best is closer than 0.05 or another order
-    claims the lead; unmatched without a candidate that scores.
+    claims the lead; unmatched without a candidate that scores. The join's key has the phone and a
+    stretch of `hours`: a lead goes to its own and both neighbouring ones, so a phone that many
+    share is cut by time and no pair is met twice. Null phones and times match nothing.
     """
-    s, le = shop.alias("s"), leads.alias("l")
+    stretch = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / (hours * 3600))
+    s = shop.withColumn("stretch", stretch("at")).alias("s")
+    le = leads.withColumn("stretch", F.explode(F.array(*[stretch("at") + k for k in (-1, 0, 1)]))).alias("l")
     gap = F.abs(F.unix_timestamp(F.col("l.at").cast("timestamp")) - F.unix_timestamp(F.col("s.at").cast("timestamp")))
-    met = s.join(le, (F.col("s.link") == F.col("l.link")) & (gap <= hours * 3600))
+    met = s.join(le, (F.col("s.link") == F.col("l.link")) & (F.col("s.stretch") == F.col("l.stretch")) & (gap <= hours * 3600))
     score = F.lit(0.55) + F.when(F.col("s.qty") == F.col("l.qty"), 0.15).otherwise(0.0) + F.when(F.abs(F.col("s.total") - F.col("l.total")) <= 0.01, 0.15).otherwise(0.0) + F.when(gap <= 43200, 0.10).otherwise(0.05) + F.when(F.col("s.country") == F.col("l.country"), 0.05).otherwise(0.0)
     scored = met.select("s.shop_id", "l.lead_id", gap.alias("gap"), F.round(score, 4).alias("score"))
     w = Window.partitionBy("shop_id").orderBy(F.desc("score"), "gap", "lead_id")
@@ -89,9 +93,7 @@ diag AS (SELECT campaign, business, shipped, delivered, returned, delivered / nu
 
 def diagnose(c: DataFrame) -> DataFrame:
     """Each campaign beside the others of its business, as totals less its own."""
-    p = c
-    for x in ("shipped", "delivered", "returned"):
-        p = p.withColumn(f"p_{x}", R.others(x, ["business"]))
+    p = R.others(c, ["business"], {f"p_{x}": x for x in ("shipped", "delivered", "returned")})
     return p.select("campaign", "business", "shipped", "delivered", "returned", ratio("delivered", "shipped").alias("delivery_rate"), ratio("p_delivered", "p_shipped").alias("peer_delivery_rate"), ratio("returned", "shipped").alias("return_rate"), ratio("p_returned", "p_shipped").alias("peer_return_rate"), ratio("spend", "delivered").alias("cost"), sample_band(F.col("shipped")).alias("band"))
 
 

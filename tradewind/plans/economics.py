@@ -115,7 +115,7 @@ shared AS (SELECT k.*, s.spend, CASE WHEN sum(weight) OVER w <> 0 THEN s.spend *
 def spend_links(spark, sf_dir, lines: DataFrame) -> DataFrame:
     links = lines.groupBy("order_id", F.col("supplier_id").alias("campaign"), F.to_date(F.date_trunc("month", "day")).alias("month"), "currency").agg(F.sum(F.col("quantity") * F.col("copies")).cast("double").alias("weight"))
     spend = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("campaign"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("month")).agg(money(F.col("l_extendedprice") * F.col("l_discount")).alias("spend"))
-    return R.allocate(links.join(spend, ["campaign", "month"], "left"), "spend", "weight", ["campaign", "month"], "order_spend")
+    return R.allocate(links.join(spend, ["campaign", "month"], "left"), {"order_spend": "spend"}, "weight", ["campaign", "month"])
 
 
 @query(f"WITH {_LINES_SQL}, {_LINK_SQL} SELECT order_id, campaign, month, round(order_spend, 8) AS order_spend FROM shared")
@@ -133,7 +133,7 @@ def remittance_links(spark, sf_dir) -> DataFrame:
     links = commerce.lines(spark, sf_dir).filter("linestatus = 'F'").select(F.concat(F.lit("rem_"), "supplier_id", F.lit("_"), F.date_format("shipped_at", "yyyyMM")).alias("remittance_id"), "order_id").distinct()
     rem = ops.remittances(spark, sf_dir).select("remittance_id", "gross", (F.col("gross") - F.col("fees")).alias("net"))
     x = links.join(rem, "remittance_id").join(ops.cash(spark, sf_dir), "order_id", "left").withColumn("weight", F.coalesce("cash_collected", F.lit(0.0)))
-    return R.allocate(R.allocate(x, "gross", "weight", ["remittance_id"], "order_gross"), "net", "weight", ["remittance_id"], "order_net")
+    return R.allocate(x, {"order_gross": "gross", "order_net": "net"}, "weight", ["remittance_id"])
 
 
 @query(f"WITH {commerce.ORDERS_SQL}, {commerce.LINES_SQL}, {ops.CASH_SQL}, {ops._REMIT_SQL}, {_RSHARE_SQL} SELECT remittance_id, order_id, round(order_gross, 3) AS order_gross, round(order_net, 3) AS order_net FROM allotted")
@@ -141,18 +141,22 @@ def eco_remittance_allocation(spark, sf_dir):
     return remittance_links(spark, sf_dir).select("remittance_id", "order_id", F.round("order_gross", 3).alias("order_gross"), F.round("order_net", 3).alias("order_net"))
 
 
-def orders(spark, sf_dir) -> DataFrame:
-    """The order fact: value, cost of goods, other costs, spend, cash, net remitted, contribution and what is lacking."""
-    lines = order_lines(spark, sf_dir)
+def orders(spark, sf_dir, lines: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """The order fact: value, cost of goods, other costs, spend, cash, net remitted, contribution and what is lacking.
+
+    lines, links: order_lines() and spend_links() if the caller has them, so that their shuffles are shared.
+    """
+    lines = order_lines(spark, sf_dir) if lines is None else lines
+    links = spend_links(spark, sf_dir, lines) if links is None else links
     exact = lambda c: F.sum(c.cast("decimal(28,8)")).cast("double")
     goods = costed(lines, costs(spark, sf_dir)).groupBy("order_id").agg(exact(F.col("unit_cost") * F.col("quantity") * F.col("copies")).alias("cogs"), F.count_if(F.col("specificity") == 0).alias("missing_cogs_lines"))
     other = components(spark, sf_dir).groupBy("order_id").agg(money("amount").alias("other_costs"), money(F.when(F.col("cost_type") == "RETURN_FEE", F.col("amount")).otherwise(0.0)).alias("return_costs"))
-    spend = spend_links(spark, sf_dir, lines).groupBy("order_id").agg(F.sum(F.round("order_spend", 8).cast("decimal(28,8)")).cast("double").alias("marketing_spend"))
+    spend = links.groupBy("order_id").agg(F.sum(F.round("order_spend", 8).cast("decimal(28,8)")).cast("double").alias("marketing_spend"))
     rem = remittance_links(spark, sf_dir).groupBy("order_id").agg(F.sum(F.round("order_net", 3).cast("decimal(18,3)")).cast("double").alias("net_remitted"))
-    flags = ops.flags(spark, sf_dir).drop("business_id", "confirmed_at")
     o = commerce.orders(spark, sf_dir).withColumn("day", F.to_date("created_at"))
-    for side in (goods, other, spend, rem, ops.cash(spark, sf_dir), flags):
+    for side in (goods, other, spend, rem, ops.line_facts(spark, sf_dir)):
         o = o.join(side, "order_id", "left")
+    o = o.withColumn("cash_collected", F.when(F.col("payment_type") == "COD", F.col("line_cash")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     o = o.withColumn("delivered", F.col("is_delivered") & ~F.col("is_returned")).withColumn("cogs_complete", F.coalesce(F.col("missing_cogs_lines") == 0, F.lit(False)))
     o = o.withColumn("recognised_value", F.when((F.col("payment_type") == "COD") & (zero("cash_collected") > 0), F.col("cash_collected")).when(F.col("delivered"), F.col("order_value")).otherwise(0.0))
@@ -227,7 +231,9 @@ def eco_daily(spark, sf_dir):
  FROM shared k JOIN eco e ON k.order_id = e.order_id GROUP BY 1, 2) SELECT campaign, currency, links, spend, value, CASE WHEN whole THEN c END AS contribution, value / nullif(spend, 0) AS roas FROM g""")
 def eco_campaign(spark, sf_dir):
     exact = lambda c: F.sum(F.col(c).cast("decimal(28,8)")).cast("double")
-    k = spend_links(spark, sf_dir, order_lines(spark, sf_dir)).select("order_id", "campaign", "currency", "order_spend")
-    e = orders(spark, sf_dir).select("order_id", "recognised_value", "contribution")
+    lines = order_lines(spark, sf_dir)
+    links = spend_links(spark, sf_dir, lines)
+    k = links.select("order_id", "campaign", "currency", "order_spend")
+    e = orders(spark, sf_dir, lines, links).select("order_id", "recognised_value", "contribution")
     g = k.join(e, "order_id").groupBy("campaign", "currency").agg(F.count(F.lit(1)).alias("links"), F.sum(F.round("order_spend", 8).cast("decimal(28,8)")).cast("double").alias("spend"), exact("recognised_value").alias("value"), F.bool_and(F.col("contribution").isNotNull()).alias("whole"), exact("contribution").alias("c"))
     return g.selectExpr("campaign", "currency", "links", "spend", "value", "case when whole then c end as contribution").withColumn("roas", ratio("value", "spend"))

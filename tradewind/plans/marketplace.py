@@ -172,8 +172,13 @@ def mk_top_customers(spark, sf_dir):
 
 @query(f"WITH {CLASSIFIED_SQL}, {PRODUCT_SQL} SELECT business_id, product_id, currency, units, revenue, dense_rank() OVER (PARTITION BY business_id ORDER BY units DESC) AS units_rank FROM products ORDER BY revenue DESC, business_id, product_id, currency LIMIT 20")
 def mk_top_products(spark, sf_dir):
-    w = Window.partitionBy("business_id").orderBy(F.desc("units"))
-    return product_metrics(silver(spark, sf_dir)).withColumn("units_rank", F.dense_rank().over(w)).select("business_id", "product_id", "currency", "units", "revenue", "units_rank").orderBy(F.desc("revenue"), "business_id", "product_id", "currency").limit(20)
+    """The rank of a few rows is the number of distinct values above them: no window over all products of a business."""
+    columns = ["business_id", "product_id", "currency", "units", "revenue"]
+    products = product_metrics(silver(spark, sf_dir)).select(*columns)
+    top = products.orderBy(F.desc("revenue"), "business_id", "product_id", "currency").limit(20)
+    values = products.select(F.col("business_id").alias("b"), F.col("units").alias("above")).distinct()
+    met = top.join(values, F.col("business_id").eqNullSafe(F.col("b")) & (F.col("above") > F.col("units")), "left")
+    return met.groupBy(*columns).agg((F.count("above") + 1).cast("int").alias("units_rank"))
 
 
 @query(f"WITH {CLASSIFIED_SQL}, {DAILY_SQL} SELECT country, currency, CAST(sum(orders) AS BIGINT) AS orders, CAST(sum(CAST(revenue AS DECIMAL(18,4))) AS DOUBLE) AS revenue, CAST(sum(CAST(revenue AS DECIMAL(18,4))) AS DOUBLE) / nullif(sum(orders), 0) AS average_order_value FROM daily GROUP BY country, currency")

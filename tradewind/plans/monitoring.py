@@ -49,9 +49,12 @@ numbered AS (SELECT *, CAST(sum(n) OVER (PARTITION BY alert ORDER BY seen_at, oc
 incidents AS (SELECT alert, incident, count(DISTINCT occurrence_id) AS occurrences, max(CASE severity WHEN 'CRITICAL' THEN 2 WHEN 'WARNING' THEN 1 ELSE 0 END) AS severity_rank, min(seen_at) AS first_seen, max(seen_at) AS last_seen, arg_max(evidence, {{'a': seen_at, 'b': occurrence_id}}) AS evidence FROM numbered GROUP BY 1, 2)"""
 
 
+def occurrences(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr(*[f"{e} as {n}" for n, e in _OCC.items()])
+
+
 def incidents(spark, sf_dir):
-    occ = table(spark, sf_dir, "events").selectExpr(*[f"{e} as {n}" for n, e in _OCC.items()])
-    return A.fold(occ, "alert", 2)
+    return A.fold(occurrences(spark, sf_dir), "alert", 2)
 
 
 @query(f"WITH {_OCC_SQL} SELECT * FROM incidents")
@@ -67,9 +70,7 @@ _TRIES_SQL = "tries AS (SELECT alert, incident, CASE occurrence_id % 3 WHEN 0 TH
 SELECT w.alert, w.incident, w.kind, coalesce(tries, 0) AS tries FROM wanted w LEFT JOIN tries t ON w.alert = t.alert AND w.incident = t.incident AND w.kind = t.kind WHERE NOT coalesce(done, false) AND coalesce(tries, 0) < 3""")
 def al_due_deliveries(spark, sf_dir):
     i = incidents(spark, sf_dir)
-    occ = table(spark, sf_dir, "events").filter("event_id % 7 < 3").selectExpr(*[f"{e} as {n}" for n, e in _OCC.items()])
-    tries = occ.join(i.select("alert", "incident", "first_seen", "last_seen"), "alert").filter("seen_at between first_seen and last_seen")
-    tries = tries.select("alert", "incident", F.expr("case occurrence_id % 3 when 0 then 'INITIAL' when 1 then 'RECURRENCE' else 'ESCALATION' end as kind"), (F.col("evidence") > 90).alias("ok"))
+    tries = A.numbered(occurrences(spark, sf_dir), "alert", 2).filter("occurrence_id % 7 < 3").select("alert", "incident", F.expr("case occurrence_id % 3 when 0 then 'INITIAL' when 1 then 'RECURRENCE' else 'ESCALATION' end as kind"), (F.col("evidence") > 90).alias("ok"))
     return A.due(i, tries, ["alert", "incident"], "2024-01-31", 3, 14, 3)
 
 
@@ -79,3 +80,43 @@ def al_retention(spark, sf_dir):
     settled = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
     alive = table(spark, sf_dir, "lineitem").filter("l_shipdate >= timestamp_ntz '1999-01-01 00:00:00'").join(settled, "l_suppkey", "left_anti").select(F.col("l_orderkey").alias("run_id"))
     return runs(spark, sf_dir).filter("started_at < timestamp_ntz '1999-01-01 00:00:00'").join(alive, "run_id", "left_anti").groupBy("dataset").agg(F.count(F.lit(1)).alias("eligible"))
+
+
+_COMMANDS = {
+    "alert_id": "l_orderkey",
+    "target": "case l_returnflag when 'A' then 'ACKNOWLEDGED' when 'R' then 'RESOLVED' else 'OPEN' end",
+    "at": "l_shipdate",
+    "number": "l_linenumber * 1000000 + l_partkey",
+    "by": "case when l_suppkey % 10 = 0 then ' ' else concat('op_', l_suppkey) end",
+}
+
+
+@query(f"""WITH commands AS (SELECT {', '.join(f'{e} AS "{n}"' for n, e in _COMMANDS.items())} FROM lineitem),
+named AS (SELECT * FROM commands WHERE target <> 'OPEN' AND trim("by") <> ''),
+f AS (SELECT alert_id, min({{'at': "at", 'number': number, 'by': "by"}}) FILTER (WHERE target = 'ACKNOWLEDGED') AS a, min({{'at': "at", 'number': number, 'by': "by"}}) FILTER (WHERE target = 'RESOLVED') AS r FROM named GROUP BY 1),
+k AS (SELECT alert_id, CASE WHEN r IS NULL OR a.at < r.at OR (a.at = r.at AND a.number < r.number) THEN a END AS a, r FROM f)
+SELECT alert_id, 'OPEN' AS previous_status, 'ACKNOWLEDGED' AS new_status, a.at AS changed_at, a.by AS changed_by FROM k WHERE a IS NOT NULL
+UNION ALL SELECT alert_id, CASE WHEN a IS NULL THEN 'OPEN' ELSE 'ACKNOWLEDGED' END, 'RESOLVED', r.at, r.by FROM k WHERE r IS NOT NULL""")
+def al_transitions(spark, sf_dir):
+    return A.audit(table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _COMMANDS.items()]))
+
+
+_ATTEMPTS = {"key": "l_orderkey", "attempt": "l_linenumber", "status": "case l_returnflag when 'A' then 'SENT' when 'R' then 'FAILED' else 'PENDING' end", "completed_at": "l_shipdate + interval 1 hour"}
+
+
+@query(f"""WITH attempts AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _ATTEMPTS.items())} FROM lineitem), last AS (SELECT key, max({{'a': attempt, 'c': completed_at, 's': status}}) AS x FROM attempts GROUP BY 1)
+SELECT o_orderkey AS key, coalesce(x.a, 0) + 1 AS attempt FROM orders LEFT JOIN last ON key = o_orderkey
+WHERE coalesce(x.a, 0) + 1 <= 5 AND (x IS NULL OR (x.s = 'FAILED' AND x.c + INTERVAL 30 MINUTE <= TIMESTAMP '1998-01-01'))""")
+def al_claims(spark, sf_dir):
+    attempts = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _ATTEMPTS.items()])
+    return A.claims(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), attempts, "1998-01-01", 5, 30)
+
+
+_LEGACY = {"incident_key": "concat(o_orderpriority, '/', o_custkey % 40)", "alert_id": "o_orderkey", "created_at": "o_orderdate", "severity": "case when o_totalprice > 400000 then 'CRITICAL' else 'INFO' end"}
+
+
+@query(f"""WITH legacy AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _LEGACY.items())} FROM orders),
+g AS (SELECT incident_key, min({{'c': created_at, 'i': alert_id, 's': severity}}) AS o, max(created_at) AS last_seen, count(*) AS occurrences, bool_or(severity = 'CRITICAL') AS worst FROM legacy GROUP BY 1)
+SELECT incident_key, o.i AS alert_id, o.c AS first_seen, last_seen, occurrences, CASE WHEN worst THEN 'CRITICAL' WHEN occurrences > 1 THEN 'WARNING' ELSE o.s END AS severity, occurrences - 1 AS resolved FROM g""")
+def al_migration(spark, sf_dir):
+    return A.consolidated(table(spark, sf_dir, "orders").selectExpr(*[f"{e} as {n}" for n, e in _LEGACY.items()]))

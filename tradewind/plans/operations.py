@@ -30,18 +30,19 @@ def _courier(prefix: str = "") -> str:
     return f"concat('courier_', {prefix}supplier_id % 5) as courier"
 
 
+def _inline(parts: list[tuple[str, str, str]], start: str, unit: str, courier: str, shipment: str) -> str:
+    """All events of one row at once, so that a source is read and joined once and not once a status."""
+    each = [f"case when {cond} then struct({', '.join(_stage(status))}, {start} + interval {n} {unit} as event_at, {courier} as courier, {shipment} as shipment_id) end" for status, n, cond in parts]
+    return f"inline(filter(array({', '.join(each)}), x -> x is not null))"
+
+
 def events(spark, sf_dir) -> DataFrame:
     """(business, order, status, stage, event_at, courier, shipment) from orders and their lines."""
     o = commerce.orders(spark, sf_dir)
     cols = ["business_id", "order_id", "time_zone"]
-    out = None
-    for status, hours, cond in _FROM_ORDERS:
-        part = o.filter(cond).selectExpr(*cols, *_stage(status), f"created_at + interval {hours} hour as event_at", "cast(null as string) as courier", "cast(null as string) as shipment_id")
-        out = part if out is None else out.unionByName(part)
+    own = o.selectExpr(*cols, _inline(_FROM_ORDERS, "created_at", "hour", "cast(null as string)", "cast(null as string)"))
     lines = commerce.lines(spark, sf_dir).join(o.select(*cols), "order_id")
-    for status, days, cond in _FROM_LINES:
-        out = out.unionByName(lines.filter(cond).selectExpr(*cols, *_stage(status), f"shipped_at + interval {days} day as event_at", _courier(), "concat(order_id, '-', supplier_id) as shipment_id"))
-    return out
+    return own.unionByName(lines.selectExpr(*cols, _inline(_FROM_LINES, "shipped_at", "day", "concat('courier_', supplier_id % 5)", "concat(order_id, '-', supplier_id)")))
 
 
 def _union_sql() -> str:
@@ -65,6 +66,13 @@ def cash(spark, sf_dir) -> DataFrame:
     return paid.groupBy("order_id").agg(money("price").alias("cash_collected"))
 
 
+def line_facts(spark, sf_dir) -> DataFrame:
+    """(order, is_delivered, is_returned, line_cash) from an order's lines alone, in one aggregate: what flags() and cash() tell of them."""
+    holds = {status: F.expr(cond) for status, _, cond in _FROM_LINES}
+    kept = holds["DELIVERED"] & (F.col("returnflag") != "R")
+    return commerce.lines(spark, sf_dir).groupBy("order_id").agg(F.bool_or(holds["DELIVERED"]).alias("is_delivered"), F.bool_or(holds["RETURNED"]).alias("is_returned"), money(F.when(kept, F.col("price"))).alias("line_cash"))
+
+
 CASH_SQL = "cash AS (SELECT l.order_id, CAST(sum(CAST(price AS DECIMAL(18,4))) AS DOUBLE) AS cash_collected FROM lines_in l JOIN orders_in o ON l.order_id = o.order_id WHERE payment_type = 'COD' AND linestatus = 'F' AND returnflag <> 'R' GROUP BY 1)"
 
 

@@ -68,3 +68,25 @@ def an_sample_guard(spark, sf_dir):
 def an_changes(spark, sf_dir):
     w = Window.partitionBy("series").orderBy("day")
     return points(spark, sf_dir).select("series", "day", "value", (F.col("value") - F.lag("value").over(w)).alias("change"), F.row_number().over(w).alias("number"))
+
+
+def _chain_sql() -> str:
+    line, flat = "list_transform({0}, lambda p: p.y - slope * p.x)", "list_transform({0}, lambda p: p.y)"
+    return f"""{_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day DESC) AS k FROM points),
+h AS (SELECT series, list({{'x': CAST(day - DATE '1970-01-01' AS DOUBLE), 'w': isodow(day), 'y': value}} ORDER BY day) AS h FROM r WHERE k BETWEEN 2 AND {A.LONGEST + 1} AND n >= 1 GROUP BY 1),
+s AS (SELECT a.series, median((b.value - a.value) / nullif(date_diff('day', a.day, b.day), 0)) AS slope FROM r a JOIN r b ON a.series = b.series AND a.day < b.day WHERE a.k BETWEEN 2 AND {A.LONGEST + 1} AND b.k BETWEEN 2 AND {A.LONGEST + 1} GROUP BY 1),
+m AS (SELECT r.series, r.day, r.value, CAST(r.day - DATE '1970-01-01' AS DOUBLE) AS x, h, slope, list_filter(h, lambda p: p.w = isodow(r.day)) AS same, h[greatest(len(h) - {A.WINDOW - 1}, 1):] AS tail FROM r JOIN h USING (series) LEFT JOIN s USING (series) WHERE k = 1),
+c AS (SELECT *, CASE WHEN slope IS NOT NULL AND len(h) >= {A.LEAST_SEASONAL} AND len(same) >= {A.LEAST_WEEKDAY} THEN 'seasonal_trend' WHEN slope IS NOT NULL AND len(h) >= {A.LEAST_TREND} THEN 'trend' WHEN len(same) >= {A.LEAST_WEEKDAY} THEN 'day_of_week'
+ WHEN len(tail) >= {A.LEAST} THEN 'robust_history' END AS strategy FROM m),
+d AS (SELECT *, CASE strategy WHEN 'seasonal_trend' THEN {line.format('same')} WHEN 'trend' THEN {line.format('h')} WHEN 'day_of_week' THEN {flat.format('same')} WHEN 'robust_history' THEN {flat.format('tail')} END AS of FROM c),
+e AS (SELECT *, list_median(of) + CASE WHEN strategy IN ('seasonal_trend', 'trend') THEN slope * x ELSE 0 END AS expected, list_transform(of, lambda v: v - list_median(of)) AS rest FROM d),
+f AS (SELECT *, list_median(list_transform(rest, lambda v: abs(v - list_median(rest)))) AS mad FROM e),
+g AS (SELECT *, CASE WHEN mad > 1e-12 THEN {A.WARNING[0]} * mad / {A.Z} WHEN expected <> 0 THEN abs(expected) * {A.WARNING[1]} ELSE {A.WARNING[2]} END AS near_, CASE WHEN mad > 1e-12 THEN {A.CRITICAL[0]} * mad / {A.Z} WHEN expected <> 0 THEN abs(expected) * {A.CRITICAL[1]} ELSE {A.CRITICAL[2]} END AS far_ FROM f)"""
+
+
+@query(f"""WITH {_chain_sql()} SELECT series, day, strategy, strategy <> 'seasonal_trend' AS fallback_used, round(expected, 3) AS expected, round(mad, 3) AS mad, round(expected - near_, 2) AS lower, round(expected + near_, 2) AS upper,
+CASE WHEN expected IS NULL THEN 'INSUFFICIENT_HISTORY' WHEN abs(value - expected) >= near_ THEN 'ANOMALY' ELSE 'NORMAL' END AS status,
+CASE WHEN expected IS NULL THEN 'INFO' WHEN abs(value - expected) >= far_ THEN 'CRITICAL' WHEN abs(value - expected) >= near_ THEN 'WARNING' ELSE 'INFO' END AS severity FROM g""")
+def an_chain(spark, sf_dir):
+    c = A.chain(points(spark, sf_dir), sample="n", least_sample=1)
+    return c.select("series", "day", "strategy", "fallback_used", F.round("expected", 3).alias("expected"), F.round("mad", 3).alias("mad"), F.round("lower", 2).alias("lower"), F.round("upper", 2).alias("upper"), "status", "severity")

@@ -10,7 +10,7 @@ from tradewind.plans.registry import query, table
 EMAIL, PHONE, CAUSAL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\+?[0-9][0-9 ()-]{7,}[0-9]", r"(?i)\b(because of|caused by|due to|leads to)\b"
 
 
-@query("""SELECT page_id, nullif(left(replace(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '+', ' '), 255), '') AS source, nullif(left(replace(regexp_extract(url, '[?&]utm_campaign=([^&#]*)', 1), '+', ' '), 255), '') AS campaign, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages""")
+@query("""SELECT page_id, nullif(left(url_decode(replace(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '+', ' ')), 255), '') AS source, nullif(left(url_decode(replace(regexp_extract(url, '[?&]utm_campaign=([^&#]*)', 1), '+', ' ')), 255), '') AS campaign, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages""")
 def tx_utm(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", utm("url", "utm_source").alias("source"), utm("url", "utm_campaign").alias("campaign"), F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"))
 

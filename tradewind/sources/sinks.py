@@ -5,7 +5,10 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, IllegalArgumentException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -23,8 +26,9 @@ def overwrite(df: DataFrame, path: str, allowed: Sequence[str], by: Sequence[str
             w = df.write.mode("overwrite")
             (w.partitionBy(*by) if by else w).parquet(clean)
             return
-        except OSError:
-            if n == tries - 1:
+        except (OSError, Py4JJavaError, PySparkException) as e:
+            # a wrong plan or path stays wrong; what failed while writing may pass
+            if n == tries - 1 or isinstance(e, (AnalysisException, IllegalArgumentException)):
                 raise
             time.sleep(pause * 2**n)
 
@@ -35,7 +39,11 @@ def replace_tenants(df: DataFrame, path: str, tenant: str = "business_id") -> No
 
 
 def swap(df: DataFrame, path: str, valid: Callable[[DataFrame], bool]) -> None:
-    """Write beside the table, check what was written, then put it in its place; a failed check leaves the table as it was."""
+    """Write beside the table, check what was written, then put it in its place.
+
+    A failed check, and a rename that the file system refuses, leave the table as it was. Between
+    the two renames readers find no table: directories can't be exchanged at once.
+    """
     spark = df.sparkSession
     staged, old = f"{path.rstrip('/')}__staged", f"{path.rstrip('/')}__old"
     df.write.mode("overwrite").parquet(staged)
@@ -45,19 +53,28 @@ def swap(df: DataFrame, path: str, valid: Callable[[DataFrame], bool]) -> None:
         fs.delete(new, True)
         raise ValueError(f"what was written for {path} isn't valid")
     fs.delete(gone, True)
-    if fs.exists(target):
-        fs.rename(target, gone)
-    fs.rename(new, target)
+    there = fs.exists(target)
+    if there and not fs.rename(target, gone):
+        fs.delete(new, True)
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(new, target):
+        if there:
+            fs.rename(gone, target)
+        raise OSError(f"{staged} can't be moved to {path}")
     fs.delete(gone, True)
 
 
 def upsert(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Rows of df in place of those with the same keys: anti join, union, swap. Replays change nothing."""
+    """Rows of df in place of those with the same keys: anti join, union, swap. Null keys match null keys; replays change nothing."""
     spark = df.sparkSession
     fs, target = _fs(spark, path)
     if fs.exists(target):
         old = spark.read.schema(df.schema).parquet(path)
-        df = old.join(df.select(*keys).distinct(), list(keys), "left_anti").select(*df.columns).unionByName(df)
+        own = df.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        df = old.join(own, cond, "left_anti").select(*df.columns).unionByName(df)
     swap(df, path, lambda _: True)
 
 
