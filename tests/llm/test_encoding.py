@@ -99,6 +99,60 @@ def test_token_files(spark):
     assert token_orc.token_spans(spark, empty).count() == 0
 
 
+def rows_read(df):
+    """Rows that the scan gave out, after stripes and row groups were skipped."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_readers_skip_by_index_and_bloom_filter(spark):
+    """Ids are even: an odd one lies inside every statistic, and only the Bloom filter can tell that it isn't there."""
+    path = scratch(spark, "test")
+    docs = spark.range(40_000).selectExpr("id * 2 as doc_id", "concat('text ', id) as text")
+    token_orc.write_token_ids(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    table = token_orc.read_token_ids(spark, path).select("doc_id", "n_tokens")
+    stride = int(token_orc.OPTIONS["orc.row.index.stride"])
+    assert 0 < rows_read(table.filter("doc_id = 44444")) <= stride
+    assert sum(rows_read(table.filter(f"doc_id = {k}")) for k in (40_001, 44_445, 60_003, 79_997)) <= stride  # a false one in a hundred
+    assert rows_read(table.filter("doc_id between 30000 and 30100")) <= 2 * stride
+    assert rows_read(table.filter("doc_id >= 0")) == 40_000
+
+
+def test_texts_beyond_python_s_tables_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    codes = [*range(0x2E0, 0x600), 0x7FD, 0x898, 0x1C89, 0x1DF6, *range(0x1AB0, 0x1AD0), 0xA7CB, 0x105C0, 0x10EAB, 0x11938, 0x1E4EC, 0x1E4EF, 0x1FBF0, 0xB2, 0x2460, 0x2167]
+    texts = [f"Ab{chr(c)}cD 1{chr(c)}2 {chr(c)} á{chr(c)}{chr(c)}\u0301\u0345\u0315 -{chr(c)}" for c in codes]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        counts, ids = json_encoder(path, added=True).encode(texts)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        for i, want in enumerate(Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)):
+            assert ids[ends[i] : ends[i + 1]].tolist() == want.ids, ascii(texts[i])
+
+
+def test_a_pool_keeps_two_generations():
+    from tradewind.llm.common import Pool, flat
+
+    made = []
+
+    def make(keys):
+        made.extend(keys)
+        return flat([[len(k)] * (int(k) % 3) for k in keys])
+
+    pool = Pool(make, 10)
+    r = random.Random(5)
+    for _ in range(200):
+        keys = [str(r.randrange(40)) for _ in range(r.randrange(8))]
+        lens, ids = pool.take(keys)
+        assert lens.tolist() == [int(k) % 3 for k in keys] and ids.tolist() == [len(k) for k in keys for _ in range(int(k) % 3)]
+        assert len(pool.young.slots) <= 10 + 8 and len(pool.old.slots) <= 18
+    assert len(made) < 700
+
+
 def check_packing(rows, want, window):
     """rows: pieces; want: id lists. All ids in exactly one piece, sequences gapless, padding only up to a power of two."""
     by_doc, by_seq = {}, {}

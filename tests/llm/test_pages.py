@@ -192,6 +192,14 @@ def test_archive(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_reading_is_dealt_by_frames(spark):
+    pages = spark.range(70).selectExpr("id as page_id", "concat('u', id) as url", "repeat(concat(id, ' '), 90000) as html").coalesce(1)
+    manifest = warc.write_warc(pages, scratch(spark, "warc"))
+    frames = [r.n_frames for r in manifest.collect()]
+    assert warc.read_warc(manifest).rdd.getNumPartitions() == sum(-(-n // warc.READ_FRAMES) for n in frames) > 1
+    assert warc.read_warc(manifest).count() == 70
+
+
 def test_bundles_are_seekable(spark, monkeypatch):
     rows = [(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 50 + 1)) for i in range(400)]
     monkeypatch.setattr(warc, "FRAME_BYTES", 4096)
