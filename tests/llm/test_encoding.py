@@ -57,6 +57,7 @@ def test_rank_codec_is_tiktoken_s():
     for i, x in enumerate(texts):
         assert ids[ends[i] : ends[i + 1]].tolist() == ref.encode_ordinary(x), repr(x)
     assert c.decode(counts, ids) == [x.encode() for x in texts]
+    assert c.decode(np.array([3, 0]), np.array([-1, int(ids[0]), 10**6])) == [c.decode(np.array([1]), ids[:1])[0], b""]
 
 
 def test_round_trip_encode_and_decode(spark):

@@ -37,6 +37,7 @@ class RankCodec:
         strings = [b""] * n
         for t, r in ranks.items():
             strings[r] = t
+        strings.append(b"")  # of ids that aren't in the table
         self.lens = np.array([len(t) for t in strings], np.int64)
         self.starts = np.cumsum(self.lens) - self.lens
         self.bytes = np.frombuffer(b"".join(strings), np.uint8)
@@ -46,7 +47,8 @@ class RankCodec:
         return self.encoder.encode(texts)
 
     def decode(self, counts: np.ndarray, ids: np.ndarray) -> list[bytes]:
-        """The bytes of each run of ids."""
+        """The bytes of each run of ids; an id that isn't in the table has none."""
+        ids = np.where((ids >= 0) & (ids < len(self.lens) - 1), ids, len(self.lens) - 1)
         lens = self.lens[ids]
         flat = self.bytes[ragged(self.starts[ids], lens)].tobytes()
         ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
@@ -91,7 +93,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
 
 
 def decode(tokens: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """(doc_id, text_bytes, text) of (doc_id, ids); bytes that aren't whole characters become U+FFFD in text. Null ids are no ids."""
+    """(doc_id, text_bytes, text) of (doc_id, ids); bytes that aren't whole characters become U+FFFD in text. Null ids are no ids, ids that aren't in the table have no bytes."""
 
     def f(b: pa.RecordBatch) -> dict:
         lists = [x or [] for x in b.column("ids").to_pylist()]
