@@ -16,7 +16,7 @@ _N = "(SELECT count(*) FROM {t})"
 
 def _row(rule: str, severity: str, bad: str, t: str, most: float = 0.0) -> str:
     word = "FAIL" if severity == "CRITICAL" else "WARN"
-    return f"SELECT '{rule}' AS rule, '{severity}' AS severity, ({bad}) / {_N.format(t=t)}::DOUBLE AS observed, {most}::DOUBLE AS threshold, CASE WHEN ({bad}) / {_N.format(t=t)}::DOUBLE <= {most} THEN 'PASS' ELSE '{word}' END AS status"
+    return f"SELECT '{rule}' AS rule, '{severity}' AS severity, ({bad}) / {_N.format(t=t)}::DOUBLE AS observed, {most}::DOUBLE AS threshold, CASE WHEN {_N.format(t=t)} = 0 THEN 'WARN' WHEN ({bad}) / {_N.format(t=t)}::DOUBLE <= {most} THEN 'PASS' ELSE '{word}' END AS status"
 
 
 _LI = "(SELECT count(*) FROM lineitem WHERE {})"

@@ -103,7 +103,7 @@ def op_having_duplicates(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-@query("SELECT CAST(sum(n - 1) AS BIGINT) AS excess FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
+@query("SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS excess FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
 def op_duplicate_excess(spark, sf_dir):
     return R.duplicate_excess(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
