@@ -6,15 +6,15 @@ import re
 from tradewind.llm import line_dedup as x
 
 
-def plain_units(text, unit="line"):
+def plain_units(text, unit="line", least_sentence=1):
     """(first word, end, normalised words) of a text's lines and sentences; for texts too short for windows."""
     spans = [m.span() for m in re.finditer(r"\S+", text)]
     words = [text[i:j].lower() for i, j in spans]
     out = set()
-    for parts in (re.finditer(r"[^\n]+" if unit == "line" else r"(?:[^\n]|\n(?!\s*\n))+", text), re.finditer(r"(?:[^\n.!?]|[.!?](?![\"]?(?:\s|\Z)))*(?:[.!?][\"]?(?=\s|\Z)|\n|\Z)", text)):
+    for least, parts in ((1, re.finditer(r"[^\n]+" if unit == "line" else r"(?:[^\n]|\n(?!\s*\n))+", text)), (least_sentence, re.finditer(r"(?:[^\n.!?]|[.!?](?![\"]?(?:\s|\Z)))*(?:[.!?][\"]?(?=\s|\Z)|\n|\Z)", text))):
         for m in parts:
             at = [k for k, (i, j) in enumerate(spans) if m.start() <= i and j <= m.end()]
-            if at:
+            if at and at[-1] + 1 - at[0] >= least:
                 out.add((at[0], at[-1] + 1))
     return [(i, j, " ".join(words[i:j])) for i, j in sorted(out)], spans
 
@@ -23,7 +23,7 @@ def brute(rows, least, unit="line"):
     """Runs of units that stood before in order of id and place, as passages."""
     seen, gone = {}, []
     for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        found, spans = plain_units(t or "", unit)
+        found, spans = plain_units(t or "", unit, min(x.SENTENCE, least))
         runs, own = [], {}
         for i, j, norm in found:
             keep = seen.get(norm, d if norm in own else "new")
@@ -101,7 +101,7 @@ def test_ids_that_repeat(spark):
 def test_long_and_empty_texts(spark):
     docs = spark.createDataFrame([(1, "x " * 400_000), (2, "x " * 400_000), (3, ""), (4, None), (5, "y" * 3_000_000), (6, "y" * 3_000_000 + " z")], "doc_id long, text string")
     got = sorted((r.doc_id, r.start, r.n_words) for r in x.repeats(docs).collect())
-    assert got == [(2, 0, 400_000)]
+    assert got == [(1, 2 * x.WINDOW, 400_000 - x.WINDOW), (2, 0, 400_000)]  # what repeats itself keeps its first window
     assert {r.doc_id: r.text for r in x.remove_repeats(docs).collect()}[2] == ""
 
 
@@ -153,4 +153,5 @@ def test_any_fifty_words_that_come_back_are_found(spark):
 def test_equal_windows_do_not_overlap():
     u = x.units(["x " * 500, "y z " * 500])
     at = {t: [w for w, n, k in zip(u["word"].tolist(), u["n_words"].tolist(), u["text"].tolist(), strict=True) if k == t and n == x.WINDOW] for t in (0, 1)}
-    assert at[0] == [0] and len(at[1]) == 1
+    assert at[0] == [*range(0, 481, x.WINDOW)] and len(at[1]) == 49 or len(at[1]) == 50
+    assert all(b - a >= x.WINDOW for a, b in zip(at[1], at[1][1:]))

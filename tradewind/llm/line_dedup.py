@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from tradewind.llm.common import fresh_name, map_arrow, narrow, quoted, small_batches, stash
 
 #: Words in a window, in a row of words that surely has one, and in the shortest unit that makes a run go.
-WINDOW, FOUND, LEAST = 25, 50, 25
+WINDOW, FOUND, LEAST = 20, 50, 20
+#: Sentences of fewer words only count as parts of lines and windows, unless runs as short as that are to go.
+SENTENCE = 5
 #: Characters hashed at a time, about.
 GROUP_CHARS = 1_000_000
 #: Kinds of characters: in words, sentence ends, closing quotes; white space, line ends; those that are words by themselves, and end sentences.
@@ -38,7 +40,8 @@ DENSE_RANGES = [
 ]
 _CHAR_BASE, _BASE0, _BASE1 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 _FAR = (1 << 63) - 1
-UNITS = "doc_id long, text_key long, word int, n_words int, start int, stop int, again boolean, d0 long, d1 long"
+#: words: first word << 32 | words << 1 | again; span: first character << 32 | end. Spark keeps eight bytes a column whatever its type.
+UNITS = "doc_id long, text_key long, words long, span long, d0 long, d1 long"
 U = np.uint64
 
 
@@ -97,7 +100,7 @@ def sliding(f, x: np.ndarray, width: int) -> np.ndarray:
 
 
 def picked(h: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """First words of the windows chosen: the least of each FOUND words of a text. h: hash of the window at each word; equal ones that overlap are one."""
+    """First words of the windows chosen: the least of each FOUND words of a text. h: hash of the window at each word; of equal ones that overlap, one in WINDOW words is."""
     if len(text) < FOUND:
         return np.zeros(0, np.int64)
     width = FOUND - WINDOW + 1
@@ -108,7 +111,11 @@ def picked(h: np.ndarray, text: np.ndarray) -> np.ndarray:
     order = np.lexsort((at, h[at]))
     x, same = at[order], np.zeros(len(at), bool)
     same[1:] = (h[x[1:]] == h[x[:-1]]) & (x[1:] - x[:-1] < WINDOW)
-    return np.sort(x[~same])
+    chain = np.cumsum(~same) - 1  # equal windows that overlap: of each WINDOW words the first
+    step = (x - x[~same][chain]) // WINDOW
+    first = ~same
+    first[1:] |= step[1:] != step[:-1]
+    return np.sort(x[first])
 
 
 def words_of(text: str) -> tuple[np.ndarray, ...]:
@@ -133,10 +140,10 @@ def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
 
 
-def units(texts: list[str], unit: str = "line") -> dict[str, np.ndarray]:
+def units(texts: list[str], unit: str = "line", least_sentence: int = 1) -> dict[str, np.ndarray]:
     """Units of texts: number of the text, first word, words, first character, end, digest (d0, d1), whether it stood before in the text.
 
-    unit: what lines are: line, or paragraph (parted by empty lines).
+    unit: what lines are: line, or paragraph (parted by empty lines); least_sentence: words of a sentence that is a unit.
     """
     first_char = np.cumsum([0] + [len(t) + 1 for t in texts])
     start, stop, h, sentence, line = words_of("\n".join(texts))
@@ -149,7 +156,9 @@ def units(texts: list[str], unit: str = "line") -> dict[str, np.ndarray]:
     n = len(start)
     i = np.arange(max(0, n - WINDOW + 1))
     at = picked(mix(spans_of(h, _BASE0, i, i + WINDOW)), text)
-    parts = [runs(sentence), runs(line), (at, at + WINDOW)]
+    first, end = runs(sentence)
+    long = end - first >= least_sentence
+    parts = [(first[long], end[long]), runs(line), (at, at + WINDOW)]
     a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
     once = np.unique(a * (n + 1) + b)  # a line of one sentence is one unit
     a, b = once // (n + 1), once % (n + 1)
@@ -171,7 +180,7 @@ def key_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def unit_table(docs: DataFrame, unit: str = "line", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def unit_table(docs: DataFrame, unit: str = "line", least_sentence: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of UNITS; again: the unit has stood before in the same text."""
     small_batches(docs.sparkSession)
 
@@ -182,11 +191,11 @@ def unit_table(docs: DataFrame, unit: str = "line", id_col: str = "doc_id", text
             for i, t in enumerate(texts):
                 size += len(t)
                 if size >= GROUP_CHARS or i == len(texts) - 1:
-                    x = units(texts[lo : i + 1], unit)
+                    x = units(texts[lo : i + 1], unit, least_sentence)
                     rows = pa.array(x["text"] + lo)
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": b.column("doc_id").take(rows), "text_key": b.column("text_key").take(rows), **{c: x[c].astype(np.int32) for c in ("word", "n_words", "start", "stop")},
-                        "again": x["again"], "d0": x["d0"], "d1": x["d1"],
+                        "doc_id": b.column("doc_id").take(rows), "text_key": b.column("text_key").take(rows), "words": x["word"] << 32 | x["n_words"] << 1 | x["again"],
+                        "span": x["start"] << 32 | x["stop"], "d0": x["d0"], "d1": x["d1"],
                     })
                     lo, size = i + 1, 0
 
@@ -201,11 +210,14 @@ def repeats(docs: DataFrame, least: int = LEAST, unit: str = "line", id_col: str
     repeat an id rank alike, so each keeps its first occurrence. Other columns are ignored; no
     rows in, no rows out.
     """
-    table = stash(unit_table(docs, unit, id_col, text_col), "units")
+    table = stash(unit_table(docs, unit, min(SENTENCE, least), id_col, text_col), "units")
     rank = F.coalesce("doc_id", F.lit(_FAR))
     # written, so that the join deals both sides anew and Spark can split a line that very many texts share
     groups = stash(table.groupBy("d0", "d1").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated-units")
-    gone = table.join(groups, ["d0", "d1"]).filter(F.col("again") | (rank > F.col("first"))).select("doc_id", "text_key", "word", (F.col("word") + F.col("n_words")).alias("end"), "start", "stop", "first", "n_words")
+    gone = table.join(groups, ["d0", "d1"]).filter((F.col("words").bitwiseAND(1) == 1) | (rank > F.col("first"))).drop("d0", "d1")
+    high, low = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF))
+    gone = gone.select("doc_id", "text_key", high("words").alias("word"), F.shiftright(low("words"), 1).cast("int").alias("n_words"), high("span").alias("start"), low("span").cast("int").alias("stop"), "first")
+    gone = gone.withColumn("end", F.col("word") + F.col("n_words"))
     # a text's units are as many as its words at most, so a window over one text is bounded by it
     before = Window.partitionBy("doc_id", "text_key").orderBy("word", "end")
     marked = gone.withColumn("reach", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
