@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tradewind.functions.core import clean, errors
 from tradewind.plans.marketplace import TYPES
 from tradewind.plans.registry import query, table
-from tradewind.session import shared_folder
+from tradewind.session import landed, shared_folder
 from tradewind.sources import commerce
 from tradewind.streaming import events as S
 
@@ -133,6 +133,11 @@ def _records(spark, sf_dir) -> DataFrame:
     return to_kafka(table(spark, sf_dir, "events").selectExpr(*commerce._select(commerce.EVENTS)))
 
 
+def _bronze(spark, sf_dir) -> DataFrame:
+    """Bronze as files with its codes; one plan from records to Gold would nest every code in every default."""
+    return landed(bronze(_records(spark, sf_dir)), "bronze")
+
+
 def _slug_sql(c: str) -> str:
     return f"regexp_matches({c}, '{SLUG}')"
 
@@ -167,22 +172,22 @@ silver AS (SELECT *, CASE WHEN source_type = 'shopify' AND reporting_date IS NOT
 
 @query(f"WITH {LAYERS_SQL} SELECT code, count(*) AS records FROM (SELECT unnest(bronze_errors) AS code FROM bronze) GROUP BY 1")
 def brz_codes(spark, sf_dir):
-    return bronze(_records(spark, sf_dir)).select(F.explode("bronze_errors").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("records"))
+    return _bronze(spark, sf_dir).select(F.explode("bronze_errors").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("records"))
 
 
 @query(f"WITH {LAYERS_SQL} SELECT kafka_offset, array_to_string(bronze_errors, '|') AS codes, true AS stamped FROM bronze WHERE len(bronze_errors) > 0")
 def brz_rejected(spark, sf_dir):
-    rejected = split(bronze(_records(spark, sf_dir)), "bronze_errors")[1]
+    rejected = split(_bronze(spark, sf_dir), "bronze_errors")[1]
     return rejected.select("kafka_offset", F.array_join("bronze_errors", "|").alias("codes"), (F.col("ingestion_date") == F.to_date("ingested_at")).alias("stamped"))
 
 
 @query(f"WITH {LAYERS_SQL} SELECT kafka_offset, business_id, source_type, source_id, schema_version, event_id, legacy, event_timestamp FROM bronze WHERE len(bronze_errors) = 0")
 def brz_valid(spark, sf_dir):
-    return split(bronze(_records(spark, sf_dir)), "bronze_errors")[0].select("kafka_offset", *IDENTITY, "event_id", "legacy", "event_timestamp")
+    return split(_bronze(spark, sf_dir), "bronze_errors")[0].select("kafka_offset", *IDENTITY, "event_id", "legacy", "event_timestamp")
 
 
 def _silver(spark, sf_dir) -> DataFrame:
-    return silver(split(bronze(_records(spark, sf_dir)), "bronze_errors")[0])
+    return landed(silver(split(_bronze(spark, sf_dir), "bronze_errors")[0]), "silver")
 
 
 @query(f"WITH {LAYERS_SQL} SELECT kafka_offset, array_to_string(silver_errors, '|') AS codes FROM silver WHERE len(silver_errors) > 0")

@@ -68,3 +68,11 @@ def shared_folder(spark: SparkSession) -> str:
         fs.deleteOnExit(path)
         _SHARED[sc.applicationId] = folder
     return _SHARED[sc.applicationId]
+
+
+def landed(df, label: str):
+    """df written as Parquet to the application's shared folder and reread: the next layer plans on files, as layers do."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
