@@ -7,11 +7,12 @@ from collections import Counter
 
 import public_tokenizers
 import sentencepiece
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_dedup import brute as brute_exact
 from tests.llm.test_line_dedup import brute as brute_lines
-from tests.llm.test_simhash import brute_components, brute_fp
+from tests.llm.test_near_sets import brute as brute_near
 from tradewind.llm import fertility, line_dedup
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -81,6 +82,10 @@ def test_pipeline(spark, tmp_path):
         rows.append((i, body if i % 4 else body + " " + passage, "xx", "s", len(body)))
     for i in range(60, 75):
         rows.append((i, rows[i - 60][1].upper() if i % 2 else rows[i - 60][1], "xx", "s", 1))
+    for i in range(90, 97):  # near copies: a word of some forty changed
+        words = rows[i - 60][1].split(" ")
+        words[len(words) // 2] = "changed"
+        rows.append((i, " ".join(words), "xx", "s", 1))
     rows += [(80, None, None, None, None), (81, "", "en", "s", 0), (82, "short one", "en", "s", 9)]
     cols = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame(rows, cols).repartition(4)
@@ -94,11 +99,12 @@ def test_pipeline(spark, tmp_path):
     want = {d: want[d] for d, _, _, kept, _ in brute_exact(list(want.items())) if kept}
     assert {x.doc_id: x.text for x in one.collect()} == want and one.columns == docs.columns
     near = stage["simhash near-dedup"](spark, one, "")
-    ids = list(want)
-    want = {d: want[d] for d, c in zip(ids, brute_components([brute_fp(want[d]) for d in ids], ids), strict=True) if d == c}
+    first = dict(brute_near(list(want.items())))
+    assert sum(d != c for d, c in first.items()) >= 5
+    want = {d: t for d, t in want.items() if first[d] == d}
     assert {x.doc_id: x.text for x in near.collect()} == want
     spans = {}
-    for d, a, b, *_ in brute_lines(list(want.items())):
+    for d, a, b, *_ in brute_lines(list(want.items()), line_dedup.LEAST):
         spans.setdefault(d, []).append((a, b))
     assert spans
     cut = stage["substring dedup"](spark, near, "")
@@ -108,6 +114,10 @@ def test_pipeline(spark, tmp_path):
     pieces = stage["packing"](spark, cut, "").collect()
     assert {p.doc_id for p in pieces} == set(want) and sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    key = lambda p: (p.doc_id, p.start, p.ids)
-    assert sorted(map(key, corpus_pipeline.run(spark, f"file://{tmp_path}").collect())) != []
+    whole = {}
+    for p in sorted(corpus_pipeline.run(spark, f"file://{tmp_path}").collect(), key=lambda p: p.start):
+        assert p.start == len(whole.setdefault(p.doc_id, []))
+        whole[p.doc_id] += memoryview(p.ids).cast("I").tolist()
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert whole == {d: [*library.encode(t, add_special_tokens=False).ids, 2] for d, t in want.items()}
     assert stage["quality rules"](spark, docs.limit(0), "").count() == 0

@@ -16,6 +16,7 @@ from tradewind.llm.lm import lm_scores
 from tradewind.llm.packing import pack_documents
 from tradewind.llm.simhash import near_duplicates
 from tradewind.llm.warc import archive
+from tradewind.llm.word_runs import find_runs
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -101,6 +102,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
