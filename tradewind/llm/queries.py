@@ -13,6 +13,7 @@ from tradewind.llm.fertility import fertility
 from tradewind.llm.html_text import extract_text
 from tradewind.llm.line_dedup import repeats
 from tradewind.llm.lm import lm_scores
+from tradewind.llm.minhash_join import near_duplicates as near_by_minhash
 from tradewind.llm.packing import pack_documents
 from tradewind.llm.simhash import near_duplicates
 from tradewind.llm.warc import archive
@@ -107,6 +108,11 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_runs(_table(spark, sf_dir, "documents"), plant=True)
 
 
+@query
+def op12_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_by_minhash(_table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
