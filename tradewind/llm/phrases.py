@@ -3,8 +3,8 @@
 Texts become chunks of about CHUNK words of one language, as integers. Frequent words are the
 first prefixes. A prefix's projection is the words that follow each of its occurrences, and a
 prefix grows to the right by those that follow often enough, depth first, inside one task with
-nothing but that projection. A prefix with more than SPLIT occurrences is not projected: its
-occurrences stay in their chunks as pointers, its extensions are counted over all chunks (summed
+nothing but that projection. A prefix with more than SPLIT occurrences isn't sent to one task: its
+projection stays in the chunks, its extensions are counted over all chunks (summed
 in each chunk, then before the shuffle), and the frequent ones are prefixes of their own, one
 word longer. So no task holds more than SPLIT occurrences, whatever word a third of all are.
 
@@ -28,7 +28,7 @@ from tradewind.llm.common import quoted, ship, small_batches, stash
 #: Words in a phrase at most, and its least number of occurrences.
 LONGEST, LEAST = 5, 100
 #: Words in a chunk, about (a text is never cut), and occurrences in a projection at most.
-CHUNK, SPLIT = 1_000_000, 4_000_000
+CHUNK, SPLIT = 4_000_000, 4_000_000
 #: Phrases of a language that are returned, and parts in which they are ranked first.
 TOP, PARTS = 2000, 64
 #: Ends of pieces, as bytes; each is read as a word of its own.
@@ -103,7 +103,8 @@ def _ints(x, dtype="<i8") -> np.ndarray:
 def encoded(made: DataFrame, frequent: DataFrame) -> DataFrame:
     """(chunk, ids, marks): words by their numbers, -1 for others and piece ends; marks: 1 where a prefix of one word begins that is projected, 2 where one is split."""
     each = made.select("lang", "chunk", F.posexplode("words").alias("at", "word"))
-    known = each.join(frequent.select("lang", "word", "number", "hot"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "number", "hot")).alias("known"))
+    # both sides grow with the corpus, so they are merged at every size
+    known = each.join(frequent.select("lang", "word", "number", "hot").hint("merge"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "number", "hot")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,104 +133,105 @@ def _suffixes(ids: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return np.where(np.logical_and.accumulate(out >= 0, axis=1), out, -1)
 
 
-def _projection(node: np.ndarray, ids: np.ndarray, at: np.ndarray, depth: int) -> pa.RecordBatch:
+def _projection(node: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     """A row for each prefix with what follows its occurrences."""
-    some = ids[np.minimum(at, len(ids) - 1)] >= 0
-    node, at = node[some], at[some]
     order = np.argsort(node, kind="stable")
-    node, rows = node[order], _suffixes(ids, at[order], LONGEST - depth)
+    node, rows = node[order], rows[order]
     starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
     ends = np.append(starts, len(node)) * rows.shape[1] * 4
     blobs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows, "<i4"))])
     return pa.RecordBatch.from_pydict({"node": pa.array(node[starts]), "follows": blobs})
 
 
+def _of_words(b: pa.RecordBatch, k: int, mark: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, what follows) of the occurrences of a chunk's prefixes of one word with a mark."""
+    ids, marks = _ints(b.column("ids")[k], "<i4"), _ints(b.column("marks")[k], "u1")
+    at = np.flatnonzero(marks == mark)
+    return (1 << DEPTH_AT) + ids[at].astype(np.int64), _suffixes(ids, at + 1, LONGEST - 1)
+
+
 def projected_words(coded: DataFrame) -> DataFrame:
     """(node, follows): projections of the words that aren't split, a row for each in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                ids, marks = _ints(b.column("ids")[k], "<i4"), _ints(b.column("marks")[k], "u1")
-                at = np.flatnonzero(marks == 1)
-                yield _projection((1 << DEPTH_AT) + ids[at].astype(np.int64), ids, at + 1, 1)
+                yield _projection(*_of_words(b, k, 1))
 
     return coded.mapInArrow(run, "node long, follows binary")
 
 
-POINTERS = "chunk long, node binary, at binary, hot binary"
+#: A chunk's occurrences of frequent prefixes of one length: each one's prefix, what follows it, and whether the prefix is split.
+OCCURRENCES = "chunk long, node binary, follows binary, hot binary"
 
 
-def _pointer_row(chunk: int, node: np.ndarray, at: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk]), **{c: pa.array([v.astype(t).tobytes()], pa.binary()) for c, v, t in (("node", node, "<i8"), ("at", at, "<i4"), ("hot", hot, "u1"))}})
+def _occurrences(chunk: int, node: np.ndarray, follows: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk]), **{c: pa.array([v.astype(t).tobytes()], pa.binary()) for c, v, t in (("node", node, "<i8"), ("follows", follows, "<i4"), ("hot", hot, "u1"))}})
 
 
 def split_words(coded: DataFrame) -> DataFrame:
-    """POINTERS of the words that are split: at is the place after the prefix."""
+    """OCCURRENCES of the words that are split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                ids, marks = _ints(b.column("ids")[k], "<i4"), _ints(b.column("marks")[k], "u1")
-                at = np.flatnonzero(marks == 2)
-                if len(at):
-                    yield _pointer_row(b.column("chunk")[k].as_py(), (1 << DEPTH_AT) + ids[at].astype(np.int64), at + 1, np.ones(len(at)))
+                node, follows = _of_words(b, k, 2)
+                if len(node):
+                    yield _occurrences(b.column("chunk")[k].as_py(), node, follows, np.ones(len(node)))
 
-    return coded.mapInArrow(run, POINTERS)
+    return coded.mapInArrow(run, OCCURRENCES)
 
 
-def _pairs(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, next word, place after it) of a row's pointers to split prefixes that a word follows."""
-    ids, node, at = _ints(b.column("ids")[k], "<i4"), _ints(b.column("node")[k]), _ints(b.column("at")[k], "<i4")
-    some = np.flatnonzero((_ints(b.column("hot")[k], "u1") == 1) & (at < len(ids)))
-    some = some[ids[at[some]] >= 0]
-    return node[some], ids[at[some]], at[some] + 1
+def _rows(b: pa.RecordBatch, k: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, what follows) of a chunk's occurrences whose prefix is split, or isn't, if a word follows."""
+    node, own = _ints(b.column("node")[k]), _ints(b.column("hot")[k], "u1") == hot
+    follows = _ints(b.column("follows")[k], "<i4").reshape(len(node), -1)
+    own = own & (follows[:, 0] >= 0)
+    return node[own], follows[own]
 
 
-def extensions(pointers: DataFrame) -> DataFrame:
-    """(chunk, node, word, n) of pointers with their chunk's ids: how often each word follows each split prefix in a chunk."""
+def extensions(occurrences: DataFrame) -> DataFrame:
+    """(chunk, node, word, n): how often each word follows each split prefix in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                node, word, _ = _pairs(b, k)
-                both, n = np.unique(np.stack([node, word.astype(np.int64)], 1), axis=0, return_counts=True)
+                node, follows = _rows(b, k, 1)
+                both, n = np.unique(np.stack([node, follows[:, 0].astype(np.int64)], 1), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(n), b.column("chunk")[k].as_py(), np.int64)), "node": both[:, 0], "word": both[:, 1], "n": n})
 
-    return pointers.mapInArrow(run, "chunk long, node long, word long, n long")
+    return occurrences.mapInArrow(run, "chunk long, node long, word long, n long")
 
 
-def extended(pointers: DataFrame) -> DataFrame:
-    """POINTERS of the next length, of pointers with their chunk's ids and known (node, word, grown, hot), its frequent extensions."""
+def extended(occurrences: DataFrame) -> DataFrame:
+    """OCCURRENCES one word longer, of ones with known (node, word, grown, hot), the frequent extensions of their split prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                node, word, at = _pairs(b, k)
+                node, follows = _rows(b, k, 1)
                 known = b.column("known")[k].values
                 a, w, grown, hot = (known.field(c).to_numpy(zero_copy_only=False) for c in ("node", "word", "grown", "hot"))
-                _, code = np.unique(np.concatenate([np.stack([a, w], 1), np.stack([node, word.astype(np.int64)], 1)]), axis=0, return_inverse=True)
+                _, code = np.unique(np.concatenate([np.stack([a, w], 1), np.stack([node, follows[:, 0].astype(np.int64)], 1)]), axis=0, return_inverse=True)
                 code = code.reshape(-1)
                 to, is_hot = np.full(int(code.max()) + 1, -1, np.int64), np.zeros(int(code.max()) + 1, np.uint8)
                 to[code[: len(a)]], is_hot[code[: len(a)]] = grown, hot
                 own = code[len(a) :]
                 some = to[own] >= 0
-                yield _pointer_row(b.column("chunk")[k].as_py(), to[own[some]], at[some], is_hot[own[some]])
+                yield _occurrences(b.column("chunk")[k].as_py(), to[own[some]], follows[some, 1:], is_hot[own[some]])
 
-    return pointers.mapInArrow(run, POINTERS)
+    return occurrences.mapInArrow(run, OCCURRENCES)
 
 
-def projected(pointers: DataFrame, depth: int) -> DataFrame:
-    """(node, follows): projections of the prefixes of some length that aren't split."""
+def projected(occurrences: DataFrame) -> DataFrame:
+    """(node, follows): projections of the prefixes that aren't split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                ids, node, at = _ints(b.column("ids")[k], "<i4"), _ints(b.column("node")[k]), _ints(b.column("at")[k], "<i4")
-                cold = _ints(b.column("hot")[k], "u1") == 0
-                yield _projection(node[cold], ids, at[cold], depth)
+                yield _projection(*_rows(b, k, 0))
 
-    return pointers.mapInArrow(run, "node long, follows binary")
+    return occurrences.mapInArrow(run, "node long, follows binary")
 
 
 def grow(rows: np.ndarray, least: int, place: int = 0, prefix: tuple[int, ...] = ()) -> Iterator[tuple[tuple[int, ...], int]]:
@@ -306,12 +308,11 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     projections = [projected_words(coded)]
     nodes = words.select((F.col("number") + F.lit(1 << DEPTH_AT)).alias("node"), F.array("number").alias("numbers"), "n")
     levels = [nodes]
-    pointers = stash(split_words(coded), "split-words") if words.filter("hot").limit(1).count() else None
+    occurrences = stash(split_words(coded), "split-words") if words.filter("hot").limit(1).count() else None
     depth = 1
-    while pointers is not None and depth < LONGEST:
+    while occurrences is not None and depth < LONGEST:
         depth += 1
-        with_ids = pointers.join(coded.select("chunk", "ids"), "chunk")
-        counts = stash(extensions(with_ids), "extensions")
+        counts = stash(extensions(occurrences), "extensions")
         often = counts.groupBy("node", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
         often = often.join(nodes.select("node", "numbers"), "node").withColumns({"numbers": F.array_append("numbers", F.col("word")), "grown": F.monotonically_increasing_id() + F.lit(depth << DEPTH_AT), "hot": F.col("n") > split})
         often = stash(often, "frequent-extensions")
@@ -320,9 +321,9 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
         if depth == LONGEST:
             break
         known = counts.join(often.select("node", "word", "grown", "hot"), ["node", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("node", "word", "grown", "hot")).alias("known"))
-        grown_pointers = stash(extended(with_ids.join(known, "chunk")), "pointers")
-        projections.append(projected(grown_pointers.join(coded.select("chunk", "ids"), "chunk"), depth))
-        pointers = grown_pointers if often.filter("hot").limit(1).count() else None
+        occurrences = stash(extended(occurrences.join(known, "chunk")), "occurrences")
+        projections.append(projected(occurrences))
+        occurrences = occurrences if often.filter("hot").limit(1).count() else None
     whole = reduce(DataFrame.unionByName, levels)
     found = grown(reduce(DataFrame.unionByName, projections), least)
     longer = found.join(whole.select("node", "numbers"), "node").select(F.concat("numbers", "more").alias("numbers"), "n")
