@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewind.operators.ordered import carried, counted, pieces
+from tradewind.session import landed
+
 SEVERITY = {"INFO": 0, "WARNING": 1, "CRITICAL": 2}
 
 
@@ -93,3 +96,55 @@ def consolidated(legacy: DataFrame, key: str = "incident_key") -> DataFrame:
     g = legacy.groupBy(key).agg(oldest.alias("o"), F.max("created_at").alias("last_seen"), F.count(F.lit(1)).alias("occurrences"), F.max((F.col("severity") == "CRITICAL").cast("int")).alias("worst"))
     severity = F.when(F.col("worst") == 1, "CRITICAL").when(F.col("occurrences") > 1, "WARNING").otherwise(F.col("o.severity"))
     return g.select(key, F.col("o.alert_id").alias("alert_id"), F.col("o.created_at").alias("first_seen"), "last_seen", "occurrences", severity.alias("severity"), (F.col("occurrences") - 1).alias("resolved"))
+
+
+def incident_states(occurrences: DataFrame, commands: DataFrame) -> DataFrame:
+    """Incidents by one ordered fold over occurrences and commands: a key has one active incident at most, RESOLVED ends it, the next new occurrence opens another.
+
+    occurrences: (key, occurrence_id, seen_at, severity, evidence, at, number), commands: (key,
+    target, by, at, number); at and number are the order of arrival, an occurrence before a
+    command of the same. The first arrival of an occurrence id is its receipt. A replay counts
+    nothing: it may raise the severity and bring newer evidence while the receipt's incident is
+    active, and does nothing once that is resolved; under another key than the receipt's it is
+    refused. Commands need an active incident and somebody who gives them; the first
+    ACKNOWLEDGED of an incident holds. Refused ones leave no trace. The latest seen_at brings the
+    evidence, of equal ones the later arrival. Rows without key, id or arrival are refused;
+    arrivals that repeat whole are one. A key's history is cut into pieces, see ordered.py.
+
+    (key, incident, status, occurrences, replays, severity, first_seen, last_seen, evidence,
+    acknowledged_at, acknowledged_by, resolved_at, resolved_by)
+    """
+    arrival = ["key", "occurrence_id", "at", "number"]
+    given = occurrences.filter(F.col("key").isNotNull() & F.col("occurrence_id").isNotNull() & F.col("at").isNotNull() & F.col("number").isNotNull())
+    once = given.groupBy(*arrival).agg(F.max(F.struct("seen_at", "severity", "evidence")).alias("x")).select(*arrival, "x.*")
+    receipts = given.groupBy("occurrence_id").agg(F.min(F.struct("at", "number", "key")).alias("receipt"))
+    o = once.join(receipts, "occurrence_id").filter(F.col("key") == F.col("receipt.key"))
+    kind = F.when((F.col("at") == F.col("receipt.at")) & (F.col("number") == F.col("receipt.number")), "new").otherwise("replay")
+    c = commands.filter(F.col("key").isNotNull() & F.col("at").isNotNull() & F.col("number").isNotNull() & F.col("target").isin("ACKNOWLEDGED", "RESOLVED") & (F.length(F.trim("by")) > 0))
+    log = o.select("key", "at", F.lit(0).alias("turn"), "number", kind.alias("kind"), "occurrence_id", "seen_at", "severity", "evidence").unionByName(
+        c.select("key", "at", F.lit(1).alias("turn"), "number", F.col("target").alias("kind"), F.trim("by").alias("by")), allowMissingColumns=True
+    )
+    order = ["at", "turn", "number", "kind", "occurrence_id", "by"]
+    rows = pieces(log, ["key"], order, "incident-log")
+    turns = F.when(F.col("kind").isin("new", "RESOLVED"), F.col("kind"))
+    rows = carried(rows, ["key"], order, turns, "last_turn")
+    active = F.coalesce(F.col("last_turn") == "new", F.lit(False))
+    rows = rows.withColumn("active", active).withColumn("ends", (active & (F.col("kind") == "RESOLVED")).cast("long"))
+    rows = landed(counted(rows, ["key"], order, F.col("ends"), "incident"), "incident-rows")
+    first = rows.filter("kind = 'new'").select("occurrence_id", F.col("incident").alias("own"))
+    replays = rows.filter("kind = 'replay'").join(first, "occurrence_id").filter("incident = own").drop("own")
+    used = rows.filter("kind = 'new' or active and kind in ('ACKNOWLEDGED', 'RESOLVED')").unionByName(replays)
+    rank = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])[F.col("severity")]
+    seen = F.col("kind").isin("new", "replay")
+    act = lambda k: F.min(F.when(F.col("kind") == k, F.struct("at", "number", "by")))
+    g = used.groupBy("key", "incident").agg(
+        F.count_if(F.col("kind") == "new").alias("occurrences"), F.count_if(F.col("kind") == "replay").alias("replays"), F.max(rank).alias("rank"),
+        F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.max(F.when(seen, F.struct("seen_at", "at", "number", "evidence")))["evidence"].alias("evidence"),
+        act("ACKNOWLEDGED").alias("a"), act("RESOLVED").alias("r"),
+    )
+    status = F.when(F.col("r").isNotNull(), "RESOLVED").when(F.col("a").isNotNull(), "ACKNOWLEDGED").otherwise("OPEN")
+    names = F.when(F.col("rank").isNotNull(), F.element_at(F.array(*[F.lit(s) for s in SEVERITY]), F.coalesce("rank", F.lit(0)) + 1))
+    return g.select(
+        "key", "incident", status.alias("status"), "occurrences", "replays", names.alias("severity"), "first_seen", "last_seen", "evidence",
+        F.col("a.at").alias("acknowledged_at"), F.col("a.by").alias("acknowledged_by"), F.col("r.at").alias("resolved_at"), F.col("r.by").alias("resolved_by"),
+    )
