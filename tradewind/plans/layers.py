@@ -216,9 +216,12 @@ def stream_source(spark, sf_dir) -> DataFrame:
     return reader.parquet(f"{sf_dir}/events.parquet" if folder else sf_dir).selectExpr(*commerce._select(commerce.EVENTS))
 
 
-def run_layer(spark, valid: DataFrame, rejected: DataFrame, label: str, by: str) -> tuple[DataFrame, DataFrame]:
-    """Two queries with a checkpoint each, valid and rejected, run to the end of their source; what they wrote."""
-    base = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+def _folder(spark, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def run_layer(spark, valid: DataFrame, rejected: DataFrame, base: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """Two queries with a checkpoint each below base, valid and rejected, run to the end of their source; what they have written so far."""
     running = [S.write(df, f"{base}/{side}/data", f"{base}/{side}/checkpoint", by) for side, df in (("valid", valid), ("rejected", rejected))]
     for q in running:
         q.awaitTermination()
@@ -228,7 +231,7 @@ def run_layer(spark, valid: DataFrame, rejected: DataFrame, label: str, by: str)
 @query(f"WITH {LAYERS_SQL} SELECT kafka_offset, CASE WHEN len(bronze_errors) = 0 THEN 'valid' ELSE 'rejected' END AS side, array_to_string(bronze_errors, '|') AS codes FROM bronze")
 def st_bronze_sides(spark, sf_dir):
     rows = bronze(to_kafka(stream_source(spark, sf_dir))).select("kafka_offset", "ingestion_date", "bronze_errors")
-    good, bad = run_layer(spark, *split(rows, "bronze_errors"), "bronze-sides", "ingestion_date")
+    good, bad = run_layer(spark, *split(rows, "bronze_errors"), _folder(spark, "bronze-sides"), "ingestion_date")
     side = lambda df, name: df.select("kafka_offset", F.lit(name).alias("side"), F.array_join("bronze_errors", "|").alias("codes"))
     return side(good, "valid").unionByName(side(bad, "rejected"))
 
@@ -240,6 +243,46 @@ def st_silver_sides(spark, sf_dir):
     twice = stream_source(spark, sf_dir).withColumn("copy", F.explode(F.when(F.col("event_number") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     rows = silver(split(bronze(to_kafka(twice)), "bronze_errors")[0]).select(*S.KEY, "event_timestamp", "event_date", "silver_errors")
     good, bad = split(rows, "silver_errors")
-    good, bad = run_layer(spark, S.dedup(good), bad, "silver-sides", "event_date")
+    good, bad = run_layer(spark, S.dedup(good), bad, _folder(spark, "silver-sides"), "event_date")
+    side = lambda df, name: df.groupBy(*S.KEY).agg(F.count(F.lit(1)).cast("int").alias("copies")).select(F.lit(name).alias("side"), *S.KEY, "copies")
+    return side(good, "valid").unionByName(side(bad, "rejected"))
+
+
+KAFKA = "key binary, value binary, topic string, partition int, offset long, timestamp timestamp"
+
+
+def run_chain(spark, inbox: str, base: str, horizon: str = "7 days") -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) Silver so far: Bronze as a stream over the records in inbox, Silver as one over the files that Bronze has committed.
+
+    Every call goes on where the last one stopped: each of the four queries keeps its checkpoint
+    below base, and the file sink's log says which of Bronze's files count, so a stop between
+    or inside layers loses and repeats nothing. The valid side keeps each event once: a repeat
+    within horizon of the newest event meets its key in the state; whatever is older than that,
+    a repeat or not, is dropped. The rejected side has no state and keeps repeats.
+    """
+    raw = spark.readStream.schema(KAFKA).parquet(inbox)
+    run_layer(spark, *split(bronze(raw), "bronze_errors"), f"{base}/bronze", "ingestion_date")
+    whole = bronze(spark.createDataFrame([], KAFKA)).schema
+    landed_ = spark.readStream.schema(whole).parquet(f"{base}/bronze/valid/data")
+    good, bad = split(silver(landed_), "silver_errors")
+    return run_layer(spark, S.dedup(good, horizon), bad, f"{base}/silver", "event_date")
+
+
+_CUT_DAY = "2024-01-20"
+
+
+@query(f"""WITH {LAYERS_SQL}, good AS (SELECT *, kafka_offset % 10 = 0 AND kafka_offset % 17 <> 0 AND event_timestamp < TIMESTAMP '{_CUT_DAY}' AS again, kafka_offset % 17 <> 0 AND event_timestamp < TIMESTAMP '{_CUT_DAY}' AS early FROM silver),
+mark AS (SELECT max(event_timestamp) - INTERVAL 7 DAY AS m FROM good WHERE early AND len(silver_errors) = 0)
+SELECT 'valid' AS side, business_id, source_type, source_id, event_id, 1 AS copies FROM good, mark WHERE len(silver_errors) = 0 AND (early OR event_timestamp >= m)
+UNION ALL SELECT 'rejected', business_id, source_type, source_id, event_id, CASE WHEN again THEN 2 ELSE 1 END FROM good WHERE len(silver_errors) > 0""")
+def st_chained_layers(spark, sf_dir):
+    """Two arrivals with a stop between: the second has later events, a tenth of the first's again, and early ones that come only now."""
+    base = _folder(spark, "chained")
+    records = landed(_records(spark, sf_dir), "kafka-records")
+    before, held = F.col("timestamp") < F.lit(_CUT_DAY).cast("timestamp"), F.col("offset") % 17 == 0
+    records.filter(before & ~held).write.parquet(f"{base}/inbox")
+    run_chain(spark, f"{base}/inbox", f"{base}/layers")
+    records.filter(~before | held | (F.col("offset") % 10 == 0)).write.mode("append").parquet(f"{base}/inbox")
+    good, bad = run_chain(spark, f"{base}/inbox", f"{base}/layers")
     side = lambda df, name: df.groupBy(*S.KEY).agg(F.count(F.lit(1)).cast("int").alias("copies")).select(F.lit(name).alias("side"), *S.KEY, "copies")
     return side(good, "valid").unionByName(side(bad, "rejected"))
