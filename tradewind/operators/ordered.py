@@ -33,14 +33,24 @@ def carried(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: C
     return met.withColumn(name, F.coalesce("__inside", "__before")).drop("__inside", "__before")
 
 
-def counted(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
-    """rows of pieces() with the sum of value (integers) over the same keys before them."""
+def _running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, fold, both) -> DataFrame:
+    """rows of pieces() with fold (an aggregate that may be applied to its own results) of value over the same keys before them."""
     inside = Window.partitionBy(*keys, "piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = landed(rows.groupBy(*keys, "piece").agg(F.sum(value).alias("__sum")), "piece-sums")
+    of_pieces = landed(rows.groupBy(*keys, "piece").agg(fold(value).alias("__of_piece")), "piece-values")
     before = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("__before", F.sum("__sum").over(before)).select(*keys, F.col("piece"), "__before")
-    met = join_pieces(rows.withColumn("__inside", F.sum(value).over(inside)), starts, keys)
-    return met.withColumn(name, F.coalesce("__inside", F.lit(0)) + F.coalesce("__before", F.lit(0))).drop("__inside", "__before")
+    starts = of_pieces.withColumn("__before", fold(F.col("__of_piece")).over(before)).select(*keys, F.col("piece"), "__before")
+    met = join_pieces(rows.withColumn("__inside", fold(value).over(inside)), starts, keys)
+    return met.withColumn(name, both(F.col("__inside"), F.col("__before"))).drop("__inside", "__before")
+
+
+def counted(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """rows of pieces() with the sum of value (integers) over the same keys before them."""
+    return _running(rows, keys, order, value, name, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+
+def greatest_before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """rows of pieces() with the greatest value over the same keys before them; null if there is none. value may be a struct."""
+    return _running(rows, keys, order, value, name, F.max, lambda a, b: F.when(a.isNull() | (b > a), b).otherwise(a))
 
 
 def join_pieces(rows: DataFrame, of_pieces: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewind.operators.ordered import counted, greatest_before, pieces
+from tradewind.session import landed
+
 
 def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
@@ -86,6 +89,28 @@ def overlapping(df: DataFrame, on: Sequence[str], key: str, start: str = "valid_
     return a.join(b, cond).select(*[F.col(f"a.{c}") for c in on], F.col(f"a.{key}").alias("left_id"), F.col(f"b.{key}").alias("right_id"))
 
 
+def conflicts(df: DataFrame, on: Sequence[str], key: str, start: str = "valid_from", stop: str = "valid_to") -> DataFrame:
+    """(on, key, start, stop, other): intervals that overlap one of another record that begins before them (or with them, with a smaller key), and the one of these that lasts longest.
+
+    A sweep: in the order of their starts each interval meets the furthest end so far, so a
+    subject with very many intervals costs a sort and no pairs, and its sweep is cut into pieces.
+    Intervals of one record that touch or overlap are one first, so revisions don't conflict among
+    themselves. Bounds are days, both included; a null end is open, a null start or key is in no
+    conflict, nor is an interval that ends before it starts; null subjects match.
+    """
+    far = F.lit("9999-12-31").cast("date")
+    x = df.select(*on, key, F.col(start).alias("__from"), F.coalesce(F.col(stop), far).alias("__to")).filter(F.col(key).isNotNull() & F.col(start).isNotNull()).filter("__from <= __to")
+    own = [*on, key]
+    x = greatest_before(pieces(x, own, ["__from", "__to"], "own-intervals"), own, ["__from", "__to"], F.col("__to"), "__reach")
+    fresh = F.when(F.col("__reach").isNull() | (F.col("__from") > F.col("__reach")), 1).otherwise(0)
+    x = landed(x.drop("piece").withColumn("__fresh", fresh), "own-starts")
+    x = counted(pieces(x, own, ["__from", "__to"], "own-starts"), own, ["__from", "__to"], F.col("__fresh"), "__n").withColumn("__n", F.col("__n") + F.col("__fresh"))
+    whole = landed(x.groupBy(*own, "__n").agg(F.min("__from").alias("__from"), F.max("__to").alias("__to")).drop("__n"), "whole-intervals")
+    order = ["__from", key, "__to"]
+    x = greatest_before(pieces(whole, on, order, "intervals"), on, order, F.struct("__to", key), "__last").filter(F.col("__last.__to") >= F.col("__from"))
+    return x.select(*on, key, F.col("__from").alias(start), F.nullif("__to", far).alias(stop), F.col(f"__last.{key}").alias("other"))
+
+
 def duplicate_excess(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row (excess): rows beyond the first of each key, null keys included."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("excess"))

@@ -92,6 +92,19 @@ def op_overlap_self_join(spark, sf_dir):
     return R.overlapping(r.withColumn("valid_to", F.date_add("valid_from", F.col("days"))), ["subject"], "id")
 
 
+@query("""WITH r AS (SELECT l_partkey % 40 AS subject, l_suppkey AS record, CAST(l_shipdate AS DATE) AS a, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) % 3 AS b FROM lineitem),
+s AS (SELECT *, max(b) OVER (PARTITION BY subject, record ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY subject, record ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS n FROM s),
+w AS (SELECT subject, record, min(a) AS a, max(b) AS b FROM g GROUP BY subject, record, n),
+m AS (SELECT *, max({'b': b, 'r': record}) OVER (PARTITION BY subject ORDER BY a, record, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM w)
+SELECT subject, record, a AS valid_from, b AS valid_to, last.r AS other FROM m WHERE last.b >= a""")
+def op_overlap_conflicts(spark, sf_dir):
+    """Conflicts of few subjects with very many intervals, without their pairs."""
+    day = F.to_date("l_shipdate")
+    r = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 40).alias("subject"), F.col("l_suppkey").alias("record"), day.alias("valid_from"), F.date_add(day, F.col("l_quantity").cast("int") % 3).alias("valid_to"))
+    return R.conflicts(r, ["subject"], "record")
+
+
 @query("SELECT n_name, count(*) FILTER (WHERE c_acctbal < 0) AS in_debt, max(c_acctbal) FILTER (WHERE c_mktsegment = 'BUILDING') AS best_building, bool_or(c_acctbal > 9900) AS any_rich FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def op_filter_aggs(spark, sf_dir):
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
