@@ -73,12 +73,20 @@ def test_templates_make_few_pairs(spark, monkeypatch):
     frame = " ".join(f"f{i}" for i in range(70))
     docs = spark.createDataFrame([(i, frame + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(30))) for i in range(1000)], "doc_id long, text string").repartition(4)
     seen = []
-    whole = x.colliding
-    monkeypatch.setattr(x, "colliding", lambda pairs, *a: (seen.append(pairs.count()), whole(pairs, *a))[1])
+    whole = x.checked
+    monkeypatch.setattr(x, "checked", lambda pairs, *a: (seen.append(pairs.count()), whole(pairs, *a))[1])
     assert x.near_duplicates(docs, words=5).filter("kept").count() == 1000
     assert len(seen) == 3 and sum(seen) < 10_000  # of 499,500
 
 
+def test_the_exact_join_finds_all_that_hubs_miss(spark, monkeypatch):
+    """Without any link from the lists' ends all links come from the sets' rarest shingles."""
+    monkeypatch.setattr(x, "against", lambda members, end: members.select(x.F.col("node").alias("u"), x.F.col("node").alias("v")).limit(0))
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, x.near_duplicates(docs).collect()), key=repr) == brute(rows)
+
+
 def test_signatures():
     """Collisions estimate the similarity, whatever the sizes; blocks don't change a signature."""
     r = np.random.default_rng(5)

@@ -11,10 +11,13 @@ their first COORDS - MATCHES + 1 coordinates, whatever order all nodes share; th
 length of the list, so only a node's shortest lists are merged, its longest are skipped, and a
 node with enough values of its own is in no list at all. Of a list, nodes are first held against
 its least and then its greatest node; what checked links have united isn't compared again, so a
-large group of near copies costs a few pairs a node and list. Only pairs of a list whose nodes
-are still in different groups are compared one by one, all of them, and for these nodes lists are made
-anew, of signatures of COORDS_LONG minima: the estimate is closer there and a node's prefix
-shorter, so texts of one template, alike by half, mostly share no list.
+large group of near copies costs a few pairs a node and list.
+
+Lists whose nodes are then still in different groups hold texts that are alike without being
+linked, such as those of a template, where estimates cannot tell 0.7 from 0.8 and pairs would be
+many. Their nodes are joined by the same two rules, exactly, on whole sets: two sets with a
+link share one of their rarest shingles, and the place of the first one they share bounds what
+they can share in all.
 """
 
 from __future__ import annotations
@@ -31,15 +34,13 @@ from tradewind.llm.components import stars
 WORDS = 2
 #: A link's least similarity, in hundredths.
 LEAST = 80
-COORDS, MATCHES = 128, 80
-#: Of the longer signatures; the chance to miss a pair at a similarity of 0.8 is about the same.
-COORDS_LONG, MATCHES_LONG = 768, 561
+COORDS, MATCHES = 64, 35
 #: Shingles that are hashed at a time, so that they stay in a core's cache.
 GROUP = 30_000
 #: Words whose hashes a task keeps.
 KNOWN = 1_000_000
 _RANDOM = np.random.default_rng(42)
-_MULTIPLIERS = _RANDOM.integers(1, 1 << 63, COORDS_LONG, np.uint64) << np.uint64(1) | np.uint64(1)
+_MULTIPLIERS = _RANDOM.integers(1, 1 << 63, COORDS, np.uint64) << np.uint64(1) | np.uint64(1)
 _PLACES = _RANDOM.integers(1, 1 << 63, 64, np.uint64) << np.uint64(1) | np.uint64(1)
 U = np.uint64
 
@@ -76,9 +77,9 @@ class Shingles:
         return np.unique(self.hashes(text))
 
 
-def signatures(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
-    """(sets, coords) minima; the row of an empty set is all zeros."""
-    out = np.zeros((len(sets), coords), np.uint32)
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, COORDS) minima; the row of an empty set is all zeros."""
+    out = np.zeros((len(sets), COORDS), np.uint32)
     some = [i for i, s in enumerate(sets) if len(s)]
     at = 0
     while at < len(some):
@@ -89,7 +90,7 @@ def signatures(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
             at += 1
         flat = np.concatenate([sets[i] for i in group])
         starts = np.cumsum([0, *(len(sets[i]) for i in group[:-1])])
-        for c, m in enumerate(_MULTIPLIERS[:coords]):
+        for c, m in enumerate(_MULTIPLIERS):
             out[group, c] = np.minimum.reduceat(flat * m, starts) >> U(32)
     return out
 
@@ -127,24 +128,14 @@ def postings(nodes: DataFrame) -> DataFrame:
     return each.select(F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), "node")
 
 
-def long_signatures(sets: DataFrame) -> DataFrame:
-    """(node, size, sig) of node sets, sig with COORDS_LONG minima."""
-
-    def f(b: pa.RecordBatch) -> dict:
-        own = [np.frombuffer(s, "<u8") for s in b.column("shingles").to_pylist()]
-        return {"node": b.column("node"), "size": pa.array([len(s) for s in own], pa.int32()), "sig": _lists(signatures(own, COORDS_LONG))}
-
-    return map_arrow(sets.select("node", "shingles"), f, "node long, size int, sig array<int>")
-
-
-def prefix_lists(nodes: DataFrame, coords: int = COORDS, matches: int = MATCHES) -> DataFrame:
-    """(key, node) of each node's first coords - matches + 1 coordinates, the shortest lists first, of lists that two nodes or more share."""
+def prefix_lists(nodes: DataFrame) -> DataFrame:
+    """(key, node) of each node's first COORDS - MATCHES + 1 coordinates, the shortest lists first, of lists that two nodes or more share."""
     posted = postings(nodes)
     shared = stash(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-values")
     own = Window.partitionBy("node")
     ranked = posted.join(shared, "key").withColumns({"place": F.row_number().over(own.orderBy("n", "key")), "held": F.count(F.lit(1)).over(own)})
-    # the coords - held values that no other node has come before all lists
-    lists = stash(ranked.filter(F.col("place") <= F.col("held") - (matches - 1)).select("key", "node"), "prefix-lists")
+    # the COORDS - held values that no other node has come before all lists
+    lists = stash(ranked.filter(F.col("place") <= F.col("held") - (MATCHES - 1)).select("key", "node"), "prefix-lists")
     merged = stash(lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "merged-lists")
     return stash(lists.join(merged, "key", "left_semi"), "lists")
 
@@ -153,14 +144,14 @@ def _near_sizes(a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * LEAST
 
 
-def colliding(pairs: DataFrame, nodes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """The pairs (u, v) of nodes with that many collisions or more and sizes that allow a link."""
+def colliding(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes with MATCHES collisions or more and sizes that allow a link."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sig").alias(f"{c}_sig"))
     met = pairs.join(side("u"), "u").join(side("v"), "v").filter(_near_sizes("u_size", "v_size"))
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         x, y = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in ("u_sig", "v_sig"))
-        return b.select(["u", "v"]).filter(pa.array((x == y).sum(1) >= matches))
+        return b.select(["u", "v"]).filter(pa.array((x == y).sum(1) >= MATCHES))
 
     return map_arrow(met.select("u", "v", "u_sig", "v_sig"), f, "u long, v long")
 
@@ -207,7 +198,7 @@ def grouped(lists: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         return lists.withColumn("group", F.col("node"))
     star = stars(links)
-    members = stash(lists.join(star.select(F.col("u").alias("node"), F.col("v").alias("up")), "node", "left").select("key", "node", F.coalesce("up", "node").alias("group")), "grouped-lists")
+    members = stash(lists.join(star.select(F.col("u").alias("node"), F.col("v").alias("up")), "node", "left").withColumn("group", F.coalesce("up", "node")).drop("up"), "grouped-lists")
     # aggregates are written before they are joined by their own key: Spark can then split a list with very many rows
     mixed = stash(members.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("key"), "mixed-lists")
     return stash(members.join(mixed, "key", "left_semi"), "open-lists")
@@ -221,12 +212,44 @@ def against(members: DataFrame, end: str) -> DataFrame:
     return met.join(of_end, "v").filter("group <> v_group").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
 
 
+def shingle_lists(sets: DataFrame) -> DataFrame:
+    """(key, node, size, place, indexed): each set's rarest shingles of those that another set has too, as far as a link of the set needs them.
+
+    place counts from 1 over all shingles of the set, the ones of its own first. Of a linked pair
+    the larger set shares one of its first size - 0.8 size + 1 shingles with the first
+    size - 8/9 size + 1 (indexed) of the smaller one.
+    """
+
+    def run(batches):
+        for b in batches:
+            for node, raw in zip(b.column("node").to_pylist(), b.column("shingles"), strict=True):
+                s = np.frombuffer(raw.as_buffer(), "<i8")
+                for at in range(0, len(s), GROUP):
+                    part = s[at : at + GROUP]
+                    yield pa.RecordBatch.from_pydict({"node": np.full(len(part), node, np.int64), "key": part, "size": np.full(len(part), len(s), np.int32)})
+
+    each = stash(sets.select("node", "shingles").mapInArrow(run, "node long, key long, size int"), "set-shingles")
+    shared = stash(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-shingles")
+    own = Window.partitionBy("node")
+    x = each.join(shared, "key").withColumns({"place": F.row_number().over(own.orderBy("n", "key")), "held": F.count(F.lit(1)).over(own)})
+    x = x.withColumn("place", F.col("place") + F.col("size") - F.col("held"))
+    first = lambda share: F.col("size") - F.ceil(F.col("size") * share[0] / F.lit(share[1])) + 1
+    x = x.filter(F.col("place") <= first((LEAST, 100)))
+    return stash(x.select("key", "node", "size", "place", (F.col("place") <= first((2 * LEAST, 100 + LEAST))).alias("indexed")), "shingle-lists")
+
+
 def between(members: DataFrame) -> DataFrame:
-    """All pairs (u, v) of a list whose nodes are in different groups."""
-    groups = members.select("key", "group").distinct()
-    apart = groups.select("key", F.col("group").alias("g")).join(groups.select("key", F.col("group").alias("h")), "key").filter("g < h")
-    a, b = (members.select("key", F.col("group").alias(g), F.col("node").alias(u)) for g, u in (("g", "u"), ("h", "v")))
-    met = apart.join(a, ["key", "g"]).join(b, ["key", "h"])
+    """Pairs (u, v) of nodes in different groups that a list of shingles (with group) allows to be linked."""
+    # what a group's best node could reach decides first, so that few pairs of groups are made
+    bounds = lambda m, g: m.groupBy("key", F.col("group").alias(g)).agg(F.max(F.col("size") - F.col("place")).alias(f"{g}_rest"), F.min("size").alias(f"{g}_lo"), F.max("size").alias(f"{g}_hi"))
+    reach = (100 + LEAST) * (1 + F.least("g_rest", "h_rest")) >= LEAST * (F.col("g_lo") + F.col("h_lo"))
+    sizes = (F.col("g_hi") >= F.col("h_lo")) & (F.col("h_hi") * 100 >= F.col("g_lo") * LEAST)
+    apart = bounds(members, "g").join(bounds(members.filter("indexed"), "h"), "key").filter((F.col("g") != F.col("h")) & reach & sizes).select("key", "g", "h")
+    a = members.select("key", F.col("group").alias("g"), F.col("node").alias("u"), F.col("size").alias("u_size"), F.col("place").alias("u_place"))
+    b = members.filter("indexed").select("key", F.col("group").alias("h"), F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("place").alias("v_place"))
+    smaller = F.struct("v_size", "v") < F.struct(F.col("u_size").alias("v_size"), F.col("u").alias("v"))
+    most = 1 + F.least(F.col("u_size") - F.col("u_place"), F.col("v_size") - F.col("v_place"))
+    met = apart.join(a, ["key", "g"]).join(b, ["key", "h"]).filter(smaller & _near_sizes("u_size", "v_size") & ((100 + LEAST) * most >= LEAST * (F.col("u_size") + F.col("v_size"))))
     return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
@@ -252,9 +275,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = checked(stash(colliding(met, nodes), "collisions"), sets)
         links = stash(found if links is None else links.unionByName(found), "links")
     apart = grouped(lists, links).select("node").distinct()
-    longer = stash(long_signatures(sets.join(apart, "node", "left_semi")), "long-signatures")
-    met = stash(between(grouped(prefix_lists(longer, COORDS_LONG, MATCHES_LONG), links)).distinct(), "pairs")
-    links = stash(links.unionByName(checked(stash(colliding(met, longer, MATCHES_LONG), "collisions"), sets)), "links")
+    rare = shingle_lists(sets.join(apart, "node", "left_semi"))
+    met = stash(between(grouped(rare, links)).distinct(), "pairs")
+    links = stash(links.unionByName(checked(met, sets)), "links")
     root = nodes.join(stars(links).select(F.col("u").alias("node"), F.col("v").alias("up")), "node", "left").select("node", "d0", "d1", "first", F.coalesce("up", "node").alias("root"))
     root = stash(root, "roots")
     component = root.join(stash(root.groupBy("root").agg(F.min("first").alias("component_id")), "least-members"), "root").select("d0", "d1", "component_id")
