@@ -67,3 +67,32 @@ def utm(url: str, key: str) -> Column:
     """A query parameter of a URL, decoded (what isn't a valid escape stays as it is) and cut at 255 characters, null if blank."""
     raw = F.regexp_replace(F.regexp_extract(F.col(url), rf"[?&]{key}=([^&#]*)", 1), r"\+", " ")
     return F.nullif(F.left(F.coalesce(F.try_url_decode(raw), raw), F.lit(255)), F.lit(""))
+
+
+#: Campaign parameters, and the characters that may stand around a value in a run of them.
+UTM_NAMES = ("source", "id", "medium", "campaign", "content", "term")
+_AROUND = " \\t\\r\\n,;&\"'}"
+
+
+def utm_texts(c: str) -> dict[str, Column]:
+    """{utm_source: ..} of a text column that holds a JSON object, or a run of key[:=]value with or without anything between.
+
+    A run is cut at its known keys (utm_ before them or not, in any case), the last of equal keys
+    holds, values are decoded. In JSON, blanks in keys count as underscores and utm_x comes before
+    x. Blank values are null, longer ones are cut at 255 characters.
+    """
+    text = F.trim(F.col(c))
+    entries = F.map_entries(F.from_json(text, "map<string, string>"))
+    named = F.transform(entries, lambda e: F.struct(F.regexp_replace(F.lower(e["key"]), " ", "_").alias("key"), e["value"].alias("value")))
+    json = F.when(text.startswith("{") & F.try_parse_json(text).isNotNull(), named)
+    marked = F.regexp_replace(text, rf"(?i)(?:utm[_ ]?)?({'|'.join(UTM_NAMES)})\s*[:=]\s*[\"']?", "\u0001$1\u0002")
+    runs = F.transform(F.filter(F.split(marked, "\u0001"), lambda x: x.contains("\u0002")), lambda x: F.struct(F.concat(F.lit("utm_"), F.lower(F.split_part(x, F.lit("\u0002"), F.lit(1)))).alias("key"), F.split_part(x, F.lit("\u0002"), F.lit(2)).alias("value")))
+    last = lambda found, key: F.try_element_at(F.filter(found, lambda e: e["key"] == key), F.lit(-1))["value"]
+    bare = lambda v: F.regexp_replace(v, f"^[{_AROUND}]+|[{_AROUND}]+$", "")
+    decoded = lambda v: F.coalesce(F.try_url_decode(v), F.regexp_replace(v, r"\+", " "))
+    tidy = lambda v: F.nullif(F.left(F.trim(v), F.lit(255)), F.lit(""))
+    out = {}
+    for n in UTM_NAMES:
+        of_json = F.coalesce(last(json, f"utm_{n}"), last(json, n))
+        out[f"utm_{n}"] = tidy(F.when(json.isNotNull(), of_json).otherwise(decoded(bare(last(runs, f"utm_{n}")))))
+    return out

@@ -66,6 +66,21 @@ CHAIN = ("seasonal_trend", "trend", "day_of_week", "robust_history")
 WARNING, CRITICAL = (3.5, 0.5, 1.0), (6.0, 1.0, 5.0)
 
 
+_TREND_SLOPES = "filter(flatten(transform(h, (a, i) -> transform(slice(h, i + 2, size(h)), b -> (b.y - a.y) / nullif(b.x - a.x, 0)))), s -> s is not null)"
+
+
+def _stamp(c: Column | str) -> Column:
+    return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double")
+
+
+def _back(time: str, value: str) -> Column:
+    return F.struct(F.col(time).alias("day"), _stamp(F.col(time)).alias("x"), F.weekday(time).alias("w"), F.col(value).alias("y"))
+
+
+def _enough(sample: str | None, least_sample: int) -> Column:
+    return F.lit(True) if sample is None else F.coalesce(F.col(sample) >= least_sample, F.lit(False))
+
+
 def chain(points: DataFrame, order: tuple[str, ...] = CHAIN, key: str = "series", time: str = "day", value: str = "value", sample: str | None = None, least_sample: int = 0) -> DataFrame:
     """Each series' last point against the first baseline of order that has enough points before it.
 
@@ -75,18 +90,36 @@ def chain(points: DataFrame, order: tuple[str, ...] = CHAIN, key: str = "series"
     smaller than least_sample are left out, and a last point with one has INSUFFICIENT_HISTORY,
     as has one without a baseline. Points without a value are left out; of equal times any is last.
     """
-    stamp = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double")
+    enough = _enough(sample, least_sample)
+    w = Window.partitionBy(key).orderBy(F.desc(time))
+    x = points.filter(F.col(value).isNotNull()).withColumn("__n", F.row_number().over(w)).withColumn("__enough", enough)
+    now = x.filter("__n = 1").select(key, time, value, F.col("__enough").alias("enough"))
+    # ranked and cut before anything is gathered: a series sends its last LONGEST points at most
+    last = x.filter("__n > 1 and __enough").withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= LONGEST)
+    h = last.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list(_back(time, value))).alias("h"))
+    met = now.join(h, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    return _judged(met.withColumn("h", F.coalesce("h", F.array().cast(h.schema["h"].dataType))), order, key, time, value)
+
+
+def walk(points: DataFrame, order: tuple[str, ...] = CHAIN, key: str = "series", time: str = "day", value: str = "value", sample: str | None = None, least_sample: int = 0) -> DataFrame:
+    """Every point against what the chain says from the points before it: chain()'s columns, a row for each point.
+
+    The state of a point is its last LONGEST points with a large enough sample, whatever the
+    length of the series; of equal times any is first.
+    """
     w = Window.partitionBy(key)
-    x = points.filter(F.col(value).isNotNull()).withColumn("__n", F.row_number().over(w.orderBy(F.desc(time))))
-    enough = F.lit(True) if sample is None else F.coalesce(F.col(sample) >= least_sample, F.lit(False))
-    back = F.when((F.col("__n") > 1) & enough, F.struct(F.col(time).alias("day"), stamp(F.col(time)).alias("x"), F.weekday(time).alias("w"), F.col(value).alias("y")))
-    # max_by over a handful of rows a series: the last LONGEST points before the last one
-    g = x.filter((F.col("__n") == 1) | enough).groupBy(key).agg(
-        F.max(F.when(F.col("__n") == 1, F.struct(F.col(time).alias("day"), F.col(value).alias("value"), enough.alias("enough")))).alias("now"),
-        F.slice(F.reverse(F.array_sort(F.collect_list(back))), 1, LONGEST).alias("h"),
-    )
-    g = g.select(key, F.col("now.day").alias(time), F.col("now.value").alias(value), F.col("now.enough").alias("enough"), F.reverse("h").alias("h"))
-    slopes = F.expr("filter(flatten(transform(h, (a, i) -> transform(slice(h, i + 2, size(h)), b -> (b.y - a.y) / nullif(b.x - a.x, 0)))), s -> s is not null)")
+    x = points.filter(F.col(value).isNotNull()).withColumn("enough", _enough(sample, least_sample))
+    # points are counted, and the frame is one of counts: small samples take no place in it
+    x = x.withColumn("__c", F.coalesce(F.sum(F.col("enough").cast("long")).over(w.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    x = x.withColumn("h", F.collect_list(F.when(F.col("enough"), _back(time, value))).over(w.orderBy("__c").rangeBetween(-LONGEST, -1)))
+    return _judged(x.select(*points.columns, "enough", "h"), order, key, time, value)
+
+
+def _judged(g: DataFrame, order: tuple[str, ...], key: str, time: str, value: str) -> DataFrame:
+    """Points with enough and their history h (day, x, w, y), oldest first, against the chain's baselines."""
+    rest_of = [c for c in g.columns if c not in (key, time, value, "enough", "h")]
+    stamp = _stamp
+    slopes = F.expr(_TREND_SLOPES)
     g = g.withColumn("slope", middle(slopes)).withColumn("same", F.filter("h", lambda p: p["w"] == F.weekday(time)))
     now, n = stamp(F.col(time)), F.size("h")
     level = lambda of: middle(F.transform(of, lambda p: p["y"] - F.coalesce("slope", F.lit(0.0)) * p["x"]))
@@ -104,7 +137,7 @@ def chain(points: DataFrame, order: tuple[str, ...] = CHAIN, key: str = "series"
     first = F.coalesce(*[F.when(each[s][0], F.struct(F.lit(s).alias("strategy"), F.lit(i > 0).alias("fallback_used"), each[s][1].alias("expected"), each[s][2].alias("rest"), each[s][3].alias("references"))) for i, s in enumerate(order)])
     g = g.withColumn("b", F.when(F.col("enough"), first))
     trended = F.col("b.strategy").isin("seasonal_trend", "trend")
-    g = g.select(key, time, value, "b.strategy", "b.fallback_used", "b.expected", F.when(trended, F.col("slope")).alias("slope"), F.coalesce("b.references", F.lit(0)).alias("references"), F.col("b.rest").alias("rest"))
+    g = g.select(key, time, value, *rest_of, "b.strategy", "b.fallback_used", "b.expected", F.when(trended, F.col("slope")).alias("slope"), F.coalesce("b.references", F.lit(0)).alias("references"), F.col("b.rest").alias("rest"))
     g = g.withColumn("center", middle(F.col("rest")))
     g = g.withColumn("mad", middle(F.transform("rest", lambda v: F.abs(v - F.col("center")))))
     bound = lambda z: F.when(F.col("mad") > 1e-12, z[0] * F.col("mad") / Z).when(F.col("expected") != 0, F.abs("expected") * z[1]).when(F.col("expected").isNotNull(), z[2])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.operators.relational import duplicate_excess
@@ -124,3 +124,21 @@ def summary(results: DataFrame) -> DataFrame:
     """One row: FAIL over WARN over PASS, and whether the run blocks what follows."""
     fail, warn = F.bool_or(F.col("status") == "FAIL"), F.bool_or(F.col("status") == "WARN")
     return results.agg(F.when(fail, "FAIL").when(warn, "WARN").otherwise("PASS").alias("status"), F.coalesce(fail, F.lit(False)).alias("blocking"), F.count(F.lit(1)).alias("rules"))
+
+
+def registry(df: DataFrame, identity: str, checks: dict[str, tuple[str, str, Column]], samples: int = 10) -> DataFrame:
+    """(code, severity, classification, count, sample_ids): every code of checks, found or not, with its first ids.
+
+    checks: {code: (severity, classification, condition)}, all in one pass. A sample is the least
+    ids of a code; ranks are limited before the shuffle, so no code is gathered. Null conditions
+    don't hold; a null id counts but is no sample; an id that repeats is a sample as often.
+    """
+    found = F.array_compact(F.array(*[F.when(cond, F.lit(code)) for code, (_, _, cond) in checks.items()]))
+    rows = df.select(F.col(identity).cast("string").alias("id"), F.explode(found).alias("code"))
+    counts = rows.groupBy("code").agg(F.count(F.lit(1)).alias("count"))
+    w = Window.partitionBy("code").orderBy("id")
+    first = rows.filter("id is not null").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= samples)
+    named = first.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("sample_ids"))
+    known = df.sparkSession.createDataFrame([(code, severity, kind) for code, (severity, kind, _) in checks.items()], "code string, severity string, classification string")
+    out = known.join(counts, "code", "left").join(named, "code", "left")
+    return out.select("code", "severity", "classification", F.coalesce("count", F.lit(0)).cast("long").alias("count"), F.coalesce("sample_ids", F.array().cast("array<string>")).alias("sample_ids"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.core import money, ratio
+from tradewind.operators import quality as Q
 from tradewind.operators.relational import single_or
 from tradewind.plans.registry import query, table
 
@@ -94,3 +95,46 @@ def rel_tolerant_parsing(spark, sf_dir):
     out = text.withColumn("quantity", F.expr("try_cast(q as int)")).withColumn("serial", F.expr("try_cast(nullif(d, '') as int)"))
     problem = F.when(F.col("serial").isNull(), "bad_date").when(F.col("quantity").isNull(), "bad_quantity")
     return out.select("sheet", "row_number", "quantity", problem.alias("problem"), F.expr("timestamp_ntz '1899-12-30 00:00:00' + make_dt_interval(serial, 0, 0, 0)").alias("at"))
+
+
+#: The ledger's registry: severity, classification, condition (the same in both dialects).
+_REGISTRY = {
+    "malformed_invoice_identity": ("ERROR", "DATA_DEFECT", "invoice is null or invoice in ('', 'C')"),
+    "unparseable_quantity": ("ERROR", "DATA_DEFECT", "quantity is null"),
+    "unparseable_price": ("ERROR", "DATA_DEFECT", "price is null"),
+    "impossible_invoice_date": ("ERROR", "DATA_DEFECT", "day is null or day < date '1990-01-01'"),
+    "missing_customer_id": ("INFO", "SOURCE_COMPLETENESS", "customer is null"),
+    "missing_description": ("INFO", "SOURCE_COMPLETENESS", "description is null"),
+    "zero_price_line": ("INFO", "BUSINESS_SOURCE_SEMANTICS", "price = 0"),
+    "cancellation_invoice_line": ("INFO", "BUSINESS_SOURCE_SEMANTICS", "invoice like 'C%'"),
+    "negative_quantity_line": ("INFO", "BUSINESS_SOURCE_SEMANTICS", "quantity < 0"),
+    "non_c_negative_quantity_line": ("INFO", "BUSINESS_SOURCE_SEMANTICS", "quantity < 0 and invoice not like 'C%'"),
+    "special_stock_code_line": ("INFO", "BUSINESS_SOURCE_SEMANTICS", f"stock_code in ({', '.join(repr(x) for x in _SPECIAL)})"),
+    "positive_quantity_on_c_invoice": ("WARNING", "UNUSUAL_SOURCE_BEHAVIOR", "quantity > 0 and invoice like 'C%'"),
+    "negative_price_line": ("WARNING", "UNUSUAL_SOURCE_BEHAVIOR", "price < 0"),
+}
+#: Of whole invoices; the sample is the invoice.
+_MIXED = {
+    "mixed_invoice_customer": ("WARNING", "UNUSUAL_SOURCE_BEHAVIOR", "customers > 1"),
+    "mixed_invoice_customer_presence": ("WARNING", "UNUSUAL_SOURCE_BEHAVIOR", "known > 0 and known < line_count"),
+    "mixed_invoice_country": ("WARNING", "UNUSUAL_SOURCE_BEHAVIOR", "countries > 1"),
+    "mixed_invoice_timestamp": ("WARNING", "UNUSUAL_SOURCE_BEHAVIOR", "days > 1"),
+}
+_REPEATED = {"duplicate_source_row_identity": ("ERROR", "DATA_DEFECT", "copies > 1")}
+_REG_LINE = {"line_id": "concat(l_orderkey, '-', l_linenumber)", "customer": "case when l_suppkey % 6 = 0 then null else l_suppkey % 20 end", "description": "case when l_partkey % 9 = 0 then null else 'd' end", "place": "l_suppkey % 2"}
+_REG_SQL = f"""{_LEDGER_SQL.replace("FROM lineitem", ", " + ", ".join(f"{e} AS {n}" for n, e in _REG_LINE.items()) + " FROM lineitem", 1)},
+invoices AS (SELECT concat(sheet, '/', invoice) AS line_id, count(DISTINCT customer) AS customers, count(customer) AS known, count(*) AS line_count, count(DISTINCT place) AS countries, count(DISTINCT day) AS days FROM ledger GROUP BY 1),
+ids AS (SELECT line_id, count(*) AS copies FROM ledger GROUP BY 1),
+hits AS ({' UNION ALL '.join(f"SELECT '{c}' AS code, line_id FROM {t} WHERE {cond}" for t, reg in (('ledger', _REGISTRY), ('invoices', _MIXED), ('ids', _REPEATED)) for c, (_, _, cond) in reg.items())}),
+known_codes(code, severity, classification) AS (VALUES {', '.join(f"('{c}', '{a}', '{b}')" for c, (a, b, _) in {**_REGISTRY, **_MIXED, **_REPEATED}.items())})"""
+
+
+@query(f"WITH {_REG_SQL} SELECT k.code, severity, classification, count(line_id) AS count, array_to_string(list_sort(coalesce(list(line_id ORDER BY line_id) FILTER (WHERE line_id IS NOT NULL), []))[:10], '|') AS sample FROM known_codes k LEFT JOIN hits USING (code) GROUP BY 1, 2, 3")
+def led_registry(spark, sf_dir):
+    """All codes of the ledger with their count and first ten ids."""
+    raw = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in {**_LEDGER, **_REG_LINE}.items()])
+    inv = raw.groupBy(F.concat("sheet", F.lit("/"), "invoice").alias("line_id")).agg(F.count_distinct("customer").alias("customers"), F.count("customer").alias("known"), F.count(F.lit(1)).alias("line_count"), F.count_distinct("place").alias("countries"), F.count_distinct("day").alias("days"))
+    ids = raw.groupBy("line_id").agg(F.count(F.lit(1)).alias("copies"))
+    parts = [Q.registry(df, "line_id", {c: (a, b, F.expr(e)) for c, (a, b, e) in reg.items()}) for df, reg in ((raw, _REGISTRY), (inv, _MIXED), (ids, _REPEATED))]
+    x = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return x.select("code", "severity", "classification", "count", F.array_join("sample_ids", "|").alias("sample"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.functions.core import money
+from tradewind.functions.core import UTM_NAMES, money, utm_texts
 from tradewind.plans.registry import query, table
 
 #: Patterns of a quantity in a lead's text, and what offers at a price hold.
@@ -139,3 +139,25 @@ def hierarchy_conflicts(rows: DataFrame, levels: dict[str, tuple[str, list[str]]
 @query("WITH " + _SQL + " " + " UNION ALL ".join(f"SELECT '{level}' AS level, count(*) AS conflicts FROM (SELECT {key} FROM leads GROUP BY 1 HAVING count(DISTINCT row({', '.join(under)})) > 1)" for level, (key, under) in _LEVELS.items()))
 def pil_hierarchy(spark, sf_dir):
     return hierarchy_conflicts(leads(spark, sf_dir), _LEVELS)
+
+
+#: Parameters as they come: JSON, runs with nothing between, delimited lists, other text and nothing.
+_UTM_TEXT = """case o_orderkey % 5 when 0 then concat('{"UTM Source": "s', o_custkey % 7, '", "medium": " cpc ", "utm_id": "', o_custkey % 5, '"}')
+ when 1 then concat('utm_source:"fb', o_custkey % 7, '"utm_medium=cpc+', o_custkey % 3, 'UTM campaign = a%20b%C3%A9Content:x', o_orderkey % 9)
+ when 2 then concat('source=tt&medium=vid; medium=', o_custkey % 4, '&term=,') when 3 then 'nothing of note' end"""
+
+
+def _run_sql(n: str) -> str:
+    last = f"list_filter(segments, lambda x: lower(split_part(x, chr(2), 1)) = '{n}')[-1]"
+    bare = f"regexp_replace(split_part({last}, chr(2), 2), '^[ \t\r\n,;&\"''}}]+|[ \t\r\n,;&\"''}}]+$', '', 'g')"
+    given = {"source": "UTM Source", "medium": "medium", "id": "utm_id"}.get(n)
+    of_json = f"json_extract_string(text, '$.\"{given}\"')" if given else "NULL"
+    return f"nullif(left(trim(CASE WHEN starts_with(text, '{{') THEN {of_json} ELSE url_decode(replace({bare}, '+', ' ')) END), 255), '') AS utm_{n}"
+
+
+@query(f"""WITH t AS (SELECT {_UTM_TEXT} AS text FROM orders),
+m AS (SELECT *, list_filter(string_split(regexp_replace(text, '(?:utm[_ ]?)?(source|id|campaign|medium|content|term)\\s*[:=]\\s*["'']?', chr(1) || '\\1' || chr(2), 'gi'), chr(1)), lambda x: contains(x, chr(2))) AS segments FROM t),
+p AS (SELECT {', '.join(_run_sql(n) for n in UTM_NAMES)} FROM m) SELECT *, count(*) AS orders FROM p GROUP BY ALL""")
+def pil_utm_texts(spark, sf_dir):
+    x = table(spark, sf_dir, "orders").select(F.expr(_UTM_TEXT).alias("text")).select(*[v.alias(n) for n, v in utm_texts("text").items()])
+    return x.groupBy(*x.columns).agg(F.count(F.lit(1)).alias("orders"))

@@ -90,3 +90,31 @@ CASE WHEN expected IS NULL THEN 'INFO' WHEN abs(value - expected) >= far_ THEN '
 def an_chain(spark, sf_dir):
     c = A.chain(points(spark, sf_dir), sample="n", least_sample=1)
     return c.select("series", "day", "strategy", "fallback_used", F.round("expected", 3).alias("expected"), F.round("mad", 3).alias("mad"), F.round("lower", 2).alias("lower"), F.round("upper", 2).alias("upper"), "status", "severity")
+
+
+def _walk_sql(least: int) -> str:
+    slopes = "list_median(list_filter(flatten(list_transform(range(1, len(h)), lambda i: list_transform(h[i + 1:], lambda b: (b.y - h[i].y) / nullif(b.x - h[i].x, 0)))), lambda v: v IS NOT NULL))"
+    line, flat = "list_transform({0}, lambda p: p.y - slope * p.x)", "list_transform({0}, lambda p: p.y)"
+    return f"""{_SQL}, q AS (SELECT *, n >= {least} AS enough, CAST(day - DATE '1970-01-01' AS DOUBLE) AS x, isodow(day) AS w FROM points),
+o AS (SELECT *, coalesce(sum(enough::INT) OVER (PARTITION BY series ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c FROM q),
+h AS (SELECT series, day, value, enough, x, list_sort(coalesce(list({{'x': x, 'w': w, 'y': value}}) FILTER (WHERE enough) OVER (PARTITION BY series ORDER BY c RANGE BETWEEN {A.LONGEST} PRECEDING AND 1 PRECEDING), [])) AS h FROM o),
+m AS (SELECT *, {slopes} AS slope, list_filter(h, lambda p: p.w = isodow(day)) AS same, h[greatest(len(h) - {A.WINDOW - 1}, 1):] AS tail FROM h),
+c AS (SELECT *, CASE WHEN NOT enough THEN NULL WHEN slope IS NOT NULL AND len(h) >= {A.LEAST_SEASONAL} AND len(same) >= {A.LEAST_WEEKDAY} THEN 'seasonal_trend' WHEN slope IS NOT NULL AND len(h) >= {A.LEAST_TREND} THEN 'trend' WHEN len(same) >= {A.LEAST_WEEKDAY} THEN 'day_of_week'
+ WHEN len(tail) >= {A.LEAST} THEN 'robust_history' END AS strategy FROM m),
+d AS (SELECT *, CASE strategy WHEN 'seasonal_trend' THEN {line.format('same')} WHEN 'trend' THEN {line.format('h')} WHEN 'day_of_week' THEN {flat.format('same')} WHEN 'robust_history' THEN {flat.format('tail')} END AS of FROM c),
+e AS (SELECT *, list_median(of) + CASE WHEN strategy IN ('seasonal_trend', 'trend') THEN slope * x ELSE 0 END AS expected, list_transform(of, lambda v: v - list_median(of)) AS rest FROM d),
+f AS (SELECT *, list_median(list_transform(rest, lambda v: abs(v - list_median(rest)))) AS mad FROM e),
+g AS (SELECT *, CASE WHEN mad > 1e-12 THEN {A.WARNING[0]} * mad / {A.Z} WHEN expected <> 0 THEN abs(expected) * {A.WARNING[1]} ELSE {A.WARNING[2]} END AS near_ FROM f)"""
+
+
+_TRUTH = "day(day) = 15"
+
+
+@query(f"""WITH {_walk_sql(2)} SELECT series, coalesce(strategy, 'none') AS strategy, count(*) AS points, count(*) FILTER (WHERE abs(value - expected) >= near_) AS anomalies, count(*) FILTER (WHERE expected IS NULL) AS insufficient,
+ count(*) FILTER (WHERE abs(value - expected) >= near_) / nullif(count(*) FILTER (WHERE expected IS NOT NULL), 0) AS alert_rate, count(*) FILTER (WHERE abs(value - expected) >= near_ AND NOT ({_TRUTH})) AS false_positive_proxy FROM g GROUP BY 1, 2""")
+def an_walk_forward(spark, sf_dir):
+    """The whole chain at every point, by the strategy that it took; middays of a month are labelled as true."""
+    g = A.walk(points(spark, sf_dir), sample="n", least_sample=2)
+    hit = F.col("status") == "ANOMALY"
+    out = g.groupBy("series", F.coalesce("strategy", F.lit("none")).alias("strategy")).agg(F.count(F.lit(1)).alias("points"), F.count_if(hit).alias("anomalies"), F.count_if(F.col("status") == "INSUFFICIENT_HISTORY").alias("insufficient"), F.count_if(hit & ~F.expr(_TRUTH)).alias("false_positive_proxy"))
+    return out.withColumn("alert_rate", ratio(F.col("anomalies"), F.col("points") - F.col("insufficient")))
