@@ -13,11 +13,11 @@ node with enough values of its own is in no list at all. Of a list, nodes are fi
 its least and then its greatest node; what checked links have united isn't compared again, so a
 large group of near copies costs a few pairs a node and list.
 
-Lists whose nodes are then still in different groups hold texts that are alike without being
-linked, such as those of a template, where estimates cannot tell 0.7 from 0.8 and pairs would be
-many. Their nodes are joined by the same two rules, exactly, on whole sets: two sets with a
-link share one of their rarest shingles, and the place of the first one they share bounds what
-they can share in all.
+Of a list whose nodes are then still in FEW different groups, all pairs between groups are
+compared. Lists of more groups hold texts that are alike without being linked, such as those of
+a template, where estimates cannot tell 0.7 from 0.8 and pairs would be many. Their nodes are
+joined by the same two rules, exactly, on whole sets: two sets with a link share one of their
+rarest shingles, and the place of the first one they share bounds what they can share in all.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ WORDS = 2
 #: A link's least similarity, in hundredths.
 LEAST = 80
 COORDS, MATCHES = 64, 35
+#: Groups of a list that are compared pair by pair.
+FEW = 16
 #: Shingles that are hashed at a time, so that they stay in a core's cache.
 GROUP = 30_000
 #: Words whose hashes a task keeps.
@@ -212,6 +214,19 @@ def against(members: DataFrame, end: str) -> DataFrame:
     return met.join(of_end, "v").filter("group <> v_group").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
 
 
+def few_groups(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs (u, v) between the groups of lists with FEW groups at most, nodes of the other lists)."""
+    groups = members.select("key", "group").distinct()
+    counts = stash(groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "list-groups")
+    few = stash(members.join(counts.filter(F.col("n") <= FEW).select("key"), "key", "left_semi"), "few-groups")
+    own = few.select("key", "group").distinct()
+    apart = own.select("key", F.col("group").alias("g")).join(own.select("key", F.col("group").alias("h")), "key").filter("g < h")
+    a, b = (few.select("key", F.col("group").alias(g), F.col("node").alias(u)) for g, u in (("g", "u"), ("h", "v")))
+    met = apart.join(a, ["key", "g"]).join(b, ["key", "h"])
+    many = members.join(counts.filter(F.col("n") > FEW).select("key"), "key", "left_semi").select("node").distinct()
+    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), many
+
+
 def shingle_lists(sets: DataFrame) -> DataFrame:
     """(key, node, size, place, indexed): each set's rarest shingles of those that another set has too, as far as a link of the set needs them.
 
@@ -274,10 +289,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = stash(against(grouped(lists, links), end).distinct(), "pairs")
         found = checked(stash(colliding(met, nodes), "collisions"), sets)
         links = stash(found if links is None else links.unionByName(found), "links")
-    apart = grouped(lists, links).select("node").distinct()
-    rare = shingle_lists(sets.join(apart, "node", "left_semi"))
-    met = stash(between(grouped(rare, links)).distinct(), "pairs")
-    links = stash(links.unionByName(checked(met, sets)), "links")
+    met, many = few_groups(grouped(lists, links))
+    found = checked(stash(colliding(stash(met.distinct(), "pairs"), nodes), "collisions"), sets)
+    links = stash(links.unionByName(found), "links")
+    rare = shingle_lists(sets.join(many, "node", "left_semi"))
+    links = stash(links.unionByName(checked(stash(between(grouped(rare, links)).distinct(), "pairs"), sets)), "links")
     root = nodes.join(stars(links).select(F.col("u").alias("node"), F.col("v").alias("up")), "node", "left").select("node", "d0", "d1", "first", F.coalesce("up", "node").alias("root"))
     root = stash(root, "roots")
     component = root.join(stash(root.groupBy("root").agg(F.min("first").alias("component_id")), "least-members"), "root").select("d0", "d1", "component_id")
