@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradewind.functions.core import money, ratio
 from tradewind.operators import anomaly as A
+from tradewind.operators import metrics as M
 from tradewind.plans.registry import query, table
 
 _SQL = """points AS (SELECT o_orderpriority AS series, CAST(date_trunc('week', o_orderdate) AS DATE) + CAST(o_orderkey % 3 AS INTEGER) AS day, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS value, count(*) AS n FROM orders GROUP BY 1, 2)"""
@@ -118,3 +119,53 @@ def an_walk_forward(spark, sf_dir):
     hit = F.col("status") == "ANOMALY"
     out = g.groupBy("series", F.coalesce("strategy", F.lit("none")).alias("strategy")).agg(F.count(F.lit(1)).alias("points"), F.count_if(hit).alias("anomalies"), F.count_if(F.col("status") == "INSUFFICIENT_HISTORY").alias("insufficient"), F.count_if(hit & ~F.expr(_TRUTH)).alias("false_positive_proxy"))
     return out.withColumn("alert_rate", ratio(F.col("anomalies"), F.col("points") - F.col("insufficient")))
+
+
+def _dims_sql(**columns: str) -> str:
+    return " || ".join(["'{'", *[f"'{',' if i else ''}\"{n}\":\"' || {c} || '\"'" for i, (n, c) in enumerate(sorted(columns.items()))], "'}'"])
+
+
+_SALES_SQL = "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS day, o_orderstatus AS status, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS revenue, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS urgent FROM orders GROUP BY 1, 2"
+_LINES_SQL = "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS day, l_returnflag AS flag, l_linestatus AS line, count(*) AS lines, count(*) FILTER (WHERE l_discount > 0.05) AS cut, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS units FROM lineitem GROUP BY 1, 2, 3"
+_FUNNEL_SQL = "SELECT CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type = 'view') AS views, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'purchase') AS purchases, count(*) AS n FROM events GROUP BY 1"
+
+
+def _long_sql(dataset: str, dims: str, metrics: dict[str, tuple[str, str]], source: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{dataset}' AS dataset, '{m}' AS metric, {dims} AS dimensions, day, CAST({v} AS DOUBLE) AS value, CAST({n} AS BIGINT) AS sample FROM {source} WHERE ({v}) IS NOT NULL" for m, (v, n) in metrics.items())
+
+
+_SALES = {"completed_order_volume": ("orders", "NULL"), "gross_revenue": ("revenue", "NULL"), "urgent_rate": ("urgent / nullif(orders, 0)", "orders")}
+_LINES = {"units": ("units", "NULL"), "discount_rate": ("cut / nullif(lines, 0)", "lines")}
+_FUNNEL = {"click_rate": ("clicks / nullif(views, 0)", "views"), "purchase_rate": ("purchases / nullif(clicks, 0)", "clicks"), "volume": ("n", "NULL")}
+_METRICS_SQL = f"""sales AS ({_SALES_SQL}), shipped AS ({_LINES_SQL}), funnel AS ({_FUNNEL_SQL}),
+long AS ({_long_sql("daily_sales", _dims_sql(status="status"), _SALES, "sales")} UNION ALL {_long_sql("shipping", _dims_sql(flag="flag", line="line"), _LINES, "shipped")} UNION ALL {_long_sql("funnel", "'{}'", _FUNNEL, "funnel")})"""
+
+
+def metrics(spark, sf_dir):
+    """Long metric rows of three fact tables, each aggregated and read once."""
+    share = lambda a, b: ratio(a, b)
+    o = table(spark, sf_dir, "orders").groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("day"), F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("orders"), money("o_totalprice").alias("revenue"), F.count_if(F.col("o_orderpriority").startswith("1")).alias("urgent"))
+    li = table(spark, sf_dir, "lineitem").groupBy(F.to_date(F.date_trunc("month", "l_shipdate")).alias("day"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("line")).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("l_discount") > 0.05).alias("cut"), money("l_quantity").alias("units"))
+    kind = lambda k: F.count_if(F.col("event_type") == k)
+    e = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(kind("view").alias("views"), kind("click").alias("clicks"), kind("purchase").alias("purchases"), F.count(F.lit(1)).alias("n"))
+    return (
+        M.extract(o, "daily_sales", "day", ["status"], {"completed_order_volume": (F.col("orders"), None), "gross_revenue": (F.col("revenue"), None), "urgent_rate": (share("urgent", "orders"), F.col("orders"))})
+        .unionByName(M.extract(li, "shipping", "day", ["line", "flag"], {"units": (F.col("units"), None), "discount_rate": (share("cut", "lines"), F.col("lines"))}))
+        .unionByName(M.extract(e, "funnel", "day", [], {"click_rate": (share("clicks", "views"), F.col("views")), "purchase_rate": (share("purchases", "clicks"), F.col("clicks")), "volume": (F.col("n"), None)}))
+    )
+
+
+@query(f"WITH {_METRICS_SQL} SELECT * FROM long")
+def an_metrics(spark, sf_dir):
+    return metrics(spark, sf_dir)
+
+
+def _series(df):
+    return df.withColumn("series", F.concat_ws("|", "dataset", "metric", "dimensions")).withColumn("sample", F.coalesce("sample", F.lit(1 << 30)))
+
+
+@query(f"WITH {_chain_sql().replace(_SQL, _METRICS_SQL + ', points AS (SELECT concat_ws(' + repr('|') + ', dataset, metric, dimensions) AS series, day, value, coalesce(sample, 1073741824) AS n FROM long)')} SELECT series, day, strategy, round(expected, 3) AS expected, CASE WHEN expected IS NULL THEN 'INSUFFICIENT_HISTORY' WHEN abs(value - expected) >= near_ THEN 'ANOMALY' ELSE 'NORMAL' END AS status FROM g")
+def an_metric_chain(spark, sf_dir):
+    """The chain's verdict on the last point of every extracted series."""
+    c = A.chain(_series(metrics(spark, sf_dir)), sample="sample", least_sample=1)
+    return c.select("series", "day", "strategy", F.round("expected", 3).alias("expected"), "status")

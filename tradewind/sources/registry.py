@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.functions.core import errors
+from tradewind.session import landed
 
 BUSINESS = "business_id string, business_name string, status string, timezone string, reporting_timezone string, currency string, country string, enabled_sources array<string>"
 SOURCE = "business_id string, source_id string, source_type string, schema_version string, ingestion_mode string, schedule string, credential_ref string, enabled boolean, metadata map<string, string>"
@@ -103,3 +104,39 @@ def jdbc_snapshot(spark: SparkSession, url: str, relation: str, schema: str, key
     if key:
         reader = reader.option("partitionColumn", key).option("lowerBound", str(low)).option("upperBound", str(high)).option("numPartitions", str(parts))
     return reader.options(**options).load()
+
+
+def jdbc_at_once(spark: SparkSession, url: str, relation: str, schema: str, key: str, parts: int, hold: str | None = None, session: str | None = None, **options: str) -> DataFrame:
+    """A database's table read by several connections as of one moment, and landed.
+
+    One connection of the driver stays open over the whole read and makes it one snapshot:
+    hold is a statement that it runs first, such as LOCK TABLE .. IN SHARE MODE, after which
+    writers wait; or, where the database can share snapshots, hold is a query of its name and
+    session a statement with {snapshot} in it that every reading connection runs first. The
+    bounds of key (a number) come from the table by that connection; null keys are read too, in
+    the first part. An empty table has no rows.
+    """
+    jvm = spark._jvm
+    if "driver" in options:
+        jvm.java.lang.Class.forName(options["driver"])
+    held = jvm.java.sql.DriverManager.getConnection(url, options.get("user", ""), options.get("password", ""))
+    try:
+        held.setAutoCommit(False)
+        held.setTransactionIsolation(4)  # java.sql.Connection.TRANSACTION_REPEATABLE_READ
+        statement = held.createStatement()
+        snapshot = ""
+        if hold and statement.execute(hold):
+            rows = statement.getResultSet()
+            snapshot = rows.getString(1) if rows.next() else ""
+        rows = statement.executeQuery(f"SELECT min({key}), max({key}) FROM {relation}")
+        rows.next()
+        low, high = rows.getObject(1), rows.getObject(2)
+        if session:
+            options["sessionInitStatement"] = session.format(snapshot=snapshot)
+        reader = spark.read.format("jdbc").options(url=url, dbtable=relation, customSchema=schema, isolationLevel="REPEATABLE_READ", fetchsize="10000", **options)
+        if low is not None and int(high) > int(low):
+            reader = reader.options(partitionColumn=key, lowerBound=str(low), upperBound=str(int(high) + 1), numPartitions=str(parts))
+        return landed(reader.load(), "jdbc")
+    finally:
+        held.rollback()
+        held.close()
