@@ -2,8 +2,8 @@
 
 Texts become chunks of about CHUNK words of one language, as integers. Frequent words are the
 first prefixes. A prefix's projection is the words that follow each of its occurrences, and a
-prefix grows to the right by those that follow often enough, depth first, inside one task with
-nothing but that projection. A prefix with more than SPLIT occurrences isn't sent to one task: its
+prefix grows to the right by those that follow often enough, depth first, inside one task (which
+may have several prefixes, one after the other) with nothing but that projection. A prefix with more than SPLIT occurrences isn't sent to one task: its
 projection stays in the chunks, its extensions are counted over all chunks (summed
 in each chunk, then before the shuffle), and the frequent ones are prefixes of their own, one
 word longer. So no task holds more than SPLIT occurrences, whatever word a third of all are.
@@ -29,6 +29,8 @@ from tradewind.llm.common import quoted, ship, small_batches, stash
 LONGEST, LEAST = 5, 100
 #: Words in a chunk, about (a text is never cut), and occurrences in a projection at most.
 CHUNK, SPLIT = 4_000_000, 4_000_000
+#: Occurrences of the prefixes that share a bucket, about; a task grows them one after the other.
+BUCKET = 1_000_000
 #: Phrases of a language that are returned, and parts in which they are ranked first.
 TOP, PARTS = 2000, 64
 #: Ends of pieces, as bytes; each is read as a word of its own.
@@ -133,14 +135,20 @@ def _suffixes(ids: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return np.where(np.logical_and.accumulate(out >= 0, axis=1), out, -1)
 
 
-def _projection(node: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-    """A row for each prefix with what follows its occurrences."""
-    order = np.argsort(node, kind="stable")
-    node, rows = node[order], rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
-    ends = np.append(starts, len(node)) * rows.shape[1] * 4
-    blobs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows, "<i4"))])
-    return pa.RecordBatch.from_pydict({"node": pa.array(node[starts]), "follows": blobs})
+PROJECTIONS = "bucket int, nodes binary, follows binary"
+
+
+def _projection(node: np.ndarray, rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """PROJECTIONS: a row for each bucket of prefixes with their occurrences and what follows these."""
+    some = rows[:, 0] >= 0
+    node, rows = node[some], rows[some]
+    bucket = (((node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((node, bucket))
+    node, rows, bucket = node[order], rows[order], bucket[order]
+    rows = np.pad(rows, ((0, 0), (0, LONGEST - 1 - rows.shape[1])), constant_values=-1).astype("<i4")
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(node) else np.zeros(0, np.int64)
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=False):
+        yield pa.RecordBatch.from_pydict({"bucket": bucket[i : i + 1], "nodes": pa.array([node[i:j].astype("<i8").tobytes()], pa.binary()), "follows": pa.array([rows[i:j].tobytes()], pa.binary())})
 
 
 def _of_words(b: pa.RecordBatch, k: int, mark: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,15 +158,15 @@ def _of_words(b: pa.RecordBatch, k: int, mark: int) -> tuple[np.ndarray, np.ndar
     return (1 << DEPTH_AT) + ids[at].astype(np.int64), _suffixes(ids, at + 1, LONGEST - 1)
 
 
-def projected_words(coded: DataFrame) -> DataFrame:
-    """(node, follows): projections of the words that aren't split, a row for each in a chunk."""
+def projected_words(coded: DataFrame, buckets: int) -> DataFrame:
+    """PROJECTIONS of the words that aren't split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                yield _projection(*_of_words(b, k, 1))
+                yield from _projection(*_of_words(b, k, 1), buckets)
 
-    return coded.mapInArrow(run, "node long, follows binary")
+    return coded.mapInArrow(run, PROJECTIONS)
 
 
 #: A chunk's occurrences of frequent prefixes of one length: each one's prefix, what follows it, and whether the prefix is split.
@@ -223,15 +231,15 @@ def extended(occurrences: DataFrame) -> DataFrame:
     return occurrences.mapInArrow(run, OCCURRENCES)
 
 
-def projected(occurrences: DataFrame) -> DataFrame:
-    """(node, follows): projections of the prefixes that aren't split."""
+def projected(occurrences: DataFrame, buckets: int) -> DataFrame:
+    """PROJECTIONS of the prefixes that aren't split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                yield _projection(*_rows(b, k, 0))
+                yield from _projection(*_rows(b, k, 0), buckets)
 
-    return occurrences.mapInArrow(run, "node long, follows binary")
+    return occurrences.mapInArrow(run, PROJECTIONS)
 
 
 def grow(rows: np.ndarray, least: int, place: int = 0, prefix: tuple[int, ...] = ()) -> Iterator[tuple[tuple[int, ...], int]]:
@@ -247,47 +255,46 @@ def grow(rows: np.ndarray, least: int, place: int = 0, prefix: tuple[int, ...] =
 
 
 def grown(projections: DataFrame, least: int) -> DataFrame:
-    """(node, more, n): all frequent extensions of each projected prefix; a prefix's rows are together in one task, one prefix after the other."""
-
-    def patterns(node: int, blob: bytes | memoryview) -> Iterator[tuple[int, tuple[int, ...], int]]:
-        rows = np.frombuffer(blob, "<i4").reshape(-1, LONGEST - (node >> DEPTH_AT))
-        if len(rows) < least:
+    """(node, more, n): all frequent extensions of each projected prefix; a bucket's rows meet in one task, which grows its prefixes one after the other."""
+
+    def patterns(nodes: list, follows: list) -> Iterator[tuple[int, tuple[int, ...], int]]:
+        node, rows = np.frombuffer(b"".join(nodes), "<i8"), np.frombuffer(b"".join(follows), "<i4").reshape(-1, LONGEST - 1)
+        _, at = np.unique(node, return_inverse=True)
+        _, kind, n = np.unique(at * (int(rows[:, 0].max()) + 1) + rows[:, 0], return_inverse=True, return_counts=True)
+        keep = n[kind] >= least  # what can grow at all
+        node, rows = node[keep], rows[keep]
+        if not len(node):
             return
-        _, kind, n = np.unique(rows[:, 0], return_inverse=True, return_counts=True)
-        rows = rows[n[kind] >= least]
-        if len(rows):
-            rows = rows[np.lexsort(rows.T[::-1])]
-            for words, count in grow(rows, least):
-                yield node, words, count
+        order = np.lexsort((*rows.T[::-1], node))
+        node, rows = node[order], rows[order]
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])).tolist()
+        for i, j in zip(starts, [*starts[1:], len(node)], strict=True):
+            for words, count in grow(rows[i:j], least):
+                yield int(node[i]), words, count
 
     def batch(found: list) -> pa.RecordBatch:
         node, more, n = zip(*found, strict=True)
         return pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "more": pa.array(map(list, more), pa.list_(pa.int64())), "n": pa.array(n, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, found = None, [], []
+        last, nodes, follows, found = None, [], [], []
         for b in batches:
-            if not b.num_rows:
-                continue
-            node, blobs = b.column("node").to_numpy(), b.column("follows")
-            ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
-            data = memoryview(blobs.buffers()[2])
-            starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])).tolist()
-            for i, j in zip(starts, [*starts[1:], len(node)], strict=True):
-                if last is not None and last != node[i]:
-                    found += patterns(last, b"".join(held) if len(held) > 1 else held[0])
-                    held = []
-                last = int(node[i])
-                held.append(data[ends[i] : ends[j]] if j < len(node) else bytes(data[ends[i] : ends[j]]))  # the last may go on in the next batch
+            for k, bucket in enumerate(b.column("bucket").to_pylist()):
+                if last is not None and bucket != last:
+                    found += patterns(nodes, follows)
+                    nodes, follows = [], []
+                last = bucket
+                nodes.append(b.column("nodes")[k].as_py())
+                follows.append(b.column("follows")[k].as_py())
             if len(found) >= 10_000:
                 yield batch(found)
                 found = []
-        if held:
-            found += patterns(last, b"".join(held))
+        if nodes:
+            found += patterns(nodes, follows)
         if found:
             yield batch(found)
 
-    return projections.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, more array<long>, n long")
+    return projections.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "node long, more array<long>, n long")
 
 
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, split: int = SPLIT, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -305,7 +312,8 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     if words.agg(F.max("number")).first()[0] is not None and words.count() >= 1 << 31:
         raise ValueError("more than 2**31 frequent words")
     coded = stash(encoded(made, words), "phrase-ids")
-    projections = [projected_words(coded)]
+    buckets = 1 + (words.agg(F.sum("n")).first()[0] or 0) // BUCKET
+    projections = [projected_words(coded, buckets)]
     nodes = words.select((F.col("number") + F.lit(1 << DEPTH_AT)).alias("node"), F.array("number").alias("numbers"), "n")
     levels = [nodes]
     occurrences = stash(split_words(coded), "split-words") if words.filter("hot").limit(1).count() else None
@@ -322,7 +330,7 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
             break
         known = counts.join(often.select("node", "word", "grown", "hot"), ["node", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("node", "word", "grown", "hot")).alias("known"))
         occurrences = stash(extended(occurrences.join(known, "chunk")), "occurrences")
-        projections.append(projected(occurrences))
+        projections.append(projected(occurrences, buckets))
         occurrences = occurrences if often.filter("hot").limit(1).count() else None
     whole = reduce(DataFrame.unionByName, levels)
     found = grown(reduce(DataFrame.unionByName, projections), least)
