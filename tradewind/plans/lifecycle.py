@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.operators import alerts
+from tradewind.operators import alerts, operational
+from tradewind.operators.canonical import map_status
 from tradewind.operators.ordered import Machine, run_machine
 from tradewind.plans.registry import query, table
 
@@ -122,3 +123,39 @@ def ops_lifecycle(spark, sf_dir):
     x = lifecycles(raw.withColumn("status", status), ["history"], ["at", "number", "code"])
     last = F.max(F.struct("at", "number", "code", "status", "correction", "current"))["current"]
     return x.groupBy("history").agg(last.alias("status"), F.count(F.lit(1)).alias("reports"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("entered", "repeated", "corrected", "refused", "unknown")])
+
+
+_ROLES = list(operational.STATUSES)
+_WORDS = ["new", " Queued ", "customer_confirmed", "PACKED", "handed_to_carrier", "parcel_delivered", "customer_refused", "cash_received", "paid", "partial", "cancelled", "customer_not_answering", "lost"]
+_REPORTED = {
+    "role": "case l_linenumber % 6 " + " ".join(f"when {i} then '{r}'" for i, r in enumerate(_ROLES)) + " end",
+    "provider_status": f"case l_partkey % {len(_WORDS)} " + " ".join(f"when {i} then '{w}'" for i, w in enumerate(_WORDS)) + " end",
+}
+
+
+@query(f"""WITH r AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _REPORTED.items())} FROM lineitem), t(role, word, status) AS (VALUES {', '.join(f"('{a}', '{b}', '{c}')" for (a, b), c in operational.pairs().items())}), o(word, outcome) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in operational.OUTCOMES.items())})
+SELECT r.role, provider_status, status, CASE WHEN status IS NULL THEN 'unmapped_status' END AS status_error, CASE WHEN r.role = 'confirmation_events' THEN outcome END AS outcome, count(*) AS events
+FROM r LEFT JOIN t ON t.role = r.role AND t.word = lower(trim(provider_status)) LEFT JOIN o ON o.word = lower(trim(provider_status)) GROUP BY ALL""")
+def ops_provider_statuses(spark, sf_dir):
+    """Providers' statuses of all six roles in canonical form; what no table has is told, not dropped."""
+    r = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _REPORTED.items()])
+    x = map_status(r, operational.pairs()).withColumn("outcome", F.when(F.col("role") == "confirmation_events", operational.outcome()))
+    return x.groupBy("role", "provider_status", "status", "status_error", "outcome").agg(F.count(F.lit(1)).alias("events"))
+
+
+_PAID = {
+    "business_id": "concat('biz_', s_nationkey)", "remittance_id": "case when s_suppkey % 17 = 0 then ' ' else concat('r', s_suppkey) end", "period_start": "date '2024-01-01'", "period_end": "case when s_suppkey % 13 = 0 then date '2023-12-01' when s_suppkey % 29 = 0 then null else date '2024-01-31' end",
+    "currency": "case when s_suppkey % 7 = 0 then 'usd' else 'USD' end", "gross_collected": "s_acctbal", "provider_fees": "case when s_suppkey % 11 = 0 then null else 1.0 end", "shipping_fees": "0.0", "cod_fees": "0.0", "net_remitted": "s_acctbal - 100", "adjustments": "-5.0",
+    "settlement_status": "case when s_suppkey % 19 = 0 then 'lost' else 'remitted' end",
+}
+_PAID_CODES = [
+    ("trim(remittance_id) = ''", "missing_identity"), ("period_end IS NULL OR period_end < period_start", "period_ends_before_start"), ("NOT regexp_matches(currency, '^[A-Z]{3}$')", "invalid_currency"), ("gross_collected < 0", "invalid_gross_collected"),
+    ("provider_fees IS NULL", "invalid_provider_fees"), ("net_remitted < 0", "invalid_net_remitted"), ("settlement_status = 'lost'", "invalid_settlement_status"),
+]
+
+
+@query(f"""WITH r AS (SELECT s_suppkey, {', '.join(f'{e} AS {n}' for n, e in _PAID.items())} FROM supplier)
+SELECT s_suppkey, array_to_string(list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for c, n in _PAID_CODES)}], lambda x: x IS NOT NULL), '|') AS codes FROM r""")
+def ops_remittance_invariants(spark, sf_dir):
+    r = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", *[f"{e} as {n}" for n, e in _PAID.items()])
+    return operational.checked(r, "remittance").select("s_suppkey", F.array_join("record_errors", "|").alias("codes"))
