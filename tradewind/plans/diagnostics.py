@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradewind.functions.core import hmac_sha256, phone, ratio, sample_band
 from tradewind.operators import relational as R
+from tradewind.operators.ordered import counted, pieces
 from tradewind.plans.registry import query, table
 
 #: Two noisy views of orders: what the shop saw, and the leads of the call centre.
@@ -117,6 +118,8 @@ def dx_signals(spark, sf_dir):
     s = gap("DELIVERY_GAP", F.col("peer_delivery_rate") - F.col("delivery_rate")).unionByName(gap("RETURN_GAP", F.col("return_rate") - F.col("peer_return_rate"))).unionByName(leak)
     pri = F.when(F.col("subject").contains("PLATFORM") | (F.col("band") == "LOW"), "LOW").when(F.col("impact") >= 100, "HIGH").when((F.col("impact") >= 25) | (F.col("gap") >= 0.2), "MEDIUM").otherwise("LOW")
     s = s.withColumn("priority", pri).withColumn("gap", F.round("gap", 6)).withColumn("impact", F.round("impact", 4))
-    # signals are a few a campaign: a report's size, so one ordered window is in place
-    w = Window.orderBy(F.when(F.col("priority") == "HIGH", 1).when(F.col("priority") == "MEDIUM", 2).otherwise(3), F.desc_nulls_last("impact"), "signal", "subject")
-    return s.withColumn("rank", F.row_number().over(w))
+    tier = F.when(F.col("priority") == "HIGH", 1).when(F.col("priority") == "MEDIUM", 2).otherwise(3)
+    s = s.withColumns({"tier": tier, "unknown": F.col("impact").isNull(), "down": -F.col("impact")})
+    order = ["tier", "unknown", "down", "signal", "subject"]
+    # numbered in ranges: signals grow with the campaigns
+    return counted(pieces(s, [], order, "signals"), [], order, F.lit(1), "rank").withColumn("rank", (F.col("rank") + 1).cast("int")).drop("piece", "tier", "unknown", "down")
