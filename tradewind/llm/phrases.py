@@ -106,7 +106,8 @@ def encoded(made: DataFrame, frequent: DataFrame) -> DataFrame:
     """(chunk, ids, marks): words by their numbers, -1 for others and piece ends; marks: 1 where a prefix of one word begins that is projected, 2 where one is split."""
     each = made.select("lang", "chunk", F.posexplode("words").alias("at", "word"))
     # both sides grow with the corpus, so they are merged at every size
-    known = each.join(frequent.select("lang", "word", "number", "hot").hint("merge"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "number", "hot")).alias("known"))
+    met = each.join(frequent.select("lang", "word", "number", "hot").hint("merge"), ["lang", "word"], "left")
+    known = met.groupBy("chunk").agg(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("at", "number", "hot"))).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
