@@ -13,7 +13,8 @@ def decode(kafka: DataFrame, schema: str) -> DataFrame:
     """Kafka records (or a source of the same columns) as parsed JSON with their lineage; malformed JSON is kept as such."""
     raw = kafka.select(F.col("key").cast("string").alias("kafka_key"), F.col("value").cast("string").alias("raw_json"), F.col("topic").alias("kafka_topic"), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), F.col("timestamp").alias("kafka_timestamp"))
     parsed = F.from_json("raw_json", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return raw.withColumn("x", parsed).select("*", "x.*").drop("x").withColumn("malformed", F.col("raw_json").isNull() | F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
+    # generated, so that a later filter on what follows from the fields isn't moved before them with a parse for each use
+    return raw.select("*", F.inline(F.array(parsed))).withColumn("malformed", F.col("raw_json").isNull() | F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
 
 
 def dedup(events: DataFrame, horizon: str = "7 days", time: str = "event_timestamp") -> DataFrame:
