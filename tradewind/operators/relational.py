@@ -102,9 +102,10 @@ def conflicts(df: DataFrame, on: Sequence[str], key: str, start: str = "valid_fr
     x = df.select(*on, key, F.col(start).alias("__from"), F.coalesce(F.col(stop), far).alias("__to")).filter(F.col(key).isNotNull() & F.col(start).isNotNull()).filter("__from <= __to")
     own = [*on, key]
     x = greatest_before(pieces(x, own, ["__from", "__to"], "own-intervals"), own, ["__from", "__to"], F.col("__to"), "__reach")
-    fresh = F.when(F.col("__reach").isNull() | (F.col("__from") > F.col("__reach")), 1).otherwise(0)
-    x = landed(x.drop("piece").withColumn("__fresh", fresh), "own-starts")
-    x = counted(pieces(x, own, ["__from", "__to"], "own-starts"), own, ["__from", "__to"], F.col("__fresh"), "__n").withColumn("__n", F.col("__n") + F.col("__fresh"))
+    later = F.when(F.col("__reach").isNull() | (F.col("__from") > F.col("__reach")), 0).otherwise(1)
+    # of equal intervals the one that begins a run comes first, however they are sorted again; they share a piece, so the pieces stay
+    x = landed(x.withColumn("__later", later), "own-starts")
+    x = counted(x, own, ["__from", "__to", "__later"], 1 - F.col("__later"), "__n").withColumn("__n", F.col("__n") + 1 - F.col("__later"))
     whole = landed(x.groupBy(*own, "__n").agg(F.min("__from").alias("__from"), F.max("__to").alias("__to")).drop("__n"), "whole-intervals")
     order = ["__from", key, "__to"]
     x = greatest_before(pieces(whole, on, order, "intervals"), on, order, F.struct("__to", key), "__last").filter(F.col("__last.__to") >= F.col("__from"))
