@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.core import money, ratio
-from tradewind.plans.registry import query
+from tradewind.plans.registry import query, shares
 from tradewind.sources import commerce
 
 #: Stages in order; a later stage at the same instant wins.
@@ -41,7 +41,7 @@ def events(spark, sf_dir) -> DataFrame:
     o = commerce.orders(spark, sf_dir)
     cols = ["business_id", "order_id", "time_zone"]
     own = o.selectExpr(*cols, _inline(_FROM_ORDERS, "created_at", "hour", "cast(null as string)", "cast(null as string)"))
-    lines = commerce.lines(spark, sf_dir).join(o.select(*cols), "order_id")
+    lines = commerce.lines(spark, sf_dir).repartition(shares(spark, sf_dir, "lineitem"), "order_id").join(o.select(*cols), "order_id")
     return own.unionByName(lines.selectExpr(*cols, _inline(_FROM_LINES, "shipped_at", "day", "concat('courier_', supplier_id % 5)", "concat(order_id, '-', supplier_id)")))
 
 
@@ -70,18 +70,28 @@ def line_facts(spark, sf_dir) -> DataFrame:
     """(order, is_delivered, is_returned, line_cash) from an order's lines alone, in one aggregate: what flags() and cash() tell of them."""
     holds = {status: F.expr(cond) for status, _, cond in _FROM_LINES}
     kept = holds["DELIVERED"] & (F.col("returnflag") != "R")
-    return commerce.lines(spark, sf_dir).groupBy("order_id").agg(F.bool_or(holds["DELIVERED"]).alias("is_delivered"), F.bool_or(holds["RETURNED"]).alias("is_returned"), money(F.when(kept, F.col("price"))).alias("line_cash"))
+    return commerce.lines(spark, sf_dir).repartition(shares(spark, sf_dir, "lineitem"), "order_id").groupBy("order_id").agg(F.bool_or(holds["DELIVERED"]).alias("is_delivered"), F.bool_or(holds["RETURNED"]).alias("is_returned"), money(F.when(kept, F.col("price"))).alias("line_cash"))
 
 
 CASH_SQL = "cash AS (SELECT l.order_id, CAST(sum(CAST(price AS DECIMAL(18,4))) AS DOUBLE) AS cash_collected FROM lines_in l JOIN orders_in o ON l.order_id = o.order_id WHERE payment_type = 'COD' AND linestatus = 'F' AND returnflag <> 'R' GROUP BY 1)"
 
 
+def _times(parts: list[tuple[str, str, str]], start: str, unit: str) -> list[Column]:
+    """Aggregates first_, last_ and has_ of each status."""
+    at = [(status.lower(), F.expr(cond), F.expr(f"case when {cond} then {start} + interval {n} {unit} end")) for status, n, cond in parts]
+    return [c for s, cond, x in at for c in (F.min(x).alias(f"first_{s}"), F.max(x).alias(f"last_{s}"), F.bool_or(cond).alias(f"has_{s}"))]
+
+
 def current(spark, sf_dir) -> DataFrame:
     """One row an order: its last status by occurrence, first times, attempts, shipments, cash."""
-    facts = events(spark, sf_dir).groupBy("business_id", "order_id").agg(
-        F.max(F.struct("event_at", "stage", "status")).alias("last"),
-        *[F.min(F.when(F.col("status") == s, F.col("event_at"))).alias(f"{s.lower()}_at") for s in ("CONFIRMED", "SHIPPED", "DELIVERED")],
-        F.count_if(F.col("status") == "DELIVERY_ATTEMPTED").alias("attempts"), F.count_distinct("shipment_id").alias("shipments"))
+    own = commerce.orders(spark, sf_dir).groupBy("business_id", "order_id").agg(F.count(F.lit(1)).alias("copies"), *_times(_FROM_ORDERS, "created_at", "hour"))
+    # lines are added up before they meet their order: no row for each event, and only fixed-width values
+    lines = commerce.lines(spark, sf_dir).repartition(shares(spark, sf_dir, "lineitem"), "order_id").groupBy("order_id").agg(*_times(_FROM_LINES, "shipped_at", "day"), F.count_if(F.expr(_FROM_LINES[1][2])).alias("line_attempts"), F.count_distinct("supplier_id").alias("line_shipments"))
+    last = F.greatest(*[F.when(F.col(f"has_{s.lower()}"), F.struct(F.col(f"last_{s.lower()}").alias("event_at"), F.lit(k).alias("stage"), F.lit(s).alias("status"))) for s, k in STAGES.items()])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    facts = own.join(lines, "order_id", "left").select(
+        "business_id", "order_id", last.alias("last"), *[F.col(f"first_{s.lower()}").alias(f"{s.lower()}_at") for s in ("CONFIRMED", "SHIPPED", "DELIVERED")],
+        (zero("line_attempts") * F.col("copies")).alias("attempts"), zero("line_shipments").alias("shipments"))
     out = facts.join(cash(spark, sf_dir), "order_id", "left")
     return out.select("business_id", "order_id", F.col("last.status").alias("status"), F.col("last.event_at").alias("status_at"), "confirmed_at", "shipped_at", "delivered_at", "attempts", "shipments", F.coalesce("cash_collected", F.lit(0.0)).alias("cash_collected"))
 
@@ -100,9 +110,10 @@ def ops_current(spark, sf_dir):
 @query(f"""WITH {EVENTS_SQL} SELECT business_id, {_DAY_SQL.format('event_at')} AS day, {', '.join(f"count(DISTINCT order_id) FILTER (WHERE status = '{s}') AS {s.lower()}" for s in STAGES)}, count(DISTINCT order_id) AS orders FROM op_events GROUP BY 1, 2""")
 def ops_daily(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("day", zone_day("event_at"))
-    # a row for each (day, status, order) first: one plain aggregate instead of an expansion for each distinct count
-    seen = e.groupBy("business_id", "day", "order_id").agg(*[F.max((F.col("status") == s).cast("int")).alias(s.lower()) for s in STAGES])
-    return seen.groupBy("business_id", "day").agg(*[F.sum(s.lower()).cast("long").alias(s.lower()) for s in STAGES], F.count(F.lit(1)).alias("orders"))
+    # a row for each (day, order) first, its statuses as bits: one plain aggregate instead of an expansion for each distinct count
+    bit = F.create_map(*[F.lit(x) for k, s in enumerate(STAGES) for x in (s, 1 << k)])[F.col("status")]
+    seen = e.repartition(shares(spark, sf_dir, "lineitem"), "order_id").groupBy("business_id", "day", "order_id").agg(F.bit_or(bit).alias("seen"))
+    return seen.groupBy("business_id", "day").agg(*[F.count(F.when(F.col("seen").bitwiseAND(F.lit(1 << k)) > 0, F.col("order_id"))).alias(s.lower()) for k, s in enumerate(STAGES)], F.count("order_id").alias("orders"))
 
 
 _FLAGS_SQL = ", ".join(f"bool_or(status = '{s}') AS is_{s.lower()}" for s in STAGES)
@@ -145,9 +156,20 @@ _REMIT_SQL = """remittances AS (SELECT concat('rem_', supplier_id, '_', strftime
  CAST(sum(CAST(price AS DECIMAL(18,4))) AS DOUBLE) AS gross, CAST(sum(CAST(price * discount AS DECIMAL(18,4))) AS DOUBLE) AS fees, max(supplier_id % 4 = 0) AS pending FROM lines_in WHERE linestatus = 'F' GROUP BY 1, 2, 3)"""
 
 
+def remittance_id(day: str) -> Column:
+    return F.concat(F.lit("rem_"), "supplier_id", F.lit("_"), F.date_format(day, "yyyyMM"))
+
+
+def remitted(spark, sf_dir) -> DataFrame:
+    """(supplier_id, period_start, gross, fees, pending): what a supplier's month brought."""
+    done = commerce.lines(spark, sf_dir).filter("linestatus = 'F'")
+    g = done.groupBy("supplier_id", F.to_date(F.date_trunc("month", "shipped_at")).alias("period_start"))
+    return g.agg(money("price").alias("gross"), money(F.col("price") * F.col("discount")).alias("fees"), F.max(F.col("supplier_id") % 4 == 0).alias("pending"))
+
+
 def remittances(spark, sf_dir) -> DataFrame:
     done = commerce.lines(spark, sf_dir).filter("linestatus = 'F'")
-    g = done.groupBy(F.concat(F.lit("rem_"), "supplier_id", F.lit("_"), F.date_format("shipped_at", "yyyyMM")).alias("remittance_id"), F.concat(F.lit("courier_"), (F.col("supplier_id") % 5).cast("string")).alias("courier"), F.to_date(F.date_trunc("month", "shipped_at")).alias("period_start"))
+    g = done.groupBy(remittance_id("shipped_at").alias("remittance_id"), F.concat(F.lit("courier_"), (F.col("supplier_id") % 5).cast("string")).alias("courier"), F.to_date(F.date_trunc("month", "shipped_at")).alias("period_start"))
     return g.agg(money("price").alias("gross"), money(F.col("price") * F.col("discount")).alias("fees"), F.max(F.col("supplier_id") % 4 == 0).alias("pending"))
 
 
