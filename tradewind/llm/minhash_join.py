@@ -217,6 +217,14 @@ def against_least(lists: DataFrame) -> DataFrame:
     return lists.join(ends, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
+def seed_pairs(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes whose first ids are a row of seeds (doc_id, component_id), a node for each id."""
+    named = stash(nodes.filter("size > 0").groupBy("first").agg(F.min("node").alias("node")), "first-nodes")
+    side = lambda c, n: named.select(F.col("first").alias(c), F.col("node").alias(n))
+    met = seeds.select("doc_id", "component_id").filter("doc_id <> component_id").join(side("doc_id", "u"), "doc_id").join(side("component_id", "v"), "component_id")
+    return met.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def few_groups(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs (u, v) between the groups of lists with FEW groups at most, nodes of the other lists)."""
     groups = members.select("key", "group").distinct()
@@ -271,14 +279,16 @@ def between(members: DataFrame) -> DataFrame:
     return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, empty_linked: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, empty_linked: bool = False, seeds: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs.
 
     component_id is the smallest id reachable over links between texts whose sets of shingles
     have LEAST similarity at least; kept says whether that is the row's own. A null or empty text
     has the empty set, linked with nothing (empty_linked: with other empty ones). Rows that repeat
     an id are rows of their own. A null id is in a component but never its id, unless all its ids
-    are null; other columns are ignored; no rows in, no rows out.
+    are null; other columns are ignored; no rows in, no rows out. seeds: (doc_id, component_id) of
+    groups found by other means; each text is checked against its group's least first, and lists
+    whose nodes these links unite aren't merged. No result depends on them.
     """
     docs = narrow(docs, id_col, text_col)
     rows = stash(signed(docs, words), "signatures")
@@ -287,7 +297,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = prefix_lists(nodes.filter("size > 0"))
     wanted = nodes.select("node", "first", "d0", "d1").join(lists.select("node").distinct(), "node", "left_semi")
     sets = node_sets(docs, wanted, words)
-    links = stash(checked(stash(colliding(stash(against_least(lists), "pairs"), nodes), "collisions"), sets), "links")
+    if seeds is None:
+        links = stash(checked(stash(colliding(stash(against_least(lists), "pairs"), nodes), "collisions"), sets), "links")
+    else:
+        seeded = stash(checked(stash(seed_pairs(seeds, nodes), "seed-pairs"), sets), "seed-links")
+        rest = grouped(lists, seeded).select("key", "node")
+        found = checked(stash(colliding(stash(against_least(rest), "pairs"), nodes), "collisions"), sets)
+        links = stash(seeded.unionByName(found), "links")
     met, many = few_groups(grouped(lists, links))
     found = checked(stash(colliding(stash(met.distinct(), "pairs"), nodes), "collisions"), sets)
     links = stash(links.unionByName(found), "links")
