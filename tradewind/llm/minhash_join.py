@@ -19,6 +19,9 @@ a template, where estimates cannot tell 0.7 from 0.8 and pairs would be many. Th
 joined by the same two rules, exactly, on whole sets: two sets with a link share one of their
 rarest shingles, and the place of the first one they share bounds what they can share in all.
 
+Whole sets are made of the nodes that a check needs, when it needs them, and only those of its
+pairs are sent; rows that can't be among them are left out before, by a set of bits of hashed ids.
+
 Whole sets are sent and compared as 32 bits of each shingle's 64-bit hash, with the exact sizes,
 as they are most of what crosses the network: chance makes two sets of 500 shingles share one
 that they don't have in common once in 17,000 pairs, which matters only to a pair that lacks
@@ -27,6 +30,8 @@ just one shingle of a link.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -46,6 +51,8 @@ FEW = 16
 GROUP = 30_000
 #: Words whose hashes a task keeps.
 KNOWN = 1_000_000
+#: Bits of the set of hashed ids by which rows that no join can need are left out before they are sent.
+BITS = 1 << 24
 _RANDOM = np.random.default_rng(42)
 _MULTIPLIERS = _RANDOM.integers(1, 1 << 63, COORDS, np.uint64) << np.uint64(1) | np.uint64(1)
 _PLACES = _RANDOM.integers(1, 1 << 63, 64, np.uint64) << np.uint64(1) | np.uint64(1)
@@ -147,14 +154,29 @@ def prefix_lists(nodes: DataFrame) -> DataFrame:
     return stash(lists.join(merged, "key", "left_semi"), "lists")
 
 
+def possible(df: DataFrame, col: str, wanted: DataFrame) -> DataFrame:
+    """df without most rows whose id in col isn't the column of wanted: of those that hash to no bit of a set of BITS bits."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    own = wanted.select(place(F.col(wanted.columns[0])).alias("__p"))
+    bit = F.expr("shiftleft(1L, cast(__p % 64 as int))")
+    held = own.groupBy(F.shiftright("__p", 6).alias("__w")).agg(F.bit_or(bit).alias("__bits"))
+    met = df.withColumn("__p", place(F.col(col))).join(F.broadcast(held), F.shiftright("__p", 6) == F.col("__w"))
+    return met.filter(F.col("__bits").bitwiseAND(bit) != 0).select(*df.columns)
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """(node) of pairs (u, v), once each."""
+    return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
+
 def _near_sizes(a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * LEAST
 
 
 def colliding(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (u, v) of nodes with MATCHES collisions or more and sizes that allow a link."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sig").alias(f"{c}_sig"))
-    met = pairs.join(side("u"), "u").join(side("v"), "v").filter(_near_sizes("u_size", "v_size"))
+    side = lambda c: possible(nodes, "node", pairs.select(c)).select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sig").alias(f"{c}_sig"))
+    met = pairs.join(side("u").hint("merge"), "u").join(side("v").hint("merge"), "v").filter(_near_sizes("u_size", "v_size"))
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         x, y = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in ("u_sig", "v_sig"))
@@ -165,7 +187,7 @@ def colliding(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def node_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, size, shingles) of wanted nodes (node, first, d0, d1), from the text of a row that has the node's first id and digest."""
-    met = docs.join(wanted.withColumnRenamed("first", "__first"), F.col("doc_id").eqNullSafe(F.col("__first")))
+    met = possible(docs, "doc_id", wanted.select("first")).join(wanted.withColumnRenamed("first", "__first").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__first")))
 
     def run(batches):
         shingles = Shingles(words)
@@ -197,8 +219,8 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         ok = [similar(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), n) for x, y, n in zip(xs, ys, sizes, strict=True)]
         return b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("size").alias(f"{c}n"), F.col("shingles").alias(f"{c}s"))
-    met = pairs.join(side("u"), "u").join(side("v"), "v")
+    side = lambda c: possible(sets, "node", pairs.select(c)).select(F.col("node").alias(c), F.col("size").alias(f"{c}n"), F.col("shingles").alias(f"{c}s"))
+    met = pairs.join(side("u").hint("merge"), "u").join(side("v").hint("merge"), "v")
     return map_arrow(met.select("u", "v", "us", "vs", (F.col("un") + F.col("vn")).alias("sizes")), f, "u long, v long")
 
 
@@ -279,6 +301,24 @@ def between(members: DataFrame) -> DataFrame:
     return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
+def likely(pairs: DataFrame) -> DataFrame:
+    """Of pairs (u, v, common) those with the most shingles in common on lists, FEW for each u.
+
+    In a large group of texts around the threshold they hold links enough to unite most of it,
+    and what they have united needs no other comparison.
+    """
+    best = Window.partitionBy("u").orderBy(F.desc("common"), "v")
+    return pairs.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= FEW).select("u", "v")
+
+
+def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (u, v) that links haven't united."""
+    star = stars(links)
+    side = lambda c: star.select(F.col("u").alias(c), F.col("v").alias(f"{c}_up"))
+    met = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left")
+    return met.filter(F.coalesce("u_up", "u") != F.coalesce("v_up", "v")).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, empty_linked: bool = False, seeds: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs.
 
@@ -295,20 +335,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = rows.groupBy("d0", "d1").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     nodes = stash(alone.withColumn("node", F.monotonically_increasing_id()), "nodes")
     lists = prefix_lists(nodes.filter("size > 0"))
-    wanted = nodes.select("node", "first", "d0", "d1").join(lists.select("node").distinct(), "node", "left_semi")
-    sets = node_sets(docs, wanted, words)
+    fetched: list[DataFrame] = []
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        """The sets of wanted nodes, and those made before."""
+        own = wanted
+        for x in fetched:
+            own = own.join(x.select("node"), "node", "left_anti")
+        own = stash(own, "wanted-nodes")
+        named = possible(nodes.select("node", "first", "d0", "d1"), "node", own).join(own, "node", "left_semi")
+        fetched.append(node_sets(docs, stash(named, "wanted"), words))
+        return reduce(DataFrame.unionByName, fetched)
+
     if seeds is None:
-        links = stash(checked(stash(colliding(stash(against_least(lists), "pairs"), nodes), "collisions"), sets), "links")
+        met = stash(colliding(stash(against_least(lists), "pairs"), nodes), "collisions")
+        links = stash(checked(met, sets(ends(met))), "links")
     else:
-        seeded = stash(checked(stash(seed_pairs(seeds, nodes), "seed-pairs"), sets), "seed-links")
+        met = stash(seed_pairs(seeds, nodes), "seed-pairs")
+        seeded = stash(checked(met, sets(ends(met))), "seed-links")
         rest = grouped(lists, seeded).select("key", "node")
-        found = checked(stash(colliding(stash(against_least(rest), "pairs"), nodes), "collisions"), sets)
-        links = stash(seeded.unionByName(found), "links")
-    met, many = few_groups(grouped(lists, links))
-    found = checked(stash(colliding(stash(met.distinct(), "pairs"), nodes), "collisions"), sets)
-    links = stash(links.unionByName(found), "links")
-    rare = shingle_lists(sets.join(many, "node", "left_semi"))
-    links = stash(links.unionByName(checked(stash(between(grouped(rare, links)).distinct(), "pairs"), sets)), "links")
+        met = stash(colliding(stash(against_least(rest), "pairs"), nodes), "collisions")
+        links = stash(seeded.unionByName(checked(met, sets(ends(met)))), "links")
+    members = grouped(lists, links)
+    met, many = few_groups(members)
+    met = stash(colliding(stash(met.distinct(), "pairs"), nodes), "collisions")
+    many = stash(many, "many-groups")
+    whole = sets(ends(met).unionByName(many).distinct())
+    rare = shingle_lists(possible(whole, "node", many).join(many, "node", "left_semi"))
+    rest = between(rare.join(members.select("node", "group").distinct(), "node")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("common"))
+    rest = stash(rest.join(met, ["u", "v"], "left_anti"), "rare-pairs")
+    met = stash(met.unionByName(likely(rest)), "likely-pairs")
+    links = stash(links.unionByName(checked(met, whole)), "links")
+    rest = stash(apart(rest.join(met, ["u", "v"], "left_anti"), links), "pairs")
+    links = stash(links.unionByName(checked(rest, whole)), "links")
     root = nodes.join(stars(links).select(F.col("u").alias("node"), F.col("v").alias("up")), "node", "left").select("node", "d0", "d1", "first", F.coalesce("up", "node").alias("root"))
     root = stash(root, "roots")
     component = root.join(stash(root.groupBy("root").agg(F.min("first").alias("component_id")), "least-members"), "root").select("d0", "d1", "component_id")
