@@ -277,6 +277,14 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
+#: What a process keeps from one step to the next.
+KEPT: list[dict] = [_ENCODERS]
+
+
+def forget() -> None:
+    """Drop the encoders and their caches of earlier steps: a worker goes on to steps that need the memory."""
+    for held in KEPT:
+        held.clear()
 
 
 def json_encoder(path: str, added: bool = False) -> Encoder:

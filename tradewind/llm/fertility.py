@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import WORD, Pool, flat, quoted, ragged, small_batches
+from tradewind.llm.common import KEPT, WORD, Pool, flat, quoted, ragged, small_batches
 
 #: Language or script: least characters per token, largest share of fallback bytes, least token entropy in bits.
 BANDS = {
@@ -35,6 +35,7 @@ SCRIPTS = ((0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530,
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio
 _SYMBOLS = "#*$%&|<>"
 _POOLS: dict[str, tuple] = {}
+KEPT.append(_POOLS)
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "

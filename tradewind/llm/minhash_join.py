@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import map_arrow, narrow, small_batches, stash
+from tradewind.llm.common import forget, map_arrow, narrow, small_batches, stash
 from tradewind.llm.components import stars
 
 WORDS = 2
@@ -50,7 +50,7 @@ FEW = 16
 #: Shingles that are hashed at a time, so that they stay in a core's cache.
 GROUP = 30_000
 #: Words whose hashes a task keeps.
-KNOWN = 1_000_000
+KNOWN = 200_000
 #: Bits of the set of hashed ids by which rows that no join can need are left out before they are sent.
 BITS = 1 << 24
 _RANDOM = np.random.default_rng(42)
@@ -123,6 +123,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        forget()
         shingles = Shingles(words)
         for b in batches:
             if b.num_rows:
@@ -190,6 +191,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     met = possible(docs, "doc_id", wanted.select("first")).join(wanted.withColumnRenamed("first", "__first").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__first")))
 
     def run(batches):
+        forget()
         shingles = Shingles(words)
         for b in batches:
             if b.num_rows:

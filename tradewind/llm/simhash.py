@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import map_arrow, narrow, small_batches, stash
+from tradewind.llm.common import forget, map_arrow, narrow, small_batches, stash
 from tradewind.llm.components import stars
 
 RADIUS = 3
@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
 
     def f(b: pa.RecordBatch) -> dict:
+        forget()
         flat: list[np.ndarray] = []
         counts: list[int] = []
         fps: list[np.ndarray] = []
