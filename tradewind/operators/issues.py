@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.operators.ordered import carried, pieces
+from tradewind.operators.ordered import previous
 from tradewind.operators.relational import conflicts
+from tradewind.session import landed
 
 CRITICAL, WARNING = "CRITICAL", "WARNING"
 #: Amounts may be off by so much.
@@ -36,9 +37,14 @@ def row_checks(df: DataFrame, checks: Sequence[tuple[str, str, Column]]) -> Data
 
 
 def repeated(df: DataFrame, identity: str, code: str, severity: str) -> DataFrame:
-    """Rows beyond the first of an identity, null ones included; the first is of the least tenant and order."""
-    groups = df.select(F.col(identity).alias("__id"), F.col("business_id").cast("string"), (F.col("order_id") if "order_id" in df.columns else F.lit(None)).cast("string").alias("order_id"))
-    n = groups.groupBy("__id", "business_id", "order_id").agg(F.count(F.lit(1)).alias("n"))
+    """Rows beyond the first of an identity, null ones included; the first is of the least tenant and order.
+
+    Most identities stand once: hashes of them alone are dealt and counted, and only rows whose
+    hash stands more than once are compared whole.
+    """
+    groups = df.select(F.col(identity).alias("__id"), F.col("business_id").cast("string"), (F.col("order_id") if "order_id" in df.columns else F.lit(None)).cast("string").alias("order_id"), F.xxhash64(identity).alias("__mark"))
+    often = landed(groups.groupBy("__mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__mark"), "repeated-marks")
+    n = groups.join(often, "__mark", "left_semi").groupBy("__id", "business_id", "order_id").agg(F.count(F.lit(1)).alias("n"))
     first = n.groupBy("__id").agg(F.min(F.struct("business_id", "order_id")).alias("__first"))
     own = first.withColumnRenamed("__id", "__of")
     met = n.join(own, F.col("__id").eqNullSafe(F.col("__of")))
@@ -47,13 +53,17 @@ def repeated(df: DataFrame, identity: str, code: str, severity: str) -> DataFram
 
 
 def missing(df: DataFrame, keys: Sequence[str], parent: DataFrame, code: str, severity: str) -> DataFrame:
-    """Rows whose keys no parent has; null keys match null keys."""
-    own = parent.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
-    return _out(df.join(own, _same(keys), "left_anti"), code, severity)
-
-
-def _same(keys: Sequence[str]) -> Column:
-    return reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"__{k}")), keys, F.lit(True))
+    """Rows whose keys no parent has; null keys match null keys. Rows that agree in keys and order are one finding with their number."""
+    # keys as one column that is never null: parents, once distinct, and rows, once counted, lie as the join needs them
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    own = parent.select(key.alias("__of")).distinct()
+    if "order_id" in keys and "business_id" in keys:
+        child = df.select(key.alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
+        named = {k: F.col(f"__key.k{i}") for i, k in enumerate(keys)}
+        left = child.join(own, F.col("__key") == F.col("__of"), "left_anti").withColumns(named)
+        return _out(left, code, severity, F.col("n"))
+    left = df.select("business_id", "order_id", key.alias("__key")).join(own, F.col("__key") == F.col("__of"), "left_anti")
+    return _out(left, code, severity)
 
 
 def _blank(*columns: str) -> Column:
@@ -79,7 +89,7 @@ def operations_issues(silver: Mapping[str, DataFrame], moves: Sequence[tuple[str
     place = F.create_map(*[F.lit(x) for kv in stage.items() for x in kv])[F.col("canonical_status")]
     order = ["event_at", "revision", "stage", "event_id", "canonical_status", "corrects_event_id"]
     known = events.filter(place.isNotNull()).withColumn("revision", F.coalesce("revision", F.lit(1))).withColumn("stage", place).select(*key, *order)
-    rows = carried(pieces(known, key, order, "statuses"), key, order, F.col("canonical_status"), "previous")
+    rows = previous(known, key, order, "canonical_status", "previous")
     pairs = F.array(*[F.lit(f"{a}>{b}") for a, b in moves])
     odd = F.col("previous").isNotNull() & F.col("corrects_event_id").isNull() & ~F.array_contains(pairs, F.concat_ws(">", "previous", "canonical_status"))
     out.append(_out(rows.filter(odd), "invalid_status_transition", WARNING))

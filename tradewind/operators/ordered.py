@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from tradewind.session import landed, ship
 
+#: Rows of a key's history that one task may sort.
+LONG = 100_000
+
 
 def pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str = "pieces") -> DataFrame:
     """df, written in ranges of keys and order, with the number of each row's range as piece; later ranges have greater numbers."""
@@ -33,6 +36,21 @@ def carried(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: C
     return met.withColumn(name, F.coalesce("__inside", "__before")).drop("__inside", "__before")
 
 
+def previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """rows with the last value that isn't null of the same keys before them, in order; only histories of more than LONG rows are cut into pieces.
+
+    Others are dealt once, by their keys, and nothing of them is written.
+    """
+    own = F.struct(*[F.col(k) for k in keys])  # never null
+    spans = landed(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LONG).select(own.alias("__long")), "long-keys")
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    short = rows.join(spans, own == F.col("__long"), "left_anti").withColumn(name, F.last(value, ignorenulls=True).over(before))
+    if spans.isEmpty():
+        return short
+    long = rows.join(spans, own == F.col("__long"), "left_semi")
+    return short.unionByName(carried(pieces(long, keys, order, "histories"), keys, order, F.col(value), name).drop("piece"))
+
+
 def _running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, fold, both) -> DataFrame:
     """rows of pieces() with fold (an aggregate that may be applied to its own results) of value over the same keys before them."""
     inside = Window.partitionBy(*keys, "piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
