@@ -81,6 +81,17 @@ def allocate(links: DataFrame, amounts: dict[str, str], weight: str, over: Seque
     return met.select(*links.columns, *[share(c).alias(n) for n, c in amounts.items()])
 
 
+def share_out(links: DataFrame, per_key: DataFrame, amounts: dict[str, str], weight: str, over: Sequence[str], how: str = "left") -> DataFrame:
+    """allocate() of amounts that stand once a key, in per_key: they meet the keys' totals, so the links are dealt for one join.
+
+    how: left keeps links whose key has no amount, inner drops them. Amounts of a null key are none.
+    """
+    made = links.groupBy(*over).agg(F.sum(F.col(weight).cast("decimal(28,8)")).cast("double").alias("__total"), F.count(F.lit(1)).alias("__n")).join(per_key, list(over), how)
+    given = [c for c in per_key.columns if c not in over]
+    share = lambda c: F.when(F.col("__total") != 0, F.col(c) * F.col(weight) / F.nullif("__total", F.lit(0.0))).otherwise(F.col(c) / F.col("__n"))
+    return links.alias("l").join(made.alias("t"), _same("l", "t", over)).select("l.*", *[F.col(f"t.{c}") for c in given], *[share(c).alias(n) for n, c in amounts.items()])
+
+
 def overlapping(df: DataFrame, on: Sequence[str], key: str, start: str = "valid_from", stop: str = "valid_to") -> DataFrame:
     """Pairs (on, left_id, right_id) of intervals of the same subject that overlap; a null end is open."""
     a, b = df.alias("a"), df.alias("b")

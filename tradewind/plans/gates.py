@@ -108,9 +108,9 @@ UNION ALL SELECT 'complete_without_costs', count(*) FROM eco WHERE economic_stat
 UNION ALL SELECT 'spend_unreconciled', count(*) FROM s WHERE abs(spend - allotted) > 0.01
 UNION ALL SELECT 'remittance_unreconciled', count(*) FROM r WHERE abs(net - allotted) > 0.01 * n""")
 def gate_economics(spark, sf_dir):
-    lines = eco.order_lines(spark, sf_dir)
-    links = eco.spend_links(spark, sf_dir, lines)
-    facts = eco.orders(spark, sf_dir, lines, links)
+    slim = eco.slim_lines(spark, sf_dir)
+    links = eco.spend_links(spark, sf_dir, eco.sold_lines(spark, sf_dir, slim))
+    facts = eco.orders(spark, sf_dir, slim, links)
     count = lambda code, df: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(code).alias("code"), "violations")
     # all checks of a row in one pass
     row_checks = {
@@ -123,5 +123,5 @@ def gate_economics(spark, sf_dir):
     out = out.unionByName(count("duplicate_order", repeated(facts.select("order_id"), ["order_id"])))
     spent = links.groupBy("campaign", "month").agg(F.max("spend").alias("spend"), F.sum(F.round("order_spend", 8).cast("decimal(28,8)")).cast("double").alias("allotted"))
     out = out.unionByName(count("spend_unreconciled", spent.filter("abs(spend - allotted) > 0.01")))
-    paid = eco.remittance_links(spark, sf_dir).groupBy("remittance_id").agg(F.max("net").alias("net"), F.sum(F.round("order_net", 3).cast("decimal(18,3)")).cast("double").alias("allotted"), F.count(F.lit(1)).alias("n"))
+    paid = eco.remittance_links(spark, sf_dir, slim).groupBy("remittance_id").agg(F.max("net").alias("net"), F.sum(F.round("order_net", 3).cast("decimal(18,3)")).cast("double").alias("allotted"), F.count(F.lit(1)).alias("n"))
     return out.unionByName(count("remittance_unreconciled", paid.filter("abs(net - allotted) > 0.01 * n")))

@@ -66,13 +66,6 @@ def cash(spark, sf_dir) -> DataFrame:
     return paid.groupBy("order_id").agg(money("price").alias("cash_collected"))
 
 
-def line_facts(spark, sf_dir) -> DataFrame:
-    """(order, is_delivered, is_returned, line_cash) from an order's lines alone, in one aggregate: what flags() and cash() tell of them."""
-    holds = {status: F.expr(cond) for status, _, cond in _FROM_LINES}
-    kept = holds["DELIVERED"] & (F.col("returnflag") != "R")
-    return commerce.lines(spark, sf_dir).repartition(shares(spark, sf_dir, "lineitem"), "order_id").groupBy("order_id").agg(F.bool_or(holds["DELIVERED"]).alias("is_delivered"), F.bool_or(holds["RETURNED"]).alias("is_returned"), money(F.when(kept, F.col("price"))).alias("line_cash"))
-
-
 CASH_SQL = "cash AS (SELECT l.order_id, CAST(sum(CAST(price AS DECIMAL(18,4))) AS DOUBLE) AS cash_collected FROM lines_in l JOIN orders_in o ON l.order_id = o.order_id WHERE payment_type = 'COD' AND linestatus = 'F' AND returnflag <> 'R' GROUP BY 1)"
 
 
